@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import bpe, packing, survivor
+from postloom.llm import bpe, packing, quality, survivor
 from postloom.plans.lineage import cut
 from postloom.sources.tables import table
 
@@ -25,6 +25,16 @@ def p9_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_items(sizes, "doc_id", "n_tokens", 2048)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p8_ids": p8_ids, "p9_pack": p9_pack}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    voted = cut(quality.votes(documents))
+    return quality.text_types(documents, table(spark, d, "doc_labels"), voted).filter("kind <> 'prose'").select("doc_id", "kind")
+
+
+def p10_stats(spark: SparkSession, d: str) -> DataFrame:
+    return quality.statistics(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found, "p10_stats": p10_stats}
 
 SQL: dict[str, str] = {}
