@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import bpe, packing, quality, survivor
+from postloom.llm import bpe, conversations, packing, quality, survivor
 from postloom.plans.lineage import cut
 from postloom.sources.tables import table
 
@@ -16,6 +16,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivors(table(spark, d, "messages"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.conversations(*(table(spark, d, t) for t in ("messages", "refs", "addresses", "identities")))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"))
 
@@ -35,6 +39,6 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
     return quality.statistics(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found, "p10_stats": p10_stats}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found, "p10_stats": p10_stats}
 
 SQL: dict[str, str] = {}
