@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import bpe, conversations, names, neighbours, packing, quality, survivor
+from postloom.llm import bpe, conversations, names, neighbours, newtext, packing, quality, survivor
 from postloom.plans.lineage import cut
 from postloom.sources.tables import table
 
@@ -20,6 +20,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.pairs(table(spark, d, "mail_vectors"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return newtext.misplaced(table(spark, d, "messages"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivors(table(spark, d, "messages"))
 
@@ -47,6 +51,6 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
     return quality.statistics(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found, "p10_stats": p10_stats}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found, "p10_stats": p10_stats}
 
 SQL: dict[str, str] = {}
