@@ -1,20 +1,323 @@
-"""The registered queries of the core and their SQL."""
+"""The registered queries of the core and the same in SQL for DuckDB.
+
+Each query is one operator of the library on the tables of a mail index (or, for ad-hoc SQL, on the star schema),
+over whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postloom.operators import incremental
+from postloom.functions import text as T
+from postloom.functions.mids import clean_mid
+from postloom.lang.compile import Mailbox, select
+from postloom.operators import counts, incremental, people, reconcile, search, semantic, sqlguard, threads
 from postloom.sources.tables import table
 
-FLAGSHIP = "p5_found"
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+FLAGSHIP = "q_fts_bm25_top"
+
+# ---- SQL fragments
 
+ME = "(SELECT addr FROM identities WHERE addr IS NOT NULL)"
+NOT_FAILED = "m.auth_verdict IS DISTINCT FROM 'fail'"
+PLACES = "messages m LEFT JOIN folders f ON f.id = m.folder_id LEFT JOIN accounts ac ON ac.id = m.account_id"
+WEIGHTS = {"subject": 6.0, "people": 3.0, "body": 1.0, "quoted": 0.15, "att_text": 0.8}
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return incremental.replay(table(spark, d, "header_feed"), table(spark, d, "sync_runs"))
 
+def sql_fold(column: str) -> str:
+    out = f"coalesce({column}, '')"
+    for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("Ä", "Ae"), ("Ö", "Oe"), ("Ü", "Ue"), ("ß", "ss")):
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"strip_accents(lower({out}))"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": p5_found}
-SQL: dict[str, str] = {}
+
+def sql_tokens(column: str) -> str:
+    return f"list_filter(string_split_regex({sql_fold(column)}, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+
+
+TOKENS = "toks AS (SELECT id, " + ", ".join(f"{sql_tokens(c)} AS t_{c}" for c in WEIGHTS) + " FROM messages)"
+
+
+def sql_hits(column: str, word: str, prefix: bool = True) -> str:
+    test = f"starts_with(w, '{word}')" if prefix else f"w = '{word}'"
+    return f"len(list_filter(t_{column}, lambda w: {test}))"
+
+
+def sql_any(word: str, prefix: bool = True) -> str:
+    return "(" + " OR ".join(f"{sql_hits(c, word, prefix)} > 0" for c in WEIGHTS) + ")"
+
+
+def sql_date(ms: str = "m.date") -> str:
+    return f"make_timestamp({ms} * 1000)"
+
+
+def register(name: str, run: Query, sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql is not None:
+        SQL[name] = sql
+
+
+def matching(name: str, query: str, where: str, source: str = PLACES, with_: str = "", **filters: str) -> None:
+    """A query of the search language whose result is the ids of the rows that match."""
+    register(name, lambda s, d: select(Mailbox.read(s, d), query, **filters)[0].select("id"), f"{with_} SELECT m.id FROM {source} WHERE {where}")
+
+
+# ---- filters
+
+matching("q_filter_date_range", "after:2025-02 before:2025-07-15", "m.date >= epoch_ms(TIMESTAMP '2025-02-01') AND m.date < epoch_ms(TIMESTAMP '2025-07-15')")
+matching("q_filter_until_inclusive", "since:2024 until:2024-11", "m.date >= epoch_ms(TIMESTAMP '2024-01-01') AND m.date < epoch_ms(TIMESTAMP '2024-12-01')")
+matching("q_filter_relative", "newer_than:300d -older_than:100d", "m.date >= 1772323200000 - 300::BIGINT * 86400000 AND NOT coalesce(m.date < 1772323200000 - 100::BIGINT * 86400000, false)")
+matching("q_filter_flags", "is:unread OR is:flagged", "m.read = 0 OR m.flagged = 1")
+matching("q_filter_not_null_safe", "-in:inbox -is:junk", "NOT coalesce(f.type = 'inbox' OR contains(lower(f.path), 'inbox') OR contains(lower(f.name), 'inbox') OR m.folder_id = 'inbox' OR contains(lower(coalesce(ac.name, '') || f.path), 'inbox'), false) AND NOT coalesce(m.junk = 1, false)")
+matching("q_filter_folder_type", "in:sent", "f.type = 'sent' OR contains(lower(f.path), 'sent') OR contains(lower(f.name), 'sent') OR m.folder_id = 'sent' OR contains(lower(coalesce(ac.name, '') || f.path), 'sent')")
+matching("q_filter_account", 'account:"Konto 1"', "m.account_id = 'Konto 1' OR contains(lower(ac.name), 'konto 1') OR contains(lower(ac.email), 'konto 1')")
+matching("q_filter_from_folded", "from:müller OR from:rüdiger", "contains(m.from_fold, 'mueller') OR contains(m.from_fold, 'ruediger')")
+matching("q_filter_from_me", "from:me", f"m.from_addr IN {ME} AND {NOT_FAILED}")
+matching("q_exists_to_me", "to:me", f"m.id IN (SELECT message_id FROM addresses WHERE role IN ('to', 'cc', 'bcc') AND addr IN {ME})")
+matching("q_exists_with", "with:susanne cc:kontakt", "EXISTS (SELECT 1 FROM addresses a WHERE a.message_id = m.id AND a.role IN ('from', 'to', 'cc', 'bcc') AND contains(a.fold, 'susanne')) AND EXISTS (SELECT 1 FROM addresses a WHERE a.message_id = m.id AND a.role = 'cc' AND contains(a.fold, 'kontakt'))")
+matching("q_exists_in_or", "has:pdf OR is:flagged", "m.flagged = 1 OR EXISTS (SELECT 1 FROM attachments a WHERE a.message_id = m.id AND (lower(a.filename) LIKE '%.pdf' OR lower(a.content_type) LIKE '%pdf%'))")
+matching("q_not_exists_anti", "has:attachment -filename:pdf", "m.attachment_count > 0 AND NOT EXISTS (SELECT 1 FROM attachments a WHERE a.message_id = m.id AND (contains(lower(a.filename), 'pdf') OR contains(lower(a.content_type), 'pdf')))")
+matching("q_filter_sizes", "larger:100K smaller:2M", "m.size > 102400 AND m.size < 2097152")
+matching("q_filter_list_reply", "list:betrieb OR is:reply", "contains(lower(m.list_id), 'betrieb') OR m.in_reply_to IS NOT NULL")
+matching("q_filter_tag", "tag:$label1 OR tag:wichtig", "contains(lower(m.tags), '\"$label1\"') OR contains(lower(m.tags), '\"wichtig\"')")
+matching("q_filter_authfail", "is:authfail OR is:hidden", "m.auth_verdict = 'fail' OR m.hidden_removed = 1")
+matching(
+    "q_filter_suspicious", "is:suspicious",
+    "coalesce(m.auth_verdict = 'fail', false) OR (m.hidden_removed = 1 AND m.list_id IS NULL AND m.auth_verdict IS DISTINCT FROM 'pass' AND coalesce(m.from_addr, '') NOT IN (SELECT addr FROM contacts) AND coalesce(m.from_addr, '') NOT IN (SELECT addr FROM identities WHERE addr IS NOT NULL))",
+    with_=f"WITH contacts AS (SELECT a.addr FROM addresses a JOIN messages x ON x.id = a.message_id WHERE a.role IN ('to', 'cc', 'bcc') AND a.addr LIKE '%@%' AND x.from_addr IN {ME} AND a.addr NOT IN {ME} GROUP BY 1)",
+)
+matching("q_filter_structured", "-is:read", "NOT coalesce(m.read = 1, false) AND (f.type = 'inbox' OR contains(lower(f.path), 'inbox') OR contains(lower(f.name), 'inbox') OR m.folder_id = 'inbox' OR contains(lower(coalesce(ac.name, '') || f.path), 'inbox')) AND m.date >= epoch_ms(TIMESTAMP '2025-01-01')", folder="inbox", since="2025")
+
+# ---- words
+
+TOKENS_OF = "messages m JOIN toks USING (id)"
+matching("q_fts_word_prefix", "zähler", sql_any("zaehler"), TOKENS_OF, f"WITH {TOKENS}")
+matching("q_fts_and", "rechnung montag", f"{sql_any('rechnung')} AND {sql_any('montag')}", TOKENS_OF, f"WITH {TOKENS}")
+matching("q_fts_or", "invoice OR facture OR rechnung", f"{sql_any('invoice')} OR {sql_any('facture')} OR {sql_any('rechnung')}", TOKENS_OF, f"WITH {TOKENS}")
+matching("q_fts_not", "lieferung -spedition", f"{sql_any('lieferung')} AND NOT {sql_any('spedition')}", TOKENS_OF, f"WITH {TOKENS}")
+matching("q_fts_column", "subject:plan body:zoll", f"{sql_hits('subject', 'plan')} > 0 AND {sql_hits('body', 'zoll')} > 0", TOKENS_OF, f"WITH {TOKENS}")
+matching(
+    "q_fts_phrase", '"the spare part"',
+    " OR ".join(f"len(list_filter(range(1, len(t_{c}) - 1), lambda i: t_{c}[i] = 'the' AND t_{c}[i + 1] = 'spare' AND t_{c}[i + 2] = 'part')) > 0" for c in WEIGHTS), TOKENS_OF, f"WITH {TOKENS}",
+)
+matching("q_fts_mixed_tree", "(rechnung OR is:flagged) -(from:me OR facture)", f"({sql_any('rechnung')} OR coalesce(m.flagged = 1, false)) AND NOT ((m.from_addr IN {ME} AND {NOT_FAILED}) OR {sql_any('facture')})", TOKENS_OF, f"WITH {TOKENS}")
+
+
+def _bm25(words: list[str]) -> str:
+    length = " + ".join(f"len(t_{c})" for c in WEIGHTS)
+    stats = ", ".join(f"count(*) FILTER ({sql_any(w)}) AS df{i}" for i, w in enumerate(words))
+    score = []
+    for i, w in enumerate(words):
+        idf = f"CASE WHEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df{i} + 0.5) / (df{i} + 0.5)) END"
+        tf = "(" + " + ".join(f"{x} * {sql_hits(c, w)}" for c, x in WEIGHTS.items()) + ")"
+        score.append(f"({idf}) * {tf} * 2.2 / ({tf} + 1.2 * (0.25 + 0.75 * ({length}) / mean))")
+    where = " AND ".join(sql_any(w) for w in words)
+    return f"""WITH {TOKENS}, stats AS (SELECT count(*)::DOUBLE AS n, avg({length}) AS mean, {stats} FROM toks),
+        scored AS (SELECT m.id, m.mid, m.date, {' + '.join(score)} AS score FROM messages m JOIN toks USING (id), stats WHERE {where})"""
+
+
+register(
+    "q_fts_bm25_score", lambda s, d: search.scored(Mailbox.read(s, d), "rechnung zoll").select("id", F.round("score", 3).alias("score")),
+    _bm25(["rechnung", "zoll"]) + " SELECT id, round(score, 3) AS score FROM scored",
+)
+register(
+    "q_fts_bm25_top", lambda s, d: search.search(Mailbox.read(s, d), "lieferung montag", limit=50).select("id", "copies", "score"),
+    _bm25(["lieferung", "montag"]) + """, folded AS (SELECT id, date, score, count(*) OVER (PARTITION BY mid) AS copies, row_number() OVER (PARTITION BY mid ORDER BY round(score * 2) DESC, date DESC NULLS LAST, id DESC) AS k FROM scored)
+        SELECT id, copies, round(score, 2) AS score FROM folded WHERE k = 1 ORDER BY round(folded.score * 2) DESC, date DESC NULLS LAST, id DESC LIMIT 50""",
+)
+register(
+    "q_search_page_newest", lambda s, d: search.search(Mailbox.read(s, d), "is:unread", limit=30, offset=30).select("id", "copies"),
+    "WITH x AS (SELECT id, date, count(*) OVER (PARTITION BY mid) AS copies, row_number() OVER (PARTITION BY mid ORDER BY date DESC NULLS LAST, id DESC) AS k FROM messages WHERE read = 0) SELECT id, copies FROM x WHERE k = 1 ORDER BY date DESC NULLS LAST, id DESC LIMIT 30 OFFSET 30",
+)
+register(
+    "q_dedupe_copies", lambda s, d: search.fold_copies(table(s, d, "messages"), F.col("id").asc()).select("id", "copies"),
+    "SELECT min(id) AS id, count(*) AS copies FROM messages GROUP BY mid",
+)
+register(
+    "q_postings_df", lambda s, d: search.postings(table(s, d, "messages")).groupBy("term", "col").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("positions")).cast("bigint").alias("hits")),
+    f"WITH {TOKENS}, t AS (" + " UNION ALL ".join(f"SELECT id, '{c}' AS col, unnest(t_{c}) AS term FROM toks" for c in WEIGHTS) + ") SELECT term, col, count(DISTINCT id) AS docs, count(*) AS hits FROM t GROUP BY ALL",
+)
+
+# ---- counts
+
+KEY_SQL = {
+    "year": f"strftime({sql_date()}, '%Y')", "month": f"strftime({sql_date()}, '%Y-%m')", "day": f"strftime({sql_date()}, '%Y-%m-%d')", "hour": f"strftime({sql_date()}, '%H')",
+    "week": f"strftime({sql_date()}, '%Y-W%W')", "weekday": f"strftime({sql_date()}, '%a')", "from": "m.from_addr", "domain": "substr(m.from_addr, instr(m.from_addr, '@') + 1)",
+    "folder": "coalesce(ac.name, '') || f.path", "account": "coalesce(ac.name, m.account_id)", "list": "m.list_id", "thread": "m.thread_id",
+    "direction": f"CASE WHEN m.from_addr IN {ME} AND {NOT_FAILED} THEN 'sent' ELSE 'received' END",
+}
+
+
+def counting(*keys: str) -> None:
+    columns = ", ".join(f"{KEY_SQL[k]} AS key_{k}" for k in keys)
+    register(f"q_count_by_{'_'.join(keys)}", lambda s, d: counts.count_by(Mailbox.read(s, d), *keys), f"SELECT {columns}, count(DISTINCT m.mid) AS n FROM {PLACES} GROUP BY ALL")
+
+
+for _keys in (*((k,) for k in counts.KEYS), ("year", "direction"), ("month", "account"), ("domain", "weekday")):
+    counting(*_keys)
+register("q_count_total", lambda s, d: counts.total(Mailbox.read(s, d), "is:unread has:attachment"), "SELECT count(DISTINCT mid) AS n FROM messages WHERE read = 0 AND attachment_count > 0")
+register(
+    "q_status", lambda s, d: table(s, d, "messages").groupBy("content_state").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("mid").alias("mails"), F.count_distinct("thread_id").alias("threads"), F.min("date").alias("first"), F.max("date").alias("last")),
+    "SELECT content_state, count(*) AS n, count(DISTINCT mid) AS mails, count(DISTINCT thread_id) AS threads, min(date) AS first, max(date) AS last FROM messages GROUP BY 1",
+)
+register(
+    "q_folder_status", lambda s, d: table(s, d, "folders").select("id", "account_id", "type", "total", "unread").join(table(s, d, "messages").groupBy(F.col("folder_id").alias("id")).agg(F.count(F.lit(1)).alias("indexed_rows"), F.count_if(F.col("read") == 0).alias("unread_rows")), "id", "left"),
+    "SELECT f.id, f.account_id, f.type, f.total, f.unread, m.indexed_rows, m.unread_rows FROM folders f LEFT JOIN (SELECT folder_id, count(*) AS indexed_rows, count(*) FILTER (read = 0) AS unread_rows FROM messages GROUP BY 1) m ON m.folder_id = f.id",
+)
+
+# ---- people and threads
+
+PEOPLE = f"""SELECT ad.addr, count(DISTINCT CASE WHEN ad.role = 'from' THEN m.mid END) AS received, count(DISTINCT CASE WHEN ad.role IN ('to', 'cc', 'bcc') AND m.from_addr IN {ME} THEN m.mid END) AS sent,
+    count(DISTINCT CASE WHEN ad.role IN ('to', 'cc') AND m.from_addr NOT IN {ME} THEN m.mid END) AS also_on, min(m.date) AS first, max(m.date) AS last,
+    max(CASE WHEN ad.role = 'from' THEN m.date END) AS last_received, max(CASE WHEN ad.role IN ('to', 'cc', 'bcc') AND m.from_addr IN {ME} THEN m.date END) AS last_sent
+    FROM addresses ad JOIN messages m ON m.id = ad.message_id WHERE ad.addr IS NOT NULL AND ad.addr <> '' AND ad.addr NOT IN {ME} GROUP BY ad.addr"""
+NAMES = "SELECT addr, name FROM (SELECT addr, name, row_number() OVER (PARTITION BY addr ORDER BY role <> 'from', count(*) DESC, name) AS k FROM (SELECT addr, name, CASE WHEN role = 'from' THEN 'from' ELSE 'other' END AS role FROM addresses WHERE name IS NOT NULL AND name <> '' AND name <> addr) GROUP BY addr, name, role) WHERE k = 1"
+register("q_people", lambda s, d: people.people(Mailbox.read(s, d), limit=None), f"WITH p AS ({PEOPLE}), n AS ({NAMES}) SELECT p.addr, n.name, p.* EXCLUDE (addr) FROM p LEFT JOIN n ON n.addr IS NOT DISTINCT FROM p.addr")
+register("q_people_top", lambda s, d: people.people(Mailbox.read(s, d), limit=25).select("addr", "received", "sent"), f"SELECT addr, received, sent FROM ({PEOPLE}) ORDER BY received + sent DESC, last DESC NULLS LAST, addr LIMIT 25")
+register("q_display_names", lambda s, d: people.display_names(table(s, d, "addresses")), NAMES)
+register(
+    "q_contacts", lambda s, d: Mailbox.read(s, d).contacts(),
+    f"SELECT ad.addr, count(DISTINCT m.mid) AS sent, max(m.date) AS last_sent FROM addresses ad JOIN messages m ON m.id = ad.message_id WHERE ad.role IN ('to', 'cc', 'bcc') AND contains(ad.addr, '@') AND m.from_addr IN {ME} AND ad.addr NOT IN {ME} GROUP BY 1",
+)
+register(
+    "q_own_addresses", lambda s, d: people.own_addresses(Mailbox.read(s, d), configured=["me@own.example"]),
+    """WITH sent AS (SELECT m.* FROM messages m JOIN folders f ON f.id = m.folder_id WHERE f.type = 'sent'), size AS (SELECT count(*) AS size FROM sent),
+    busy AS (SELECT lower(trim(from_addr)) AS addr, count(DISTINCT mid) AS n FROM sent WHERE contains(from_addr, '@') GROUP BY 1),
+    every AS (SELECT lower(trim(email)) AS addr, 0 AS rank, 'account' AS source FROM accounts UNION ALL SELECT 'me@own.example', 1, 'config'
+      UNION ALL (SELECT addr, 2, 'sent' FROM busy, size WHERE n >= greatest(2, least(5, ceil(size / 200.0))) ORDER BY n DESC, addr LIMIT 200))
+    SELECT addr, arg_min(source, rank) AS source FROM every WHERE contains(addr, '@') GROUP BY 1""",
+)
+THREADS = f"""WITH t AS (SELECT thread_id, count(DISTINCT mid) AS matched FROM messages m WHERE {{where}} AND thread_id IS NOT NULL GROUP BY 1)
+    SELECT m.thread_id, any_value(t.matched) AS matched, count(DISTINCT m.mid) AS n, min(m.date) AS first, max(m.date) AS last,
+    count(DISTINCT CASE WHEN m.from_addr IN {ME} AND {NOT_FAILED} THEN m.mid END) AS mine FROM t JOIN messages m ON m.thread_id = t.thread_id GROUP BY 1"""
+register(
+    "q_threads_mine", lambda s, d: threads.threads(Mailbox.read(s, d), "is:unread", min_messages=3, mine=True, limit=None).select("thread_id", "matched", "n", "first", "last", "mine"),
+    f"SELECT * FROM ({THREADS.format(where='m.read = 0')}) WHERE n >= 3 AND mine > 0",
+)
+register(
+    "q_threads_longest", lambda s, d: threads.threads(Mailbox.read(s, d), sort="count", limit=40).select("thread_id", "n", "last"),
+    f"SELECT thread_id, n, last FROM ({THREADS.format(where='true')}) ORDER BY n DESC, last DESC NULLS LAST, thread_id LIMIT 40",
+)
+register(
+    "q_thread_participants", lambda s, d: threads.participants(Mailbox.read(s, d)),
+    f"""SELECT * FROM (SELECT m.thread_id, row_number() OVER (PARTITION BY m.thread_id ORDER BY count(*) FILTER (a.role = 'from') DESC, count(DISTINCT m.mid) DESC, a.addr) AS place, a.addr, count(DISTINCT m.mid) AS n, count(*) FILTER (a.role = 'from') AS wrote
+    FROM addresses a JOIN messages m ON m.id = a.message_id WHERE m.thread_id IS NOT NULL AND a.role IN ('from', 'to', 'cc') AND contains(a.addr, '@') AND a.addr NOT IN {ME} GROUP BY m.thread_id, a.addr) WHERE place <= 12""",
+)
+register(
+    "q_thread_one", lambda s, d: threads.thread(Mailbox.read(s, d), 2),
+    "WITH x AS (SELECT *, row_number() OVER (PARTITION BY mid ORDER BY date NULLS FIRST, id) AS k FROM messages WHERE thread_id = 2) SELECT row_number() OVER (ORDER BY date NULLS FIRST, id) AS position, id, mid, date, from_addr, subject FROM x WHERE k = 1",
+)
+register(
+    "q_subject_band", lambda s, d: threads.subject_partners(Mailbox.read(s, d)),
+    "SELECT * FROM (SELECT id, lag(id) OVER w AS partner, date - lag(date) OVER w AS gap FROM messages WHERE subject_norm <> '' AND date <> 0 WINDOW w AS (PARTITION BY subject_norm ORDER BY date, id)) WHERE gap <= 60::BIGINT * 86400000",
+)
+
+# ---- joins, windows and sets of the index
+
+register(
+    "q_first_attachment", lambda s, d: table(s, d, "messages").select("id", "mid").join(table(s, d, "attachments").groupBy(F.col("message_id").alias("id")).agg(F.min_by("filename", F.struct("idx", F.col("id"))).alias("first_name"), F.count(F.lit(1)).alias("n")), "id", "left").select("id", "first_name", "n"),
+    "SELECT m.id, a.first_name, a.n FROM messages m LEFT JOIN (SELECT message_id, arg_min_null(filename, (idx, id)) AS first_name, count(*) AS n FROM attachments GROUP BY 1) a ON a.message_id = m.id",
+)
+register(
+    "q_attachment_names", lambda s, d: table(s, d, "attachments").filter("filename is not null").groupBy("message_id").agg(F.array_join(F.sort_array(F.collect_list("filename")), ", ").alias("names")),
+    "SELECT message_id, string_agg(filename, ', ' ORDER BY filename) AS names FROM attachments WHERE filename IS NOT NULL GROUP BY 1",
+)
+register(
+    "q_unanswered_mail", lambda s, d: table(s, d, "messages").filter("mid is not null").select("id", clean_mid(F.col("mid")).alias("mail")).join(table(s, d, "messages").select(clean_mid(F.col("in_reply_to")).alias("mail")).filter("mail is not null"), "mail", "left_anti").select("id"),
+    "SELECT id FROM messages m WHERE mid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM messages r WHERE lower(regexp_replace(r.in_reply_to, '[\\s<>]+', '', 'g')) = lower(regexp_replace(m.mid, '[\\s<>]+', '', 'g')))",
+)
+register(
+    "q_refs_resolved", lambda s, d: table(s, d, "refs").select("message_id", clean_mid(F.col("ref_mid")).alias("mail")).distinct().join(table(s, d, "messages").groupBy(clean_mid(F.col("mid")).alias("mail")).agg(F.min("id").alias("target")), "mail", "left").select("message_id", "mail", "target"),
+    "SELECT r.message_id, r.mail, m.target FROM (SELECT DISTINCT message_id, lower(regexp_replace(ref_mid, '[\\s<>]+', '', 'g')) AS mail FROM refs) r LEFT JOIN (SELECT lower(regexp_replace(mid, '[\\s<>]+', '', 'g')) AS mail, min(id) AS target FROM messages GROUP BY 1) m USING (mail)",
+)
+register(
+    "q_newest_versions", lambda s, d: reconcile.newest_versions(table(s, d, "header_feed")).select("folder_id", "mail", "feed_id"),
+    "SELECT folder_id, lower(regexp_replace(mid, '[\\s<>]+', '', 'g')) AS mail, arg_max(feed_id, (coalesce(seen_at, -4611686018427387904), feed_id)) AS feed_id FROM header_feed GROUP BY 1, 2",
+)
+
+
+def _reconcile(s: SparkSession, d: str) -> DataFrame:
+    remote = reconcile.newest_versions(table(s, d, "header_feed")).select("folder_id", F.col("mail").alias("mid"), F.col("feed_id").alias("remote_id"), "read", "flagged")
+    local = table(s, d, "messages").select("folder_id", "mid", F.col("id").alias("local_id"), "read", "flagged")
+    return reconcile.reconcile(remote, local).groupBy("change").agg(F.count(F.lit(1)).alias("n"), F.sum("remote_id").cast("bigint").alias("remote_sum"), F.sum("local_id").cast("bigint").alias("local_sum"))
+
+
+register(
+    "q_reconcile_full_outer", _reconcile,
+    """WITH r0 AS (SELECT folder_id, lower(regexp_replace(mid, '[\\s<>]+', '', 'g')) AS mid, arg_max(feed_id, (coalesce(seen_at, -4611686018427387904), feed_id)) AS remote_id FROM header_feed GROUP BY 1, 2),
+    r AS (SELECT r0.*, h.read AS rr, h.flagged AS rf, 1 AS k FROM r0 JOIN header_feed h ON h.feed_id = r0.remote_id),
+    l AS (SELECT folder_id, lower(regexp_replace(mid, '[\\s<>]+', '', 'g')) AS mid, id AS local_id, read AS lr, flagged AS lf, row_number() OVER (PARTITION BY folder_id, lower(regexp_replace(mid, '[\\s<>]+', '', 'g')) ORDER BY id) AS k FROM messages),
+    b AS (SELECT *, CASE WHEN local_id IS NULL THEN 'new' WHEN remote_id IS NULL THEN 'gone' WHEN rr IS NOT DISTINCT FROM lr AND rf IS NOT DISTINCT FROM lf THEN 'kept' ELSE 'changed' END AS change FROM r FULL OUTER JOIN l USING (folder_id, mid, k)),
+    n AS (SELECT mid, remote_id, row_number() OVER (PARTITION BY mid ORDER BY folder_id, k) AS q FROM b WHERE change = 'new'), g AS (SELECT mid, local_id, row_number() OVER (PARTITION BY mid ORDER BY folder_id, k) AS q FROM b WHERE change = 'gone'),
+    a AS (SELECT CASE WHEN local_id IS NULL THEN 'new' WHEN remote_id IS NULL THEN 'gone' ELSE 'moved' END AS change, remote_id, local_id FROM n FULL OUTER JOIN g USING (mid, q) UNION ALL SELECT change, remote_id, local_id FROM b WHERE change IN ('kept', 'changed'))
+    SELECT change, count(*) AS n, sum(remote_id)::BIGINT AS remote_sum, sum(local_id)::BIGINT AS local_sum FROM a GROUP BY 1""",
+)
+
+# ---- vectors
+
+VECTOR = [((i * 37) % 17 - 8) / 8 for i in range(64)]
+_LIST = "[" + ", ".join(f"{x}::DOUBLE" for x in VECTOR) + "]"
+_COSINE = f"round(list_dot_product(vec::DOUBLE[], {_LIST}) / (sqrt(list_dot_product(vec::DOUBLE[], vec::DOUBLE[])) * sqrt(list_dot_product({_LIST}, {_LIST}))), 6)"
+NEAREST = f"SELECT message_id, CASE WHEN list_dot_product(vec::DOUBLE[], vec::DOUBLE[]) = 0 THEN 0.0 ELSE {_COSINE} END AS score FROM mail_vectors WHERE len(vec) = 64 ORDER BY score DESC, message_id LIMIT 20"
+register("q_vector_topk", lambda s, d: semantic.nearest(table(s, d, "mail_vectors"), VECTOR, 20), NEAREST)
+
+
+def _hybrid(s: SparkSession, d: str) -> DataFrame:
+    near = semantic.ranked(semantic.nearest(table(s, d, "mail_vectors"), VECTOR, 50), F.col("score").desc(), "message_id", key="message_id").withColumnRenamed("message_id", "id")
+    found = search.search(Mailbox.read(s, d), "rechnung", sort="date", limit=50)
+    return semantic.fuse(near, semantic.ranked(found, F.col("date").desc_nulls_last(), F.col("id").desc()))
+
+
+register(
+    "q_rrf_hybrid", _hybrid,
+    f"""WITH {TOKENS}, near AS ({NEAREST.replace('LIMIT 20', 'LIMIT 50')}), v AS (SELECT message_id AS id, row_number() OVER (ORDER BY score DESC, message_id) - 1 AS place FROM near),
+    m0 AS (SELECT m.id, m.date, row_number() OVER (PARTITION BY m.mid ORDER BY m.date DESC NULLS LAST, m.id DESC) AS k FROM messages m JOIN toks USING (id) WHERE {sql_any('rechnung')}),
+    m1 AS (SELECT id, row_number() OVER (ORDER BY date DESC NULLS LAST, id DESC) - 1 AS place FROM (SELECT * FROM m0 WHERE k = 1 ORDER BY date DESC NULLS LAST, id DESC LIMIT 50))
+    SELECT id, round(sum(1.0::DOUBLE / (60 + place)), 8) AS score FROM (SELECT * FROM v UNION ALL SELECT * FROM m1) GROUP BY 1""",
+)
+
+# ---- text functions
+
+register("q_text_fold", lambda s, d: table(s, d, "addresses").select("name").distinct().select("name", T.fold(F.col("name")).alias("folded")).filter("name is not null"), f"SELECT DISTINCT name, {sql_fold('name')} AS folded FROM addresses WHERE name IS NOT NULL")
+register(
+    "q_subject_norm", lambda s, d: table(s, d, "messages").select("id", T.normalize_subject(F.col("subject")).alias("bare")),
+    "SELECT id, trim(regexp_replace(trim(coalesce(subject, '')), '(?i)^\\s*(?:(?:(?:re|aw|wg|fwd?|fw|sv|vs|ref|antw|tr|rif|r)[ \\t]*(?:\\[\\d{1,4}\\])?[ \\t]*:|\\[[^\\]]{1,40}\\])[ \\t]*){1,20}', '')) AS bare FROM messages",
+)
+register(
+    "q_snippet", lambda s, d: table(s, d, "messages").select("id", T.snippet(F.col("body"), 80).alias("snippet")),
+    """WITH a AS (SELECT id, trim(regexp_replace(coalesce(body, ''), '[ \\t\\r\\n\\f]+', ' ', 'g')) AS flat FROM messages), b AS (SELECT *, substr(flat, 1, 80) AS head, 80 - instr(reverse(substr(flat, 1, 80)), ' ') AS cut FROM a)
+    SELECT id, CASE WHEN length(flat) <= 80 THEN flat ELSE (CASE WHEN instr(head, ' ') > 0 AND cut > 48 THEN substr(head, 1, cut) ELSE head END) || '…' END AS snippet FROM b""",
+)
+register("q_clean_mid", lambda s, d: table(s, d, "header_feed").select("feed_id", clean_mid(F.col("mid")).alias("mail")), "SELECT feed_id, nullif(lower(regexp_replace(mid, '[\\s<>]+', '', 'g')), '') AS mail FROM header_feed")
+register(
+    "q_auth_verdict", lambda s, d: table(s, d, "messages").select("id", T.auth_verdict(F.col("auth_json")).alias("verdict")),
+    """WITH a AS (SELECT id, auth_json->>'spf' AS spf, auth_json->>'dkim' AS dkim, auth_json->>'dmarc' AS dmarc FROM messages)
+    SELECT id, CASE WHEN dmarc IN ('pass', 'fail') THEN dmarc WHEN (coalesce(spf, '') = 'fail' OR coalesce(dkim, '') = 'fail') AND NOT (coalesce(spf, '') = 'pass' OR coalesce(dkim, '') = 'pass') THEN 'fail' END AS verdict FROM a""",
+)
+register(
+    "q_sanitize", lambda s, d: table(s, d, "documents").select("doc_id", T.sanitize(F.col("text")).alias("s")).select("doc_id", F.length("s.text").cast("bigint").alias("kept"), F.col("s.removed").alias("removed")),
+)
+
+# ---- incremental runs
+
+
+register("p5_found", lambda s, d: incremental.replay(table(s, d, "header_feed"), table(s, d, "sync_runs")))
+
+# ---- ad-hoc SQL over whole tables, behind the guard
+
+
+def adhoc(name: str, sql: str, names: str) -> None:
+    register(name, lambda s, d: sqlguard.run(s, sql, {t: table(s, d, t) for t in names.split()}), sql)
+
+
+adhoc("q_sql_pricing", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus", "lineitem")
+adhoc("q_sql_join_region", "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY n_name", "customer orders lineitem nation region")
+adhoc("q_sql_window_rank", "SELECT o_custkey, o_orderkey, rank FROM (SELECT o_custkey, o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS rank FROM orders) t WHERE rank <= 2", "orders")
+adhoc("q_sql_cte_anti", "WITH late AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_discount > 0.09) SELECT count(*) AS n FROM orders WHERE NOT EXISTS (SELECT 1 FROM late WHERE l_orderkey = o_orderkey)", "lineitem orders")
+adhoc("q_sql_set_ops", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier EXCEPT SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 0", "customer supplier nation")
