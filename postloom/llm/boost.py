@@ -12,7 +12,7 @@ class Booster:
         self.edges, self.trees, self.base = edges, trees, base
 
     @staticmethod
-    def learn(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = 60, depth: int = 5, rate: float = 0.2, bins: int = 32) -> Booster:
+    def learn(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = 40, depth: int = 5, rate: float = 0.25, bins: int = 32) -> Booster:
         n, d = x.shape
         w = np.ones(n) if weight is None else weight
         edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins)[1:-1])) for j in range(d)]
@@ -53,12 +53,20 @@ class Booster:
     def score(self, x: np.ndarray) -> np.ndarray:
         """Log odds of class 1."""
         n = len(x)
-        b = np.stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.edges)], 1) if n else np.zeros((0, len(self.edges)), int)
-        out = np.full(n, self.base)
-        rows = np.arange(n)
+        if not n:
+            return np.zeros(0)
+        d = len(self.edges)
+        b = np.empty((n, d), np.uint8)
+        for j, e in enumerate(self.edges):
+            b[:, j] = np.searchsorted(e, x[:, j], side="right")
+        flat, rows = b.ravel(), np.arange(n, dtype=np.int32) * d
+        out = np.full(n, self.base, np.float32)
         for feature, cut, value in self.trees:
-            at = np.zeros(n, np.int64)
-            while len(at) and at[0] < len(feature):
-                at = 2 * at + 1 + (b[rows, feature[at]] > cut[at])
-            out += value[at - len(feature)] if n else 0
+            at = np.zeros(n, np.int32)
+            inner, feature, cut = len(feature), feature.astype(np.int32), cut.astype(np.uint8)
+            level = 1
+            while level <= inner:
+                at = 2 * at + 1 + (flat[rows + feature[at]] > cut[at])
+                level *= 2
+            out += value[at - inner].astype(np.float32)
         return out

@@ -52,13 +52,16 @@ _CLOSE = re.compile(
     re.I,
 )
 _DEVICE = re.compile(r"^\W*(?:(?:diese nachricht wurde )?(?:gesendet|geschickt|versendet) (?:von|mit)|von (?:unterwegs|meinem|mobil)|sent (?:from|on|via|by)|get outlook|envoyé (?:de|depuis|avec|à partir)|from my|mobil gesendet)\b.{0,60}$", re.I)
-_LEGAL = re.compile(
-    r"vertraulich|confidenti|irrtümlich|by accident|in error\b|par erreur|haftung|liabilit|responsabilité|übertragungsfehler|in transmission|de transmission|weitergabe|passing on|diffusion|destinataire|empfänger gedacht|addressed to|intended recipient|(?:bitte )?drucken sie|print this|imprim|bind nobody|views stated|n'engage|verbindlich|without our consent|unsere zustimmung|notre accord|rechtsverbindlich|disclaimer|virus",
-    re.I,
-)
-_FOOT = re.compile(
-    r"abmelden|abbestell|austragen|unsubscri|désabonn|désinscri|mailing list|verteiler|you (?:get|receive|are receiving) this|sie (?:bekommen|erhalten) diese|vous recevez|weil sie|because you|parce que vous|https?://\S*(?:list|news|unsub|out|abmeld)", re.I
-)
+# Parts of words by which notices and list footers are known, in lower case.
+_LEGAL = (
+    "vertraulich", "confidenti", "irrtümlich", "by accident", "received this in error", "par erreur", "haftung", "liabilit", "responsabilité", "übertragungsfehler", "in transmission",
+    "de transmission", "weitergabe", "passing on", "diffusion", "destinataire", "empfänger gedacht", "addressed to", "intended recipient", "drucken sie", "print this", "imprim",
+    "bind nobody", "views stated", "n'engage", "rechtsverbindlich", "without our consent", "unsere zustimmung", "notre accord", "disclaimer",
+)
+_FOOT = (
+    "abmelden", "abbestell", "austragen", "unsubscri", "désabonn", "désinscri", "mailing list", "verteiler", "you get this", "you receive this", "you are receiving this",
+    "sie bekommen diese", "sie erhalten diese", "vous recevez", "because you", "parce que vous", "https://list", "https://news", "http://list", "unsub", "abmeld",
+)
 _MAIL = re.compile(r"\S+@\S+\.\w")
 _PHONE = re.compile(r"(?:\+|\b0|\(0)[\d\s().\[\]/–-]{6,}\d|\b(?:tel|fon|phone|telefon|mobil|fax|t|m)\b\.? ?:? ?[+(\d]", re.I)
 _SITE = re.compile(r"https?://|\bwww\.\S+", re.I)
@@ -81,42 +84,50 @@ class Block:
 
 
 def _kind(bare: str) -> str:
-    if _RULE.match(bare):
-        return "rule"
-    if _SPLIT.match(bare) and _SPLIT_WORD.search(bare):
-        return "split"
-    if _ATTR.match(bare):
+    first, n = bare[0], len(bare)
+    if not first.isalnum():
+        if _RULE.match(bare):
+            return "rule"
+        if first in "-_=*" and _SPLIT.match(bare) and _SPLIT_WORD.search(bare):
+            return "split"
+    if bare[-1] == ":" and (_ATTR.match(bare) or _SPLIT.match(bare)):
         return "attr"
-    if _HEAD.match(bare):
+    if ":" in bare[:18] and _HEAD.match(bare):
         return "head"
-    if _DEVICE.match(bare):
-        return "device"
-    if len(bare) < 60 and _CLOSE.match(bare):
-        return "close"
-    if len(bare) < 60 and _SALUTE.match(bare):
-        return "salute"
-    if _FOOT.search(bare) and (_SITE.search(bare) or len(bare) < 110):
+    if n < 90:
+        if _DEVICE.match(bare):
+            return "device"
+        if n < 60:
+            if _CLOSE.match(bare):
+                return "close"
+            if _SALUTE.match(bare):
+                return "salute"
+    low = bare.lower()
+    if (n < 110 or "http" in low) and any(w in low for w in _FOOT) and (n < 110 or _SITE.search(bare)):
         return "foot"
-    if _LEGAL.search(bare):
-        return "legal"
-    return "text"
+    return "legal" if any(w in low for w in _LEGAL) else "text"
+
+
+@functools.lru_cache(maxsize=100_000)
+def _line(x: str) -> tuple[int, str, str]:
+    """Quote depth, text without marks, kind."""
+    m = _PREFIX.match(x) if x[:1] in " >|" or ">" in x[:6] else None
+    if m:
+        return m[0].count(">") + m[0].count("|"), x[m.end() :].strip(), "quote"
+    bare = x.strip()
+    return 0, bare, _kind(bare) if bare else "blank"
 
 
 def blocks(lines: list[str]) -> list[Block]:
-    """The blocks of a mail given as its lines; blank lines belong to none."""
-    bare, depth, kinds = [], [], []
-    for x in lines:
-        x = x.rstrip("\r")
-        m = _PREFIX.match(x)
-        depth.append(len(re.findall(r"[>|]", m[0])) if m else 0)
-        bare.append((x[m.end() :] if m else x).strip())
-        kinds.append(_kind(bare[-1]) if bare[-1] else "blank")
+    """The blocks of a mail given as its lines; blank lines belong to none, a run of quoted lines is one."""
+    read = [_line(x) for x in lines]
+    depth, bare, kinds = [r[0] for r in read], [r[1] for r in read], [r[2] for r in read]
     # introductions over two lines
     for i in range(len(lines) - 1):
-        if kinds[i] == "text" and kinds[i + 1] in ("text", "attr") and depth[i] == depth[i + 1] and bare[i + 1].endswith(":") and len(bare[i]) < 110 and _ATTR_A.match(bare[i]) and _ATTR_B.match(bare[i + 1]):
+        if bare[i + 1][-1:] == ":" and kinds[i] == "text" and kinds[i + 1] in ("text", "attr") and depth[i] == depth[i + 1] and len(bare[i]) < 110 and _ATTR_A.match(bare[i]) and _ATTR_B.match(bare[i + 1]):
             kinds[i] = kinds[i + 1] = "attr"
     # header fields count only in runs of two or more with a date or an address among them
-    i = 0
+    i = 0 if "head" in kinds else len(lines)
     while i < len(lines):
         j = i
         while j < len(lines) and kinds[j] == "head" and depth[j] == depth[i]:
@@ -129,68 +140,93 @@ def blocks(lines: list[str]) -> list[Block]:
             i += 1
     out: list[Block] = []
     for i, (b, d, k) in enumerate(zip(bare, depth, kinds)):
-        if k == "blank" and not d:
+        if k == "blank":
             out.append(Block("gap", 0, [], []))
-        elif k == "blank":
-            if out and out[-1].prefix == d and out[-1].kind not in ("gap",):
-                out.append(Block("quoted_blank", d, [i], [""]))
-            else:
-                out.append(Block("quoted_blank", d, [i], [""]))
-        elif out and out[-1].kind == k and out[-1].prefix == d and k not in ("rule", "close", "salute"):
+        elif out and ((out[-1].kind == k and k not in ("rule", "close", "salute")) or (d and out[-1].prefix)):
             out[-1].lines.append(i)
-            out[-1].text.append(b)
+            if b:
+                out[-1].text.append(b)
         else:
-            out.append(Block(k, d, [i], [b]))
+            out.append(Block("text" if d else k, d, [i], [b]))
     return out
 
 
-def _unit(text: str) -> str:
-    return re.sub(r"\W+", " ", text).strip().lower()
-
-
 def units(text: list[str]) -> list[tuple[int, int]]:
     """(hash, length) of the sentences of a block; a block without sentence ends is one unit."""
+    return _units(text[0] if len(text) == 1 else " ".join(text))
+
+
+@functools.lru_cache(maxsize=50_000)
+def _units(text: str) -> list[tuple[int, int]]:
     out = []
-    for s in _SPLIT_UNIT.split(" ".join(text)):
-        u = _unit(s)
-        if len(u) >= 18:
+    for s in _SPLIT_UNIT.split(text) if len(text) >= 18 else ():
+        u = "".join(s.split()).lower()
+        if len(u) >= 15:
             out.append((xxhash.xxh64_intdigest(u) - (1 << 63), len(u)))
     return out
 
 
+@functools.lru_cache(maxsize=50_000)
+def _surface(text: tuple[str, ...]) -> tuple[float, float, float]:
+    """Contacts a line, share of digits, mean length of lines."""
+    whole = "".join(text)
+    digits = sum(map(whole.count, "0123456789"))
+    contacts = 0
+    if digits or "@" in whole or "www." in whole or "http" in whole:
+        for t in text:
+            if "@" in t and _MAIL.search(t):
+                contacts += 1
+            if ("www." in t or "http" in t) and _SITE.search(t):
+                contacts += 1
+            if digits:
+                contacts += bool(_PHONE.search(t)) + bool(len(t) < 50 and _POST.search(t))
+    return contacts / len(text), digits / max(1, len(whole)), len(whole) / len(text)
+
+
 def _plain(text: str) -> str:
     return re.sub(r"(?<=[aou])e|[\W_]", "", text.lower().replace("ä", "a").replace("ö", "o").replace("ü", "u").replace("ß", "ss"))
 
 
 def features(bs: list[Block], sender: str | None, address: str | None, old: set[int], freq: dict[int, int], ancestors: bool) -> np.ndarray:
-    """Features of every block with lines (gaps and blank quoted lines get rows too, but are not used)."""
+    """Features of every block with lines (gaps get rows too, but are not used)."""
     n = len(bs)
-    x = np.zeros((n, len(FEATURES)), np.float32)
+    x: list = [_NOTHING] * n
     words = {w for w in re.findall(r"[^\W\d_]{3,}", (sender or "").lower())}
     local = (address or "").lower()
     family = next((p for p in sorted(re.split(r"[^a-z]+", local.partition("@")[0]), key=len, reverse=True) if len(p) >= 4), "")
+    family = _plain(family)
     intro = signature = salutes = foots = fresh = top = 0
     since = closings = 0
     depth_run = 0
     signed = False
     share = np.zeros(n, np.float32)
-    for i, b in enumerate(bs):
-        us = units(b.text)
-        total = sum(k for _, k in us)
-        share[i] = sum(k for h, k in us if h in old) / total if total else 0.0
-    known = [i for i in range(n) if units(bs[i].text)]
+    all_units = [units(b.text) if b.kind != "gap" else () for b in bs]
+    for i, us in enumerate(all_units):
+        if us and old:
+            share[i] = sum(k for h, k in us if h in old) / sum(k for _, k in us)
+    follows: list[Block | None] = [None] * n
+    for i in range(n - 2, -1, -1):
+        follows[i] = bs[i + 1] if bs[i + 1].kind != "gap" else follows[i + 1]
+    # the largest overlap after and before each block
+    below, above = np.zeros(n + 1, np.float32), np.zeros(n + 1, np.float32)
+    if old:
+        below[:n] = np.maximum.accumulate(share[::-1])[::-1]
+        above[1:] = np.maximum.accumulate(share)
     for i, b in enumerate(bs):
         if b.kind == "gap":
             if signature:
                 signature, signed = 0, True
             continue
-        nxt = next((c for c in bs[i + 1 :] if c.kind not in ("gap", "quoted_blank")), None)
+        nxt = follows[i]
         depth_run = depth_run + len(b.lines) if b.prefix else 0
-        text = " ".join(b.text)
-        low = text.lower()
-        count = max(1, len(b.lines))
-        contacts = sum(bool(_MAIL.search(t)) + bool(_PHONE.search(t)) + bool(_SITE.search(t)) + bool(len(t) < 50 and _POST.search(t)) for t in b.text) / count
-        named = sum(w in low for w in words) / max(1, len(words)) if words else 0.0
+        text = b.text[0]
+        count = len(b.lines)
+        # behind quote marks depth says enough; contact density is for what has none
+        contacts, digits, line_length = (0.0, 0.0, float(len(text))) if b.prefix else _surface(tuple(b.text))
+        named = 0.0
+        if words and line_length < 100 and not b.prefix:
+            low = " ".join(b.text).lower()
+            named = sum(w in low for w in words) / len(words)
         opens = 0
         if b.kind == "rule" and nxt is not None:
             near_gap = bs[i + 1].kind != "gap" if i + 1 < n else False
@@ -200,9 +236,11 @@ def features(bs: list[Block], sender: str | None, address: str | None, old: set[
             if opens == 1 or (near_gap and re.match(r"^(?:--|_{6,}|\* \* \*)\s*$", b.text[0]) and short):
                 signature = 1
                 opens = max(opens, 1)
-        first = b.text[0].lower() if b.text else ""
-        by_name = len(first.split()) <= 6 and len(first) < 60 and first[-1:] not in ".!?:" and (sum(w in first for w in words) >= max(1, len(words) - 1) or bool(family and _plain(family) in _plain(first)))
-        if by_name and b.kind == "text" and not b.prefix and len(b.text) >= 2 and i and bs[i - 1].kind in ("gap", "rule") and all(len(t) < 70 for t in b.text):
+        by_name = False
+        if b.kind == "text" and count >= 2 and not b.prefix and i and bs[i - 1].kind in ("gap", "rule") and len(text) < 60 and text[-1] not in ".!?:":
+            first = text.lower()
+            by_name = len(first.split()) <= 6 and (sum(w in first for w in words) >= max(1, len(words) - 1) or bool(family and family in _plain(first)))
+        if by_name and all(len(t) < 70 for t in b.text):
             signature = 1
         elif b.kind == "text" and not signature and not b.prefix and len(b.text) >= 2 and closings and all(len(t) < 70 for t in b.text) and contacts > 0.15 and (not b.text[0].endswith((".", "!", "?"))):
             signature = 1
@@ -216,13 +254,16 @@ def features(bs: list[Block], sender: str | None, address: str | None, old: set[
             fresh = 1
         elif fresh == 1 and b.kind in ("text", "salute") and not name_below and not b.prefix and bs[i - 1].kind == "gap":
             fresh = 2
-        uses = max((freq.get(h, 0) for h, _ in units(b.text)), default=0)
+        uses = 0
+        if freq:
+            for h, _ in all_units[i]:
+                uses = max(uses, freq.get(h, 0))
         row = (
-            min(b.prefix, 3), min(depth_run, 9), intro, min(since, 20), share[i], ancestors, contacts, named, np.log1p(uses), sum(bool(_LEGAL.search(t)) for t in b.text) / count,
+            min(b.prefix, 3), min(depth_run, 9), intro, min(since, 20), share[i], ancestors, contacts, named, uses, b.kind == "legal",
             b.kind == "foot", b.kind == "device", b.kind == "rule", opens, b.kind == "attr", b.kind == "head", b.kind == "split", b.kind == "salute", b.kind == "close", closings,
-            signature and b.kind == "text", signed, b.lines[0] / max(1, bs[-1].lines[-1] if bs[-1].lines else n), sum(c.isdigit() for c in text) / max(1, len(text)), len(text) / count,
+            signature and b.kind == "text", signed, b.lines[0] / max(1, bs[-1].lines[-1] if bs[-1].lines else n), digits, line_length,
             bool(b.prefix and re.match(r"\d", text)), nxt.prefix if nxt is not None else 0, bs[i - 1].prefix if i else 0, salutes,
-            max((share[k] for k in known if k > i), default=0.0), max((share[k] for k in known if k < i), default=0.0), count, by_name and count >= 2, foots, top, fresh, 0, 0,
+            below[i + 1], above[i], count, by_name, foots, top, fresh, 0, 0,
         )
         x[i] = row
         since += 1
@@ -242,21 +283,23 @@ def features(bs: list[Block], sender: str | None, address: str | None, old: set[
         foots += b.kind == "foot"
         if b.kind not in ("text", "rule") and signature:
             signature = 0
+    x = np.array(x, np.float32).reshape(n, len(FEATURES))
     left, tail = 0, 1
     for i in range(n - 1, -1, -1):
         x[i, -2:] = left, tail
         left += bs[i].kind == "close" and not bs[i].prefix
-        tail = tail and bs[i].kind in ("gap", "quoted_blank", "legal", "foot", "device", "rule")
+        tail = tail and bs[i].kind in ("gap", "legal", "foot", "device", "rule")
     return x
 
 
+_NOTHING = (0.0,) * len(FEATURES)
 _AT = {name: i for i, name in enumerate(FEATURES)}
 
 
 def beyond_doubt(b: Block, x: np.ndarray) -> int | None:
     """1: not newly written, 0: newly written, None: in doubt; by layout and thread alone."""
     f = lambda name: x[_AT[name]]
-    if b.kind in ("gap", "quoted_blank"):
+    if b.kind == "gap":
         return None
     if b.kind in ("attr", "head", "split", "device", "foot"):
         return 1
@@ -316,20 +359,31 @@ def evidence(rows: DataFrame) -> DataFrame:
             for body, quoted in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 seen: dict[int, None] = {}
                 for block in blocks(_lines(body, quoted)[0]):
-                    if block.kind not in ("gap", "quoted_blank"):
+                    if block.kind != "gap":
                         seen.update((h, None) for h, _ in units(block.text))
                 found.append(list(seen))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "hs"])
 
-    hashed = rows.select("id", "body", "quoted").mapInArrow(run, "id bigint, hs array<bigint>")
-    keyed = cut(rows.select("id", "mail", "thread_id", "date", "sender").join(hashed, "id").withColumn("h", F.explode("hs")).drop("hs"))
-    first = keyed.filter("thread_id is not null and date is not null").groupBy("thread_id", "h").agg(F.min(F.struct("date", "mail")).alias("f"))
-    by_sender = keyed.filter("sender is not null").groupBy("sender", "h").agg(F.approx_count_distinct("mail", 0.1).alias("uses")).filter("uses > 1")
-    starts = keyed.filter("thread_id is not null and date is not null").groupBy("thread_id").agg(F.min(F.struct("date", "mail")).alias("s"))
-    old = keyed.join(first, ["thread_id", "h"]).filter((F.col("f.date") < F.col("date")) & (F.col("f.mail") != F.col("mail"))).groupBy("id").agg(F.collect_list("h").alias("old"))
-    uses = keyed.join(by_sender, ["sender", "h"]).groupBy("id").agg(F.collect_list(F.struct("h", "uses")).alias("uses"))
-    later = rows.select("id", "thread_id", "mail", "date").join(starts, "thread_id").filter((F.col("s.date") < F.col("date")) & (F.col("s.mail") != F.col("mail"))).select("id", F.lit(True).alias("ancestors"))
-    return rows.select("id").join(old, "id", "left").join(uses, "id", "left").join(later, "id", "left")
+    hashed = cut(rows.select("id", "body", "quoted").mapInArrow(run, "id bigint, hs array<bigint>"))
+    keys = rows.select("id", "mail", F.xxhash64("thread_id").alias("t"), F.col("thread_id").isNotNull().alias("threaded"), "date", F.xxhash64("sender").alias("s"), F.col("sender").isNotNull().alias("sent"))
+    keyed = keys.join(hashed, "id").withColumn("h", F.explode("hs")).drop("hs")
+    in_thread = keyed.filter("threaded and date is not null").select("id", F.xxhash64("t", "h").alias("th"), "h", "date", "mail")
+    first = in_thread.groupBy("th").agg(F.min(F.struct("date", "mail")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    by_sender = keyed.filter("sent").select(F.xxhash64("s", "h").alias("sh"), "mail").groupBy("sh").agg(F.count(F.lit(1)).alias("uses"), F.min("mail").alias("a"), F.max("mail").alias("b")).filter("a <> b").select("sh", "uses")
+    nothing = {"old": "bigint", "used": "bigint", "uses": "int", "ancestors": "boolean"}
+
+    def part(df: DataFrame, **known) -> DataFrame:
+        return df.select("id", *(known.get(k, F.lit(None)).cast(t).alias(k) for k, t in nothing.items()))
+
+    old = in_thread.join(first, "th").filter((F.col("f.date") < F.col("date")) & (F.col("f.mail") != F.col("mail")))
+    uses = keyed.filter("sent").select("id", "h", F.xxhash64("s", "h").alias("sh")).join(by_sender, "sh")
+    timed = keys.filter("threaded and date is not null")
+    starts = timed.groupBy("t").agg(F.min(F.struct("date", "mail")).alias("f"))
+    later = timed.join(starts, "t").filter((F.col("f.date") < F.col("date")) & (F.col("f.mail") != F.col("mail")))
+    every = part(old, old=F.col("h")).unionByName(part(uses, used=F.col("h"), uses=F.col("uses"))).unionByName(part(later, ancestors=F.lit(True)))
+    # one row for each row of the table, also where nothing is known
+    every = every.unionByName(part(rows))
+    return every.groupBy("id").agg(F.collect_list("old").alias("old"), F.collect_list("used").alias("used"), F.collect_list("uses").alias("uses"), F.max("ancestors").alias("ancestors"))
 
 
 def _read(b: pa.RecordBatch) -> Iterator[tuple]:
@@ -337,7 +391,7 @@ def _read(b: pa.RecordBatch) -> Iterator[tuple]:
     for i in range(b.num_rows):
         lines, first = _lines(d["body"][i], d["quoted"][i])
         bs = blocks(lines)
-        uses = {u["h"]: u["uses"] for u in d["uses"][i] or ()}
+        uses = dict(zip(d["used"][i], d["uses"][i])) if d["used"][i] else {}
         x = features(bs, d["from_name"][i], d["sender"][i], set(d["old"][i] or ()), uses, bool(d["ancestors"][i]))
         yield d["id"][i], bs, x, lines, first
 
@@ -365,43 +419,60 @@ def sample_blocks(joined: DataFrame, bound: int = SAMPLE_MAILS) -> tuple[np.ndar
     return np.array(got.column("x").to_pylist(), np.float32), got.column("y").to_numpy().astype(float)
 
 
+def rarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the sample: new text in unusual places is rare and would otherwise not count."""
+    f = lambda name: x[:, _AT[name]]
+    new = y == 0
+    return 1.0 + 9.0 * (new & (f("prefix") > 0)) + 3.0 * (new & (f("intro_first") > 0)) + 2.0 * (new & (f("after_intro") == 1))
+
+
 @functools.lru_cache(maxsize=2)
 def _load(model: bytes) -> Booster:
     return pickle.loads(model)
 
 
-def classify(messages: DataFrame) -> DataFrame:
-    """(message_id, field_name, line_no, line, new): every line that is not blank and whether the sender newly wrote it."""
+def _classified(messages: DataFrame, misplaced: bool) -> DataFrame:
     rows = _rows(messages)
     joined = cut(rows.select("id", "sender", "from_name", "body", "quoted").join(evidence(rows), "id"))
     x, y = sample_blocks(joined)
-    model = pickle.dumps(Booster.learn(x, y) if len(y) and 0 < y.mean() < 1 else Booster([np.zeros(1)] * len(FEATURES), [], float(6 * (y.mean() if len(y) else 0) - 3)))
+    model = pickle.dumps(Booster.learn(x, y, rarity(x, y)) if len(y) and 0 < y.mean() < 1 else Booster([np.zeros(1)] * len(FEATURES), [], float(6 * (y.mean() if len(y) else 0) - 3)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = _load(model)
         for b in batches:
-            ids, fields, numbers, texts, new = [], [], [], [], []
             mails = list(_read(b))
-            scores = iter(trees.score(np.concatenate([m[2] for m in mails])) if mails else ())
+            scores = trees.score(np.concatenate([m[2] for m in mails])).tolist() if mails else []
+            ids, quoted, numbers, texts, new = [], [], [], [], []
+            at = 0
             for key, bs, _, lines, first in mails:
                 for block in bs:
-                    s = next(scores)
+                    # introductions are never new text, whatever the trees say
+                    fresh = scores[at] < 0 and block.kind not in ("attr", "head", "split")
+                    at += 1
                     for k in block.lines:
-                        if lines[k].strip():
+                        if (fresh != (k < first) if misplaced else True) and lines[k].strip():
                             ids.append(key)
-                            fields.append("body" if k < first else "quoted")
-                            numbers.append(k + 1 if k < first else k - first + 1)
-                            texts.append(lines[k])
-                            # introductions are never new text, whatever the trees say
-                            new.append(bool(s < 0) and block.kind not in ("quoted_blank", "attr", "head", "split"))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fields, pa.string()), pa.array(numbers, pa.int32()), pa.array(texts, pa.string()), pa.array(new, pa.bool_())], names=["message_id", "field_name", "line_no", "line", "new"])
+                            numbers.append(k)
+                            quoted.append(k - first)
+                            if not misplaced:
+                                texts.append(lines[k])
+                                new.append(fresh)
+            n, q = np.array(numbers, np.int32), np.array(quoted, np.int32)
+            columns = [pa.array(ids, pa.int64()), pa.array(np.where(q < 0, "body", "quoted").tolist(), pa.string()), pa.array(np.where(q < 0, n, q) + 1, pa.int32())]
+            columns += [] if misplaced else [pa.array(texts, pa.string()), pa.array(new, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["message_id", "field_name", "line_no", "line", "new"][: len(columns)])
+
+    return joined.mapInArrow(run, "message_id bigint, field_name string, line_no int" + ("" if misplaced else ", line string, new boolean"))
 
-    return joined.mapInArrow(run, "message_id bigint, field_name string, line_no int, line string, new boolean")
+
+def classify(messages: DataFrame) -> DataFrame:
+    """(message_id, field_name, line_no, line, new): every line that is not blank and whether the sender newly wrote it."""
+    return _classified(messages, False)
 
 
 def misplaced(messages: DataFrame) -> DataFrame:
     """(message_id, field_name, line_no): lines of body that are not newly written and lines of quoted that are."""
-    return classify(messages).filter("(field_name = 'body') <> new").select("message_id", "field_name", "line_no")
+    return _classified(messages, True)
 
 
 def new_text(messages: DataFrame) -> DataFrame:
