@@ -120,7 +120,7 @@ def structure(text: str | None) -> tuple[float, ...]:
             if len(words) <= 6 and len(bare) <= 38 and bare[-1] not in ",?!" and not (bare[-1] == "." and len(words) >= 6):
                 item += n
                 items += 1
-        pairs += n * (not links and not tags and bool(_PAIR.match(bare)))
+        pairs += n * (not links and not tags and not long and bool(_PAIR.match(bare)))
     # rows are lines with separators, where there are several of them or one line has many
     delimited = 0
     for rows in ([(c, n) for c, n in cells if c], [(g, n) for g, n in gaps if g]):
