@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import bpe, conversations, names, neighbours, newtext, packing, quality, survivor
+from postloom.llm import bpe, conversations, names, neighbours, newtext, packing, pii, quality, survivor
 from postloom.plans.lineage import cut
 from postloom.sources.tables import table
 
@@ -28,6 +28,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivors(table(spark, d, "messages"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(table(spark, d, "messages"), table(spark, d, "attachments"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(*(table(spark, d, t) for t in ("messages", "refs", "addresses", "identities")))
 
@@ -51,6 +55,30 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
     return quality.statistics(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found, "p10_stats": p10_stats}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found, "p10_stats": p10_stats}
+
+MAIL = "lower(regexp_replace(mid, '[\\s<>]+', '', 'g'))"
+UNDECODED = "=\\?[A-Za-z0-9_-]+\\?[QqBb]\\?|\\x{FFFD}|[\\x{C2}\\x{C3}][\\x{80}-\\x{BF}\\x{152}\\x{153}\\x{160}\\x{161}\\x{178}\\x{17D}\\x{17E}\\x{192}\\x{2C6}\\x{2DC}\\x{2013}-\\x{203A}\\x{20AC}\\x{2122}]|\\x{E2}\\x{20AC}"
+BARE = "lower(regexp_replace({0}, '^[\\s\\x{{A0}}]+|[\\s\\x{{A0}}]+$', '', 'g'))"
+STANDS_IN = ", ".join(f"'{x}'" for x in survivor.STAND_INS)
+
+
+def _usable(c: str) -> str:
+    return f"coalesce({BARE.format(c)} <> '' AND {BARE.format(c)} NOT IN ({STANDS_IN}) AND NOT regexp_matches({c}, '{UNDECODED}'), false)"
+
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p4_found": f"""WITH r AS (SELECT *, CASE WHEN nullif({MAIL}, '') IS NULL OR {MAIL} LIKE 'no-id-%' THEN '=' || coalesce(from_addr, chr(1)) || chr(2) || coalesce(date::VARCHAR, chr(1)) || chr(2) || coalesce(subject, chr(1)) ELSE {MAIL} END AS mail,
+        CASE content_state WHEN 'full' THEN 5 WHEN 'parts' THEN 4 WHEN 'headers' THEN 3 WHEN 'pending' THEN 2 WHEN 'error' THEN 1 ELSE 0 END AS trust FROM messages),
+        g AS (SELECT mail, min(id) AS group_id FROM r GROUP BY mail HAVING count(*) > 1),
+        u AS (SELECT mail, id, trust, updated_at, 'date' AS field_name FROM r WHERE coalesce(date, 0) <> 0 UNION ALL """
+    + " UNION ALL ".join(f"SELECT mail, id, trust, updated_at, '{c}' FROM r WHERE {_usable(c)}" for c in survivor.FIELDS[1:])
+    + """), k AS (SELECT *, row_number() OVER (PARTITION BY mail, field_name ORDER BY trust DESC, updated_at DESC NULLS LAST, id) AS k FROM u)
+        SELECT g.group_id, k.field_name, k.id AS source_id FROM k JOIN g USING (mail) WHERE k.k = 1""",
+    "p10_stats": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT doc_id, t, regexp_extract_all(t, '\\p{L}+(?:[''’]\\p{L}+)*') AS words, list_filter(string_split_regex(t, '\\r\\n|\\r|\\n'), lambda x: trim(replace(x, chr(9), ' ')) <> '') AS lines FROM d)
+        SELECT doc_id, len(words)::BIGINT AS n_words, round(coalesce(length(array_to_string(words, '')) / nullif(len(words), 0), 0.0), 4) AS mean_word_len,
+          round(coalesce(length(regexp_replace(t, '[\\p{L}\\p{N} \\t\\r\\n]', '', 'g')) / nullif(length(t), 0), 0.0), 4) AS symbol_ratio,
+          round(coalesce(len(list_filter(lines, lambda x: regexp_matches(x, '[.!?:;…]["”»)]?[ \\t]*$'))) / nullif(len(lines), 0), 0.0), 4) AS closed_line_share,
+          round(coalesce(len(list_filter(words, lambda x: list_contains([""" + ", ".join(f"'{x}'" for x in dict.fromkeys(quality.COMMON_WORDS)) + """], lower(x)))) / nullif(len(words), 0), 0.0), 4) AS common_share FROM w""",
+}
