@@ -38,7 +38,7 @@ LEGAL = frozenset("gmbh ag kg ohg gbr ug ev e.v se ltd limited inc llc plc corp
 FIRM = frozenset("fa firma fa. maison company".split())
 RELAY = re.compile(r"\s+(?:via|über|ueber|par|per|on behalf of|im auftrag von)\s+.*$", re.I)
 WORD = re.compile(r"=\?([A-Za-z0-9_-]+)\?([QqBb])\?([^?]*)\?=")
-_RARE = 60
+_RARE, _OFTEN = 60, 8
 
 
 def decode_words(text: str) -> str:
@@ -178,10 +178,10 @@ def matches(a: list[str], b: list[str], org: bool, family: str) -> tuple[int, st
     """How two token lists of one mailbox agree, and the two forms of a given name on which that hangs.
 
     0: not; 1: they mean the same; 2: the same, as the family name in the address agrees; 3: the same, if the two
-    forms are known to belong together.  family: the part of the address that may be a family name.
+    forms are known to belong together; 4: the same, unless both forms are in use by many.  family: the part of the address that may be a family name.
     """
     ja, jb = _UMLAUT.sub("", "".join(a)), _UMLAUT.sub("", "".join(b))
-    if ja == jb or sorted(a) == sorted(b) or (len(ja) >= 8 and near(ja, jb)):
+    if ja == jb or sorted(a) == sorted(b) or ((org or len(a) != len(b)) and len(ja) >= 8 and near(ja, jb)):
         return 1, "", ""
     if len(a) > 7 or len(b) > 7:
         return 0, "", ""
@@ -195,16 +195,18 @@ def matches(a: list[str], b: list[str], org: bool, family: str) -> tuple[int, st
     edits = sum(c == 1.0 for _, _, c in good)
     if org:
         return int(not bad and edits <= 1), "", ""
+    held = family and any(near(s, family) or near(t, family) or (len(s) >= 5 and (s in family or t in family)) for s, t in anchors)
     if not bad and edits <= 2:
         # what is left over in the longer name: middle initials and second parts of double names
         weak = any(c in (0.6, 0.7) or min(len(x), len(y)) < 4 for x, y, c in good)
-        return int(shorter >= 2 and (len(anchors) >= 2 or weak)), "", ""
+        if shorter < 2 or not (len(anchors) >= 2 or weak):
+            return 0, "", ""
+        apart = [(x, y) for x, y, c in good if c in (0.7, 1.0)]
+        return (4, *sorted(apart[0])) if len(apart) == 1 and not held else (1, "", "")
     if len(bad) != 1 or shorter < 2:
         return 0, "", ""
     x, y = sorted(_UMLAUT.sub("", t) for t in bad[0])
-    if family and any(near(s, family) or near(t, family) or (len(s) >= 5 and (s in family or t in family)) for s, t in anchors):
-        return 2, x, y
-    return 3, x, y
+    return (2 if held else 3), x, y
 
 
 def family_part(address: str | None) -> str:
@@ -279,7 +281,11 @@ def groups(addresses: DataFrame, messages: DataFrame) -> DataFrame:
     )
     aligned = cut(full.mapInArrow(_align, "n1 bigint, n2 bigint, how int, f1 string, f2 string"))
     known = aligned.filter("how = 2").select("f1", "f2").distinct()
-    linked = cut(aligned.filter("how < 3").select("n1", "n2").unionByName(aligned.filter("how = 3").join(known, ["f1", "f2"], "left_semi").select("n1", "n2")))
+    # Karl and Karla in a mailbox of a firm: both forms are given names of many others, so neither is the other misspelt
+    often = df.filter(F.col("df") >= _OFTEN).select("token")
+    both_often = aligned.filter("how = 4").join(often.withColumnRenamed("token", "f1"), "f1", "left_semi").join(often.withColumnRenamed("token", "f2"), "f2", "left_semi").select("n1", "n2")
+    likely = aligned.filter("how < 3 or how = 4").select("n1", "n2").join(both_often, ["n1", "n2"], "left_anti")
+    linked = cut(likely.unionByName(aligned.filter("how = 3").join(known, ["f1", "f2"], "left_semi").select("n1", "n2")))
 
     whole = occ.filter("key is not null").select("node", "key", "org")
     firm = linked.join(whole.select(F.col("node").alias("n1")), "n1", "left_semi").join(whole.select(F.col("node").alias("n2")), "n2", "left_semi")
