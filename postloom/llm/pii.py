@@ -75,6 +75,7 @@ def reconcile(found: list[tuple[int, int, str, int, int]]) -> list[tuple[int, in
     return sorted(out)
 
 
+_ZERO = re.compile("[\u200b-\u200d\u2060\ufeff\u00ad]")
 _EMAIL = re.compile(r"[^\W_][\w.+'-]*\s?(?:@|[(\[{]\s?(?:at|ät|arobase)\s?[)\]}]|at\s)\s?[^\W_]")
 _EMAIL_DOT = re.compile(r"\.[^\W_]|[(\[{ ]\s?(?:dot|punkt|point)[)\]} ]", re.I)
 _TOWN = re.compile(r"[,\n](?:[\s>|]|[A-Z]{2,3}>)*(?:\d{4,6}\s+)?[A-ZÀ-ÖØ-Ý][a-zà-öø-ÿ]")
@@ -126,6 +127,7 @@ def check(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | None:
 
 def find(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
     """Spans (start, end, kind) in code points from 0 of each text; equal windows are read once."""
+    marked, texts = texts, [_ZERO.sub("", t) if t else t for t in texts]
     places: list[list[tuple[int, int]]] = [windows(t) if t else [] for t in texts]
     unique: dict[str, int] = {}
     for t, ws in zip(texts, places):
@@ -140,6 +142,10 @@ def find(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
             if (c := check(t, x, y, k)) is not None:
                 checked.append((*c, a, b))
         out.append(reconcile(checked))
+    for i, t in enumerate(marked):
+        if t and out[i] and len(t) != len(texts[i]):  # back to the places in the text with its invisible characters
+            place = [k for k, c in enumerate(t) if not _ZERO.match(c)]
+            out[i] = [(place[x], place[y - 1] + 1, k) for x, y, k in out[i]]
     return out
 
 

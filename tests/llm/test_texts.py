@@ -178,6 +178,11 @@ def test_personal_information(spark):
     assert pii.spans(df.limit(0), "id", "body").count() == 0
 
 
+def test_invisible_characters_keep_their_places():
+    text = LETTER.replace("@", "@\u200b").replace("Gerhard", "Ger\u00adhard")
+    assert [(text[a:b].replace("\u200b", "").replace("\u00ad", ""), k) for a, b, k in pii.find([text])[0]] == [(LETTER[a:b], k) for a, b, k in pii.find([LETTER])[0]]
+
+
 def test_windows_cover_the_text():
     rng = random.Random(5)
     for _ in range(50):
