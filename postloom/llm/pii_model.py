@@ -167,7 +167,7 @@ class Tagger:
             k = self.w["Whf"].shape[0]
             scale = np.concatenate([np.full(3 * k, 0.5, np.float32), np.ones(k, np.float32)])
             pre = np.stack([(self.w["E"] @ self.w[f"Wx{d}"] + self.w[f"b{d}"]) * scale for d in "fb"])  # a row for each character
-            self._ready = (np.ascontiguousarray(pre, np.float32), np.stack([self.w[f"Wh{d}"] * scale for d in "fb"]).astype(np.float32))
+            self._ready = (np.ascontiguousarray(pre, np.float32), np.stack([0.5 * self.w[f"Wh{d}"] * scale for d in "fb"]).astype(np.float32))
         return self._ready
 
     def _scores(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -181,21 +181,26 @@ class Tagger:
         h, c = np.zeros((2, n, k), np.float32), np.zeros((2, n, k), np.float32)
         z, u = np.empty((2, n, 4 * k), np.float32), np.empty((2, n, k), np.float32)
         out = np.empty((t, 2, n, k), np.float32)
-        lanes = np.arange(2)[:, None]
+        v = np.empty((2, n, 4 * k), np.float32)
+        # a sigmoid is half of one plus a tanh: the halves are taken once for the cell and once for the output
+        i_, f_, o_, g_ = z[:, :, :k], z[:, :, k : 2 * k], z[:, :, 2 * k : 3 * k], z[:, :, 3 * k :]
         for i in range(t):
             np.matmul(h, wh, out=z)
-            z += pre[lanes, both[:, i]]
+            for lane in (0, 1):
+                np.take(pre[lane], both[lane, i], axis=0, out=v[lane], mode="clip")
+            z += v
             np.tanh(z, out=z)
-            g = z[:, :, : 3 * k]
-            g *= 0.5
-            g += 0.5
-            c *= z[:, :, k : 2 * k]
-            np.multiply(z[:, :, :k], z[:, :, 3 * k :], out=u)
+            f_ += 1
+            c *= f_
+            i_ += 1
+            np.multiply(i_, g_, out=u)
             c += u
+            c *= 0.5
             np.tanh(c, out=u)
+            o_ += 1
             h = out[i]
-            np.multiply(z[:, :, 2 * k : 3 * k], u, out=h)
-        wo = self.w["Wo"]
+            np.multiply(o_, u, out=h)  # twice the output; wh and wo are halved for it
+        wo = 0.5 * self.w["Wo"]
         em = (out[:, 0].reshape(t * n, k) @ wo[:k]).reshape(t, n, -1)
         back = (out[:, 1].reshape(t * n, k) @ wo[k:]).reshape(t, n, -1)
         em += np.take_along_axis(back, turn.T[:, :, None], 0)
