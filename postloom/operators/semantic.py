@@ -35,3 +35,25 @@ def fuse(*rankings: DataFrame, key: str = "id", constant: int = 60) -> DataFrame
 def ranked(df: DataFrame, *order: Column, key: str = "id") -> DataFrame:
     """key, place of a short list in its order (the list is a page, so one task ranks it)."""
     return df.withColumn("place", F.row_number().over(Window.orderBy(*order)) - 1).select(key, "place")
+
+
+def document_text(messages: DataFrame, longest: int = 2000) -> Column:
+    """What of a mail is embedded: subject, sender, body, cut to ``longest`` characters."""
+    return F.substring(F.concat_ws("\n", F.col("subject"), F.coalesce("from_name", "from_addr"), F.col("body")), 1, longest)
+
+
+def hashed_words(text: Column, dim: int = 64) -> Column:
+    """A vector of length one from the words of a text, by hashing; the default where no model is at hand."""
+    from postloom.functions.text import tokens
+
+    words = F.transform(tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(dim)))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(words, lambda w: w == i)).cast("double"))
+    return normalise(counts)
+
+
+def embed_new(messages: DataFrame, vectors: DataFrame | None, model: str, embed=hashed_words, dim: int = 64) -> DataFrame:
+    """message_id, model, dim, vec of one row for each mail that has no vector of this model yet."""
+    one = messages.filter("body is not null").groupBy("mid").agg(F.min("id").alias("id")).select("id")
+    if vectors is not None:
+        one = one.join(vectors.filter(F.col("model") == model).select(F.col("message_id").alias("id")), "id", "left_anti")
+    return messages.join(one, "id", "left_semi").select(F.col("id").alias("message_id"), F.lit(model).alias("model"), F.lit(dim).alias("dim"), embed(document_text(messages), dim).alias("vec"))

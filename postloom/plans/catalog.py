@@ -11,11 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postloom.functions import folders
 from postloom.functions import text as T
+from postloom.functions.addresses import format_address, people_text
 from postloom.functions.mids import clean_mid
+from postloom.functions.quotes import split_quoted
 from postloom.lang.compile import Mailbox, select
-from postloom.operators import counts, incremental, people, reconcile, search, semantic, sqlguard, threads
+from postloom.operators import counts, incremental, maintenance, people, reconcile, search, semantic, sqlguard, threading, threads
 from postloom.sources.tables import table
+from postloom.streaming import sync
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -304,8 +308,35 @@ register(
     "q_sanitize", lambda s, d: table(s, d, "documents").select("doc_id", T.sanitize(F.col("text")).alias("s")).select("doc_id", F.length("s.text").cast("bigint").alias("kept"), F.col("s.removed").alias("removed")),
 )
 
-# ---- incremental runs
+# ---- upkeep, folders, threading, time windows
 
+register(
+    "q_format_address", lambda s, d: table(s, d, "messages").select("id", format_address(F.col("from_name"), F.col("from_addr")).alias("sender")),
+    "SELECT id, CASE WHEN coalesce(from_name, '') = '' OR from_name IS NOT DISTINCT FROM from_addr THEN coalesce(from_addr, '') WHEN coalesce(from_addr, '') = '' THEN from_name ELSE from_name || ' <' || from_addr || '>' END AS sender FROM messages",
+)
+register(
+    "q_people_text", lambda s, d: table(s, d, "messages").select("id", people_text(F.col("to_json")).alias("people")),
+    "WITH x AS (SELECT id, generate_subscripts(l, 1) AS i, unnest(l) AS p FROM (SELECT id, CASE WHEN json_valid(to_json) THEN CAST(to_json AS JSON[]) END AS l FROM messages)), w AS (SELECT id, 2 * i AS k, p->>'name' AS w FROM x UNION ALL SELECT id, 2 * i + 1, p->>'addr' FROM x), f AS (SELECT id, w, min(k) AS k FROM w WHERE w <> '' GROUP BY 1, 2) SELECT m.id, coalesce(string_agg(f.w, ' ' ORDER BY f.k), '') AS people FROM messages m LEFT JOIN f USING (id) GROUP BY 1",
+)
+register(
+    "q_folder_glob", lambda s, d: table(s, d, "folders").select("id", folders.matches_any(F.col("path"), ["/INBOX/**", "/Arch*"]).alias("hit")),
+    "SELECT id, regexp_matches(path, '(?i)^(/INBOX/.*|/Arch[^/]*)$') AS hit FROM folders",
+)
+register("q_twin_content", lambda s, d: maintenance.twin_content(table(s, d, "messages")), "SELECT p.id, min(f.id) AS twin FROM messages p JOIN messages f ON p.mid = f.mid AND p.account_id = f.account_id AND p.size = f.size AND p.from_addr = f.from_addr WHERE p.content_state = 'pending' AND f.content_state = 'full' GROUP BY 1")
+register(
+    "q_reparse_marks", lambda s, d: maintenance.mark_for_reparse(table(s, d, "messages"), "errors", "large", "undated").groupBy("content_state").agg(F.count(F.lit(1)).alias("n")),
+    "SELECT CASE WHEN coalesce(content_state = 'error' OR size > 8000000, false) OR coalesce(date, 0) = 0 THEN 'pending' ELSE content_state END AS content_state, count(*) AS n FROM messages GROUP BY 1",
+)
+register("q_suggest_addresses", lambda s, d: maintenance.suggest_addresses(table(s, d, "messages"), table(s, d, "identities")))
+register("q_assign_threads", lambda s, d: threading.assign_threads(*(table(s, d, t) for t in ("messages", "refs", "addresses"))))
+register("q_split_quoted", lambda s, d: table(s, d, "messages").filter("body is not null").select("id", split_quoted(F.col("body")).alias("s")).select("id", "s.own", "s.quoted"))
+register("q_window_counts", lambda s, d: sync.windowed_counts(table(s, d, "events"), "ts", "event_type").select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n"), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+register(
+    "q_session_windows", lambda s, d: sync.sessions(table(s, d, "events"), "ts", "user_id").select("user_id", F.unix_micros("start").alias("start_us"), "n"),
+    "WITH a AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM a) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM b GROUP BY user_id, k",
+)
+
+# ---- incremental runs
 
 register("p5_found", lambda s, d: incremental.replay(table(s, d, "header_feed"), table(s, d, "sync_runs")))
 
