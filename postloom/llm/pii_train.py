@@ -200,7 +200,7 @@ def train(data: list[tuple[str, np.ndarray]], minutes: float, held: int = 1500,
             if done() >= 1:
                 break
         epoch += 1
-        print(f"epoch {epoch}, {(time.time() - began) / 60:.1f} min: loss {total / len(chunks):.5f}; held out {score(tagger, test)}", flush=True)
+        print(f"epoch {epoch}, {(time.time() - began) / 60:.1f} min: loss {total / len(chunks):.5f}; held out {score(M.Tagger(tagger.w), test)}", flush=True)
     return tagger
 
 
