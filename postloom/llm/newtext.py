@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postloom.functions.mids import clean_mid
 from postloom.llm.boost import Booster
 from postloom.llm.survivor import mail_key
 from postloom.plans.lineage import cut
@@ -75,6 +76,10 @@ FEATURES = (
 )
 
 
+#: Kinds whose text says nothing about where it comes from.
+_FORMULAE = ("gap", "rule", "salute", "close", "attr", "head", "split", "device")
+
+
 class Block:
     __slots__ = ("kind", "lines", "prefix", "text", "x", "sure", "unit")
 
@@ -188,7 +193,7 @@ def _plain(text: str) -> str:
 
 
 def features(bs: list[Block], sender: str | None, address: str | None, old: set[int], freq: dict[int, int], ancestors: bool) -> np.ndarray:
-    """Features of every block with lines (gaps get rows too, but are not used)."""
+    """Features of every block with lines, in order; gaps have none."""
     n = len(bs)
     x: list = [_NOTHING] * n
     words = {w for w in re.findall(r"[^\W\d_]{3,}", (sender or "").lower())}
@@ -200,7 +205,7 @@ def features(bs: list[Block], sender: str | None, address: str | None, old: set[
     depth_run = 0
     signed = False
     share = np.zeros(n, np.float32)
-    all_units = [units(b.text) if b.kind != "gap" else () for b in bs]
+    all_units = [units(b.text) if b.kind not in _FORMULAE else () for b in bs]
     for i, us in enumerate(all_units):
         if us and old:
             share[i] = sum(k for h, k in us if h in old) / sum(k for _, k in us)
@@ -283,10 +288,11 @@ def features(bs: list[Block], sender: str | None, address: str | None, old: set[
         foots += b.kind == "foot"
         if b.kind not in ("text", "rule") and signature:
             signature = 0
-    x = np.array(x, np.float32).reshape(n, len(FEATURES))
+    kept = [i for i in range(n) if bs[i].kind != "gap"]
+    x = np.array([x[i] for i in kept], np.float32).reshape(len(kept), len(FEATURES))
     left, tail = 0, 1
-    for i in range(n - 1, -1, -1):
-        x[i, -2:] = left, tail
+    for at, i in zip(range(len(kept) - 1, -1, -1), reversed(kept)):
+        x[at, -2:] = left, tail
         left += bs[i].kind == "close" and not bs[i].prefix
         tail = tail and bs[i].kind in ("gap", "legal", "foot", "device", "rule")
     return x
@@ -342,7 +348,7 @@ def _lines(body: str | None, quoted: str | None) -> tuple[list[str], int]:
 def _rows(messages: DataFrame) -> DataFrame:
     return messages.select(
         "id", F.xxhash64(mail_key(F.col("mid"), F.col("from_addr"), F.col("date"), F.col("subject"))).alias("mail"), "thread_id", F.when(F.col("date") != 0, F.col("date")).alias("date"),
-        F.lower("from_addr").alias("sender"), "from_name", "body", "quoted",
+        F.lower("from_addr").alias("sender"), "from_name", "body", "quoted", F.xxhash64(clean_mid(F.col("mid"))).alias("own"), F.xxhash64(F.coalesce(clean_mid(F.col("in_reply_to")), F.lit("-"))).alias("answers"),
     ).filter("body is not null or quoted is not null")
 
 
@@ -359,27 +365,29 @@ def evidence(rows: DataFrame) -> DataFrame:
             for body, quoted in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 seen: dict[int, None] = {}
                 for block in blocks(_lines(body, quoted)[0]):
-                    if block.kind != "gap":
+                    if block.kind not in _FORMULAE:
                         seen.update((h, None) for h, _ in units(block.text))
                 found.append(list(seen))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "hs"])
 
     hashed = cut(rows.select("id", "body", "quoted").mapInArrow(run, "id bigint, hs array<bigint>"))
-    keys = rows.select("id", "mail", F.xxhash64("thread_id").alias("t"), F.col("thread_id").isNotNull().alias("threaded"), "date", F.xxhash64("sender").alias("s"), F.col("sender").isNotNull().alias("sent"))
-    keyed = keys.join(hashed, "id").withColumn("h", F.explode("hs")).drop("hs")
-    in_thread = keyed.filter("threaded and date is not null").select("id", F.xxhash64("t", "h").alias("th"), "h", "date", "mail")
-    first = in_thread.groupBy("th").agg(F.min(F.struct("date", "mail")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    keys = rows.select("id", "mail", F.xxhash64("thread_id").alias("t"), F.col("thread_id").isNotNull().alias("threaded"), "date", "own", "answers", F.xxhash64("sender").alias("s"), F.col("sender").isNotNull().alias("sent"))
+    keyed = keys.join(hashed.hint("shuffle_hash"), "id").withColumn("h", F.explode("hs")).drop("hs")
+    in_thread = keyed.filter("threaded and date is not null").select("id", F.xxhash64("t", "h").alias("th"), "h", "date", "mail", "own", "answers")
+    first = in_thread.groupBy("th").agg(F.min(F.struct("date", "mail", "answers")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     by_sender = keyed.filter("sent").select(F.xxhash64("s", "h").alias("sh"), "mail").groupBy("sh").agg(F.count(F.lit(1)).alias("uses"), F.min("mail").alias("a"), F.max("mail").alias("b")).filter("a <> b").select("sh", "uses")
     nothing = {"old": "bigint", "used": "bigint", "uses": "int", "ancestors": "boolean"}
 
     def part(df: DataFrame, **known) -> DataFrame:
         return df.select("id", *(known.get(k, F.lit(None)).cast(t).alias(k) for k, t in nothing.items()))
 
-    old = in_thread.join(first, "th").filter((F.col("f.date") < F.col("date")) & (F.col("f.mail") != F.col("mail")))
-    uses = keyed.filter("sent").select("id", "h", F.xxhash64("s", "h").alias("sh")).join(by_sender, "sh")
+    # an earlier mail of another Message-ID; but not one that answers this one and only has a wrong clock
+    ancestor = (F.col("f.date") < F.col("date")) & (F.col("f.mail") != F.col("mail")) & (F.col("f.answers") != F.col("own"))
+    old = in_thread.join(first.hint("shuffle_hash"), "th").filter(ancestor)
+    uses = keyed.filter("sent").select("id", "h", F.xxhash64("s", "h").alias("sh")).join(by_sender.hint("shuffle_hash"), "sh")
     timed = keys.filter("threaded and date is not null")
-    starts = timed.groupBy("t").agg(F.min(F.struct("date", "mail")).alias("f"))
-    later = timed.join(starts, "t").filter((F.col("f.date") < F.col("date")) & (F.col("f.mail") != F.col("mail")))
+    starts = timed.groupBy("t").agg(F.min(F.struct("date", "mail", "answers")).alias("f"))
+    later = timed.join(starts, "t").filter(ancestor)
     every = part(old, old=F.col("h")).unionByName(part(uses, used=F.col("h"), uses=F.col("uses"))).unionByName(part(later, ancestors=F.lit(True)))
     # one row for each row of the table, also where nothing is known
     every = every.unionByName(part(rows))
@@ -393,11 +401,11 @@ def _read(b: pa.RecordBatch) -> Iterator[tuple]:
         bs = blocks(lines)
         uses = dict(zip(d["used"][i], d["uses"][i])) if d["used"][i] else {}
         x = features(bs, d["from_name"][i], d["sender"][i], set(d["old"][i] or ()), uses, bool(d["ancestors"][i]))
-        yield d["id"][i], bs, x, lines, first
+        yield d["id"][i], [b for b in bs if b.kind != "gap"], x, lines, first
 
 
-def sample_blocks(joined: DataFrame, bound: int = SAMPLE_MAILS) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of blocks beyond doubt in at most ``bound`` mails."""
+def sample_blocks(joined: DataFrame, n: int, bound: int = SAMPLE_MAILS) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of blocks beyond doubt in at most ``bound`` of ``n`` mails."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -410,7 +418,6 @@ def sample_blocks(joined: DataFrame, bound: int = SAMPLE_MAILS) -> tuple[np.ndar
                         ys.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float32())), pa.array(ys, pa.int32())], names=["x", "y"])
 
-    n = joined.count()
     share = min(1.0, 1.1 * bound / max(1, n))
     some = joined.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(bound)
     got = some.mapInArrow(run, "x array<float>, y int").toArrow()
@@ -433,8 +440,9 @@ def _load(model: bytes) -> Booster:
 
 def _classified(messages: DataFrame, misplaced: bool) -> DataFrame:
     rows = _rows(messages)
-    joined = cut(rows.select("id", "sender", "from_name", "body", "quoted").join(evidence(rows), "id"))
-    x, y = sample_blocks(joined)
+    known = cut(evidence(rows))  # hashes only; the texts are read again where they are needed
+    joined = rows.select("id", "sender", "from_name", "body", "quoted").join(known.hint("shuffle_hash"), "id")
+    x, y = sample_blocks(joined, known.count())
     model = pickle.dumps(Booster.learn(x, y, rarity(x, y)) if len(y) and 0 < y.mean() < 1 else Booster([np.zeros(1)] * len(FEATURES), [], float(6 * (y.mean() if len(y) else 0) - 3)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,27 +450,39 @@ def _classified(messages: DataFrame, misplaced: bool) -> DataFrame:
         for b in batches:
             mails = list(_read(b))
             scores = trees.score(np.concatenate([m[2] for m in mails])).tolist() if mails else []
-            ids, quoted, numbers, texts, new = [], [], [], [], []
+            ids, places, bodies, texts, new = [], [], [], [], []
             at = 0
-            for key, bs, _, lines, first in mails:
-                for block in bs:
-                    # introductions are never new text, whatever the trees say
-                    fresh = scores[at] < 0 and block.kind not in ("attr", "head", "split")
+            for key, bs, x, lines, first in mails:
+                for k, block in enumerate(bs):
+                    fresh = scores[at] < 0 and not _certain(block, x[k], bs[k + 1] if k + 1 < len(bs) else None)
                     at += 1
-                    for k in block.lines:
-                        if (fresh != (k < first) if misplaced else True) and lines[k].strip():
+                    for n in block.lines:
+                        if (fresh != (n < first) if misplaced else True) and lines[n].strip():
                             ids.append(key)
-                            numbers.append(k)
-                            quoted.append(k - first)
+                            places.append(n)
+                            bodies.append(first)
                             if not misplaced:
-                                texts.append(lines[k])
+                                texts.append(lines[n])
                                 new.append(fresh)
-            n, q = np.array(numbers, np.int32), np.array(quoted, np.int32)
-            columns = [pa.array(ids, pa.int64()), pa.array(np.where(q < 0, "body", "quoted").tolist(), pa.string()), pa.array(np.where(q < 0, n, q) + 1, pa.int32())]
+            n, first = np.array(places, np.int32), np.array(bodies, np.int32)
+            columns = [pa.array(ids, pa.int64()), pa.array(n < first), pa.array(np.where(n < first, n, n - first) + 1, pa.int32())]
             columns += [] if misplaced else [pa.array(texts, pa.string()), pa.array(new, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=["message_id", "field_name", "line_no", "line", "new"][: len(columns)])
-
-    return joined.mapInArrow(run, "message_id bigint, field_name string, line_no int" + ("" if misplaced else ", line string, new boolean"))
+            yield pa.RecordBatch.from_arrays(columns, names=["message_id", "in_body", "line_no", "line", "new"][: len(columns)])
+
+    out = joined.mapInArrow(run, "message_id bigint, in_body boolean, line_no int" + ("" if misplaced else ", line string, new boolean"))
+    return out.select("message_id", F.when(F.col("in_body"), "body").otherwise("quoted").alias("field_name"), "line_no", *([] if misplaced else ["line", "new"]))
+
+
+def _certain(block: Block, x: np.ndarray, nxt: Block | None) -> bool:
+    """Blocks that are never new text, whatever the trees say: introductions, footers, lines about a device, the
+    delimiter of signatures, quoted lines that do not begin with a number, and notices with nothing new behind them."""
+    if block.kind in ("attr", "head", "split", "device", "foot"):
+        return True
+    if block.kind == "rule" and block.text[0] == "--":
+        return True
+    if block.prefix:
+        return not x[_AT["number_after_prefix"]]
+    return block.kind == "legal" and (nxt is None or nxt.prefix > 0 or nxt.kind in ("attr", "head", "split", "legal", "foot", "device", "rule"))
 
 
 def classify(messages: DataFrame) -> DataFrame:

@@ -126,9 +126,9 @@ MAIL = "\n".join([
 
 def test_new_text(spark):
     def mail(i, body, quoted=None, mid=None, thread=1, date=5, sender="b@x.example", name="Bernd Beispiel"):
-        return (i, mid or f"m{i}@x", thread, date + i, sender, name, "s", body, quoted)
+        return (i, mid or f"m{i}@x", thread, date + i, sender, name, "s", None, body, quoted)
 
-    shape = "id long, mid string, thread_id long, date long, from_addr string, from_name string, subject string, body string, quoted string"
+    shape = "id long, mid string, thread_id long, date long, from_addr string, from_name string, subject string, in_reply_to string, body string, quoted string"
     own = [mail(100 + i, MAIL.replace("morgen", f"am {i}.").replace("Lieferung an", f"Lieferung {i} an"), thread=100 + i) for i in range(60)]
     plain = [mail(200 + i, f"Hallo,\n\ndas ist Nachricht {i}, alles in Ordnung.\n\nViele Grüße\nBernd", thread=200 + i) for i in range(60)]
     rows = [mail(1, MAIL), mail(2, "Nur neuer Text, nichts weiter.\n"), mail(3, None, None), mail(4, " \n\n", ""), mail(5, "Alles klar.\n\nVG\nBernd", "> alt\n> alter Text", thread=None), mail(6, "x " * 30_000)]
