@@ -24,34 +24,47 @@ from pyspark.sql import functions as F
 
 from postloom.llm.pii_model import Tagger
 
-STRETCH, OVERLAP, PAIR = 220, 64, 110
+STRETCH, OVERLAP, PAIR = 260, 56, 110
 _SOMETHING = re.compile(r"[^\W_]")
 #: Texts whose windows are read together; equal windows among them are read once.
-CHUNK = 10_000
+CHUNK, MEMO = 10_000, 150_000
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Overlapping stretches (start, end) that cover the text: lines, with the next line where they do not end a
-    sentence; long lines in pieces.  Lines without any letter or digit hold nothing."""
+    """Overlapping stretches (start, end) that cover the text.
+
+    Lines that do not end a sentence go on in the next one; such lines share a window as far as it reaches, and the
+    next window begins with the last line of this one.  Longer lines come in pieces.  Lines without any letter or
+    digit hold nothing.
+    """
     out, at, lines = [], 0, []
     for line in text.split("\n"):
         if _SOMETHING.search(line):
             lines.append((at, at + len(line)))
         at += len(line) + 1
-    for k, (a, b) in enumerate(lines):
-        goes_on = k + 1 < len(lines) and lines[k + 1][0] == b + 1 and text[a:b].rstrip()[-1:] not in ".!?:;"
-        end = lines[k + 1][1] if goes_on else b
+    n = len(lines)
+    goes_on = [k + 1 < n and lines[k + 1][0] == b + 1 and text[a:b].rstrip()[-1:] not in ".!?:;" for k, (a, b) in enumerate(lines)]
+    k = 0
+    while k < n:
+        a, b = lines[k]
         if b - a > STRETCH:
-            p = a
-            while p + STRETCH < b:
-                out.append((p, p + STRETCH))
-                p += STRETCH - OVERLAP
-            out.append((p, min(end, max(b, b + 1 + OVERLAP)) if goes_on else b))
-        elif goes_on and b - a > PAIR:
-            out += [(a, b), (b - OVERLAP, min(end, b + 1 + OVERLAP))]
+            while a + STRETCH < b:
+                out.append((a, a + STRETCH))
+                a += STRETCH - OVERLAP
+            # the tail is read again together with what follows
+            out.append((a, min(lines[k + 1][1], b + 1 + OVERLAP) if goes_on[k] else b))
+            k += 1
+            continue
+        last = k
+        while goes_on[last] and lines[last + 1][1] - a <= STRETCH:
+            last += 1
+        if goes_on[last]:  # the next line is too long to be whole here: its beginning
+            out.append((a, min(lines[last + 1][1], max(lines[last][1] + 1 + OVERLAP, a + STRETCH // 2))))
+            k = last if last > k and lines[last][1] - lines[last][0] <= PAIR else last + 1
         else:
-            out.append((a, min(end, b + 1 + PAIR) if goes_on else b))
+            out.append((a, lines[last][1]))
+            k = last + 1
     return out
 
 
@@ -64,6 +77,9 @@ def tagger() -> Tagger:
 def reconcile(found: list[tuple[int, int, str, int, int]]) -> list[tuple[int, int, str]]:
     """One set of disjoint spans from the spans (start, end, kind, window start, window end) of overlapping windows."""
 
+    if len(found) < 2:
+        return [s[:3] for s in found]
+
     def context(s: tuple) -> tuple:
         a, b, _, x, y = s
         return (min(a - x, 12) + min(y - b, 12) + min(b - a, 60), b - a)
@@ -80,6 +96,7 @@ _EMAIL = re.compile(r"[^\W_][\w.+'-]*\s?(?:@|[(\[{]\s?(?:at|ät|arobase)\s?[)\]}
 _EMAIL_DOT = re.compile(r"\.[^\W_]|[(\[{ ]\s?(?:dot|punkt|point)[)\]} ]", re.I)
 _TOWN = re.compile(r"[,\n](?:[\s>|]|[A-Z]{2,3}>)*(?:\d{4,6}\s+)?[A-ZÀ-ÖØ-Ý][a-zà-öø-ÿ]")
 _PHONE = re.compile(r"[+0]|\d{3}\)?[-. ]\d{3}[-. ]\d{4}$")
+_NO_NAME = re.compile(r"[\d@]")
 _FIRM = re.compile(r"[ .]*(?:GmbH|G\.m\.b|AG\b|Ltd|Limited|KG\b|e\. ?V|S\.? ?A\.? ?R|Sàrl|Inc\b|Aktiengesellschaft|eingetr|& Co)")
 _TITLE = re.compile(r"^(?:(?:herrn?|frau|fr|hr|mr|mrs|ms|miss|mme|mlle|dr|prof|monsieur|madame|liebe/r|liebe[rs]?|hallo|hi|hello|dear|bonjour|guten morgen|guten tag|servus|moin|chère?)\.?\s+)+", re.I)
 
@@ -90,8 +107,19 @@ def check(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | None:
         a += 1
     while b > a and not (text[b - 1].isalnum() or (text[b - 1] == "." and kind == "name")):
         b -= 1
+    if kind == "name":
+        while a and (text[a - 1].isalpha() or (text[a - 1] in "-'’" and a > 1 and text[a - 2].isalpha())):
+            a -= 1
+        while b < len(text) and text[b].isalpha() and text[b - 1].isalpha():
+            b += 1
+        m = _TITLE.match(text[a:b])
+        if m:
+            a += m.end()
+        if b - a < 2 or not text[a].isalpha() or _NO_NAME.search(text, a, b) or _FIRM.match(text, b):
+            return None
+        return a, b, kind
     part = text[a:b]
-    digits = sum(c.isdigit() for c in part)
+    digits = sum(map(str.isdigit, part))
     if kind == "email":
         while a and (text[a - 1].isalnum() or (text[a - 1] in "._+-" and a > 1 and text[a - 2].isalnum())):
             a -= 1
@@ -104,39 +132,31 @@ def check(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | None:
             a -= 1
         if kind == "phone" and not _PHONE.match(text[a:b]):
             return None
-        if digits < (7 if kind == "phone" else 6) or sum(c.isalpha() for c in part) > (0 if kind == "phone" else 4):
+        if digits < (7 if kind == "phone" else 6) or sum(map(str.isalpha, part)) > (0 if kind == "phone" else 4):
             return None
         return a, b, kind
-    if kind == "address":
-        while a and text[a - 1].isalnum():
-            a -= 1
-        # from street to town: half an address is none
-        return (a, b, kind) if digits and sum(c.isalpha() for c in part) >= 6 and _TOWN.search(text[a:b]) else None
-    while a and (text[a - 1].isalpha() or (text[a - 1] in "-'’" and a > 1 and text[a - 2].isalpha())):
+    while a and text[a - 1].isalnum():
         a -= 1
-    while b < len(text) and text[b].isalpha() and text[b - 1].isalpha():
-        b += 1
-    m = _TITLE.match(text[a:b])
-    if m:
-        a += m.end()
-    part = text[a:b].strip(".")
-    if len(part) < 2 or not part[0].isalpha() or any(c.isdigit() for c in part) or "@" in part or _FIRM.match(text, b):
-        return None
-    return a, b, kind
-
-
-def find(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
-    """Spans (start, end, kind) in code points from 0 of each text; equal windows are read once."""
-    marked, texts = texts, [_ZERO.sub("", t) if t else t for t in texts]
+    # from street to town: half an address is none
+    return (a, b, kind) if digits and sum(map(str.isalpha, part)) >= 6 and _TOWN.search(text[a:b]) else None
+
+
+def find(texts: list[str | None], memo: dict[str, list] | None = None) -> list[list[tuple[int, int, str]]]:
+    """Spans (start, end, kind) in code points from 0 of each text; equal windows are read once.
+
+    memo: windows read before, for calls over many batches; it is emptied when it holds MEMO of them.
+    """
+    marked, texts = texts, [_ZERO.sub("", t) if t and not t.isascii() else t for t in texts]
     places: list[list[tuple[int, int]]] = [windows(t) if t else [] for t in texts]
-    unique: dict[str, int] = {}
-    for t, ws in zip(texts, places):
-        for a, b in ws:
-            unique.setdefault(t[a:b], len(unique))
-    decoded = tagger().decode(list(unique))
+    known = {} if memo is None or len(memo) > MEMO else memo
+    fresh = list({w: None for t, ws in zip(texts, places) for a, b in ws if (w := t[a:b]) not in known})
+    known.update(zip(fresh, tagger().decode(fresh)))
+    if memo is not None and known is not memo:
+        memo.clear()
+        memo.update(known)
     out = []
     for t, ws in zip(texts, places):
-        found = [(a + x, a + y, k, a, b) for a, b in ws for x, y, k in decoded[unique[t[a:b]]]]
+        found = [(a + x, a + y, k, a, b) for a, b in ws for x, y, k in known[t[a:b]]]
         checked = []
         for x, y, k, a, b in found:
             if (c := check(t, x, y, k)) is not None:
@@ -153,10 +173,11 @@ def spans(df: DataFrame, key: str, text: str) -> DataFrame:
     """(row_id, start_pos, end_pos, kind) of every span in the column ``text`` of ``df``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, list] = {}
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for at in range(0, len(ids), CHUNK):
-                rows = [(i, x + 1, y, k) for i, f in zip(ids[at : at + CHUNK], find(texts[at : at + CHUNK])) for x, y, k in f]
+                rows = [(i, x + 1, y, k) for i, f in zip(ids[at : at + CHUNK], find(texts[at : at + CHUNK], memo)) for x, y, k in f]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.string())],
                     names=["row_id", "start_pos", "end_pos", "kind"],

@@ -223,8 +223,7 @@ class Tagger:
                 continue
             lengths = np.array([len(texts[i]) for i in some])
             ids = np.zeros((len(some), int(lengths.max())), np.int16)
-            for r, i in enumerate(some):
-                ids[r, : lengths[r]] = encode(texts[i])
+            ids[np.arange(ids.shape[1]) < lengths[:, None]] = encode("".join([texts[i] for i in some]))
             em = self._scores(ids, lengths)
             first = np.maximum(enter, self.w["s"] - self.w["s"][0] + a[0, 0])
             gain = (em[:, :, 1:] + first[1:]).max(2) - em[:, :, 0] - a[0, 0] + leave
