@@ -147,7 +147,7 @@ def blocks(lines: list[str]) -> list[Block]:
     for i, (b, d, k) in enumerate(zip(bare, depth, kinds)):
         if k == "blank":
             out.append(Block("gap", 0, [], []))
-        elif out and ((out[-1].kind == k and k not in ("rule", "close", "salute")) or (d and out[-1].prefix)):
+        elif out and ((d and out[-1].prefix) or (not d and not out[-1].prefix and out[-1].kind == k and k not in ("rule", "close", "salute"))):
             out[-1].lines.append(i)
             if b:
                 out[-1].text.append(b)
@@ -205,7 +205,7 @@ def features(bs: list[Block], sender: str | None, address: str | None, old: set[
     depth_run = 0
     signed = False
     share = np.zeros(n, np.float32)
-    all_units = [units(b.text) if b.kind not in _FORMULAE else () for b in bs]
+    all_units = [units(b.text) if not b.prefix and b.kind not in _FORMULAE else () for b in bs]
     for i, us in enumerate(all_units):
         if us and old:
             share[i] = sum(k for h, k in us if h in old) / sum(k for _, k in us)
@@ -365,7 +365,8 @@ def evidence(rows: DataFrame) -> DataFrame:
             for body, quoted in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 seen: dict[int, None] = {}
                 for block in blocks(_lines(body, quoted)[0]):
-                    if block.kind not in _FORMULAE:
+                    # what stands behind quote marks needs no proof and is none
+                    if not block.prefix and block.kind not in _FORMULAE:
                         seen.update((h, None) for h, _ in units(block.text))
                 found.append(list(seen))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "hs"])

@@ -142,6 +142,11 @@ def test_new_text(spark):
     assert newtext.misplaced(df.limit(0)).count() == 0
 
 
+def test_runs_of_quotes_end_with_the_marks():
+    got = [(b.prefix > 0, b.lines) for b in newtext.blocks(["> 67 Stück gehen auch.", "Das ist neu.", "> a", "> ", ">> b", "", "> c", "neu"]) if b.kind != "gap"]
+    assert got == [(True, [0]), (False, [1]), (True, [2, 3, 4]), (True, [6]), (False, [7])]
+
+
 def test_decoys_are_no_history():
     kinds = [b.kind for b in newtext.blocks(["Von: in der Halle", "An: auf der Baustelle", "On Monday the workshop wrote: all fine.", "-----", "Text."])]
     assert "head" not in kinds and "attr" not in kinds
