@@ -19,7 +19,7 @@ def _accents() -> tuple[str, str]:
     return "".join(letters), "".join(bare)
 
 
-ACCENTED, BARE = _accents()
+_LOWER, _LOWER_BARE = map("".join, zip(*((a, b) for a, b in zip(*_accents()) if a == a.lower() and b == b.lower())))
 
 
 def german_fold(text: Column) -> Column:
@@ -31,8 +31,17 @@ def german_fold(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case, German transcription, no accents; null stays null."""
-    return F.regexp_replace(F.translate(F.lower(german_fold(text)), ACCENTED, BARE), "[̀-ͯ]", "")
+    """Lower case, German transcription, no accents; null stays null.
+
+    Combining marks are rare, and looking for them is cheaper than replacing them; null has none.
+    """
+    low = F.lower(text)
+    marked = F.regexp_replace(F.regexp_replace(low, "([aou])\u0308", "$1e"), "[\u0300-\u036f]", "")
+    out = F.when(low.rlike("[\u0300-\u036f]"), marked).otherwise(low)
+    for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    # translating goes letter by letter, so only texts that still have accents go that way
+    return F.when(out.rlike("[\u00e0-\u024f\u1e00-\u1eff]"), F.translate(out, _LOWER, _LOWER_BARE)).otherwise(out)
 
 
 def tokens(text: Column) -> Column:
@@ -40,6 +49,17 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def token_text(text: Column) -> Column:
+    """The tokens of a text as one string with a bar before and after each: |a||b|, so that looking for words and
+    phrases is looking for pieces of text."""
+    return F.concat(F.lit("|"), F.regexp_replace(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", "||"), F.lit("|"))
+
+
+def token_count(token_text: Column) -> Column:
+    """The number of tokens in the result of token_text."""
+    return F.regexp_count(token_text, F.lit(r"[^|]+"))
+
+
 #: Reply and forward prefixes and list tags, up to twenty of them.
 SUBJECT_PREFIXES = r"(?i)^\s*(?:(?:(?:re|aw|wg|fwd?|fw|sv|vs|ref|antw|tr|rif|r)[ \t]*(?:\[\d{1,4}\])?[ \t]*:|\[[^\]]{1,40}\])[ \t]*){1,20}"
 

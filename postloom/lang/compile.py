@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.functions.text import fold, tokens
+from postloom.functions.text import token_text
 from postloom.lang import dates
 from postloom.lang.query import And, Not, Or, QueryError, Term, conjuncts, parse
 from postloom.sources.tables import table
@@ -80,22 +80,21 @@ class Phrase:
     columns: tuple[str, ...]
 
     def hits(self, column: str) -> Column:
-        """How often the phrase stands in the token array of a column."""
-        toks, n = F.col(f"_t_{column}"), len(self.words)
+        """How often the phrase stands in the tokens of a column."""
         if column not in self.columns:
             return F.lit(0)
-        if n == 1:
-            w = self.words[0]
-            return F.size(F.filter(toks, (lambda t: t.startswith(w)) if self.prefix else (lambda t: t == w)))
-        # every token between bars, so that a phrase is one piece of text
-        text = F.concat(F.lit("|"), F.array_join(toks, "||"), F.lit("|"))
-        piece = "".join(f"|{w}|" for w in self.words)
+        text, piece = F.col(f"_t_{column}"), self.piece
         return ((F.length(text) - F.length(F.replace(text, F.lit(piece), F.lit("")))) / len(piece)).cast("int")
 
+    @property
+    def piece(self) -> str:
+        """The phrase as it stands between bars; open at the end where it is a beginning."""
+        return "".join(f"|{w}|" for w in self.words)[: -1 if self.prefix else None]
+
     def found(self) -> Column:
         out = F.lit(False)
         for c in self.columns:
-            out = out | (self.hits(c) > 0)
+            out = out | F.contains(F.col(f"_t_{c}"), F.lit(self.piece))
         return out
 
 
@@ -247,11 +246,22 @@ class Compiler:
                 any_of = any_of | F.coalesce(condition, F.lit(False))
             found = frame.filter(any_of).groupBy(F.col("message_id").alias("id")).agg(*(F.max(condition).alias(name) for name, condition in self.flags[child]))
             df = df.join(found, "id", "left")
-        if "text" in self.needs:
-            df = df.withColumns({f"_t_{c}": tokens(F.col(c)) for c in WEIGHTS})
         return df
 
 
+def with_tokens(df: DataFrame) -> DataFrame:
+    """``df`` with the tokens of every searched column.
+
+    The running number, which a filter on tokens has to name, is there to keep the optimizer from moving a filter on tokens below this projection, where it
+    would fold the texts anew for every word of the query.
+    """
+    return df.withColumns({**{f"_t_{c}": token_text(F.col(c)) for c in WEIGHTS}, "_row": F.monotonically_increasing_id()})
+
+
+def _has_words(node) -> bool:
+    return node.is_word if isinstance(node, Term) else _has_words(node.item) if isinstance(node, Not) else any(map(_has_words, node.items))
+
+
 def select(box: Mailbox, query: str = "", **filters: str) -> tuple[DataFrame, list[list[Phrase]]]:
     """The messages that match, and the phrases by which they are ranked (one list for each word of the query).
 
@@ -259,13 +269,17 @@ def select(box: Mailbox, query: str = "", **filters: str) -> tuple[DataFrame, li
     """
     compiler = Compiler(box)
     ranked: list[list[Phrase]] = []
-    condition = F.lit(True)
+    plain, worded = F.lit(True), F.lit(True)
     for part in conjuncts(parse(query)):
         if isinstance(part, Term) and part.is_word:
             ranked.append(phrases(part))
         elif isinstance(part, Or) and all(isinstance(x, Term) and x.is_word for x in part.items):
             ranked.append([p for x in part.items for p in phrases(x)])
-        condition = condition & compiler.condition(part)
+        if _has_words(part):
+            worded = worded & compiler.condition(part)
+        else:
+            plain = plain & compiler.condition(part)
     for name, value in filters.items():
-        condition = condition & compiler.filter({"folder": "in", "since": "after"}.get(name, name), value)
-    return compiler.prepare().filter(condition), ranked
+        plain = plain & compiler.filter({"folder": "in", "since": "after"}.get(name, name), value)
+    matched = compiler.prepare().filter(plain)
+    return (with_tokens(matched).filter(worded & (F.col("_row") >= 0)) if "text" in compiler.needs else matched), ranked

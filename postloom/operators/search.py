@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postloom.functions.text import snippet, tokens
-from postloom.lang.compile import WEIGHTS, Mailbox, select
+from postloom.functions.text import snippet, token_count, tokens
+from postloom.lang.compile import WEIGHTS, Mailbox, select, with_tokens
 
 K1, B = 1.2, 0.75
 SORTS = ("relevance", "date", "oldest")
@@ -22,8 +22,8 @@ def scored(box: Mailbox, query: str, **filters: str) -> DataFrame:
     phrases = [p for group in ranked for p in group]
     if not phrases:
         return matched.withColumn("score", F.lit(0.0))
-    length = sum((F.size(f"_t_{c}") for c in WEIGHTS), F.lit(0))
-    every = box.messages.select(*(tokens(F.col(c)).alias(f"_t_{c}") for c in WEIGHTS))
+    length = sum((token_count(F.col(f"_t_{c}")) for c in WEIGHTS), F.lit(0))
+    every = with_tokens(box.messages).filter("_row >= 0")
     stats = every.agg(
         F.count(F.lit(1)).alias("_n"), F.avg(length).alias("_mean"), *(F.count_if(p.found()).alias(f"_df{i}") for i, p in enumerate(phrases))
     )
