@@ -24,7 +24,6 @@ from postloom.streaming import sync
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-FLAGSHIP = "q_fts_bm25_top"
 
 # ---- SQL fragments
 
@@ -148,6 +147,13 @@ register(
     f"WITH {TOKENS}, t AS (" + " UNION ALL ".join(f"SELECT id, '{c}' AS col, unnest(t_{c}) AS term FROM toks" for c in WEIGHTS) + ") SELECT term, col, count(DISTINCT id) AS docs, count(*) AS hits FROM t GROUP BY ALL",
 )
 
+
+
+def flagship(s: SparkSession, d: str) -> DataFrame:
+    """A ranked search for words in three languages."""
+    return search.search(Mailbox.read(s, d), "lieferung OR delivery OR livraison", limit=50).select("id", "copies", "score")
+
+
 # ---- counts
 
 KEY_SQL = {
