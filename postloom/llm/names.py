@@ -8,8 +8,8 @@ name is one person, whatever form of the given name is used.  The groups of the
 mailboxes by their full token keys; spellings with initials, and short forms that are used for several given names,
 are members of their groups but join nothing.
 
-Only spellings of one mailbox that share a rare token meet, and groups become pairs only in the result, so frequent
-given names and mailboxes with a tenth of all rows cost no more than others.
+Only spellings of one mailbox that share a token meet, and groups become pairs only in the result, so names that are
+frequent over all mailboxes and mailboxes with a tenth of all rows cost no more than others.
 
 Defined results: null and blank names, stand-ins and addresses belong to no group; repeated rows count once per
 spelling; names without an address are grouped by their full token key alone; an empty table gives an empty result;
@@ -25,7 +25,7 @@ from base64 import b64decode
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm.survivor import STAND_INS
@@ -38,7 +38,7 @@ LEGAL = frozenset("gmbh ag kg ohg gbr ug ev e.v se ltd limited inc llc plc corp
 FIRM = frozenset("fa firma fa. maison company".split())
 RELAY = re.compile(r"\s+(?:via|über|ueber|par|per|on behalf of|im auftrag von)\s+.*$", re.I)
 WORD = re.compile(r"=\?([A-Za-z0-9_-]+)\?([QqBb])\?([^?]*)\?=")
-_RARE, _OFTEN = 60, 8
+_OFTEN = 8
 
 
 def decode_words(text: str) -> str:
@@ -261,11 +261,10 @@ def groups(addresses: DataFrame, messages: DataFrame) -> DataFrame:
     occ = occ.withColumn("key", F.when((F.col("org") & (F.size(bare) == F.size("tokens"))) | (F.size(bare) >= 2), F.concat_ws(" ", F.array_sort(bare)))).withColumn("node", node)
     occ = cut(occ)
 
-    # symmetric-delete index on the tokens of a mailbox; frequent tokens only where a name has no rarer one
+    # symmetric-delete index on every token of a mailbox, however frequent the token is elsewhere
     df = words.groupBy("token").agg(F.count_distinct("name").alias("df"))
     tok = occ.select("scope", "name", F.explode(F.array_distinct(F.concat("tokens", F.array(F.array_join("tokens", ""))))).alias("token")).filter(F.length("token") >= 4)
-    tok = tok.join(df, "token", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    tok = tok.withColumn("least", F.min("df").over(Window.partitionBy("scope", "name"))).filter((F.col("df") <= _RARE) | (F.col("df") == F.col("least"))).select("scope", "name", "token")
+
     def without_one(t: Column) -> Column:
         return F.concat(F.array(t), F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(t.substr(F.lit(1), i - 1), t.substr(i + 1, F.length(t)))))
 

@@ -124,6 +124,21 @@ def test_spellings(spark):
     assert names.pairs(addresses.limit(0), messages.limit(0)).count() == 0
 
 
+def found_names(spark, rows):
+    """The pairs of (name, address) rows, each row twice."""
+    addresses = spark.createDataFrame([(i, "to", *r) for i, r in enumerate(rows + rows)], "message_id long, role string, name string, addr string")
+    return {tuple(r) for r in names.pairs(addresses, spark.createDataFrame([], "from_name string, from_addr string")).collect()}
+
+
+def test_spellings_of_tokens_frequent_elsewhere(spark):
+    letters = [a + b for a in "bdfgklmnp" for b in "aeiouyzx"]
+    others = [(f"Tor{x}win Fölker", f"t{i}.foelker@firma{i}.example") for i, x in enumerate(letters)]
+    others += [(f"Quarznex {x.upper()}wolt{x} KG", f"kontakt@f{i}.example") for i, x in enumerate(letters)] + [(f"Holzhandel {x.upper()}rimp{x} KG", f"kontakt@g{i}.example") for i, x in enumerate(letters)]
+    groups = [(["Anna Fölker", "A. Fölker", "Fölker, A."], "a.foelker@firma.example"), (["Hans Fölker", "Johannes Fölker"], "h.foelker@firma.example"), (["Quarznex Holzh. KG", "Quarznex Holzhandel KG"], "kontakt@firma.example")]
+    got = found_names(spark, others + [(n, addr) for group, addr in groups for n in group])
+    assert got == {(a, b) for group, _ in groups for a in group for b in group if a < b}
+
+
 def test_near():
     assert names.near("krause", "kruase") and names.near("krause", "kraus") and names.near("krause", "krausse") and names.near("goettel", "gottel") and not names.near("krause", "kurase2")
     assert not names.near("krause", "krxxse") and names.near("a", "a") and not names.near("ab", "ba2")
