@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.functions.mids import clean_mid
@@ -156,6 +156,18 @@ def blocks(lines: list[str]) -> list[Block]:
     return out
 
 
+def unmarked(block: Block, lines: list[str]) -> list[Block]:
+    """The blocks of a run of quoted lines as they would be without the marks; they end where the depth changes."""
+    bare: list[str] = []
+    before = 0
+    for depth, text, _ in (_line(lines[i]) for i in block.lines):
+        if before not in (0, depth):
+            bare.append("")
+        bare.append(text)
+        before = depth
+    return blocks(bare)
+
+
 def units(text: list[str]) -> list[tuple[int, int]]:
     """(hash, length) of the sentences of a block; a block without sentence ends is one unit."""
     return _units(text[0] if len(text) == 1 else " ".join(text))
@@ -361,38 +373,57 @@ def evidence(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
+            found, plain, whole = [], [], []
             for body, quoted in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 seen: dict[int, None] = {}
-                for block in blocks(_lines(body, quoted)[0]):
-                    # what stands behind quote marks needs no proof and is none
-                    if not block.prefix and block.kind not in _FORMULAE:
+                behind: list[Block] = []
+                lines = _lines(body, quoted)[0]
+                introduced = opened = False
+                for block in blocks(lines):
+                    if block.prefix:
+                        behind += unmarked(block, lines)
+                    elif block.kind not in _FORMULAE:
+                        seen.update((h, None) for h, _ in units(block.text))
+                        opened = opened or bool(seen and not introduced)
+                    introduced = introduced or block.kind in ("attr", "head", "split")
+                plain.append(len(seen))
+                whole.append(len(seen) if opened else None)
+                for block in behind:
+                    if block.kind not in _FORMULAE:
                         seen.update((h, None) for h, _ in units(block.text))
                 found.append(list(seen))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "hs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64())), pa.array(plain, pa.int32()), pa.array(whole, pa.int32())], names=["id", "hs", "plain", "whole"])
 
-    hashed = cut(rows.select("id", "body", "quoted").mapInArrow(run, "id bigint, hs array<bigint>"))
+    hashed = cut(rows.select("id", "body", "quoted").mapInArrow(run, "id bigint, hs array<bigint>, plain int, whole int"))
     keys = rows.select("id", "mail", F.xxhash64("thread_id").alias("t"), F.col("thread_id").isNotNull().alias("threaded"), "date", "own", "answers", F.xxhash64("sender").alias("s"), F.col("sender").isNotNull().alias("sent"))
-    keyed = keys.join(hashed.hint("shuffle_hash"), "id").withColumn("h", F.explode("hs")).drop("hs")
-    in_thread = keyed.filter("threaded and date is not null").select("id", F.xxhash64("t", "h").alias("th"), "h", "date", "mail", "own", "answers")
-    first = in_thread.groupBy("th").agg(F.min(F.struct("date", "mail", "answers")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # what stands behind quote marks proves other text old, but needs no proof and is no use by the sender
+    every_unit = keys.join(hashed.hint("shuffle_hash"), "id").select("*", F.posexplode("hs").alias("at", "h")).withColumn("marked", F.expr("at >= plain")).drop("hs", "at", "plain")
+    keyed = every_unit.filter("not marked")
+    in_thread = every_unit.filter("threaded and date is not null").select("id", F.xxhash64("t", "h").alias("th"), "h", "date", "mail", "own", "answers", "marked", "whole")
+    told = F.struct("date", "mail", "answers")
+    first = in_thread.groupBy("th").agg(F.min(F.when(~F.col("marked"), told)).alias("f"), F.min(F.when(F.col("marked"), told)).alias("g"), F.count(F.lit(1)).alias("n")).filter("n > 1 and f is not null").drop("n")
     by_sender = keyed.filter("sent").select(F.xxhash64("s", "h").alias("sh"), "mail").groupBy("sh").agg(F.count(F.lit(1)).alias("uses"), F.min("mail").alias("a"), F.max("mail").alias("b")).filter("a <> b").select("sh", "uses")
-    nothing = {"old": "bigint", "used": "bigint", "uses": "int", "ancestors": "boolean"}
+    nothing = {"old": "bigint", "cited": "bigint", "whole": "int", "used": "bigint", "uses": "int", "ancestors": "boolean"}
 
     def part(df: DataFrame, **known) -> DataFrame:
         return df.select("id", *(known.get(k, F.lit(None)).cast(t).alias(k) for k, t in nothing.items()))
 
     # an earlier mail of another Message-ID; but not one that answers this one and only has a wrong clock
-    ancestor = (F.col("f.date") < F.col("date")) & (F.col("f.mail") != F.col("mail")) & (F.col("f.answers") != F.col("own"))
-    old = in_thread.join(first.hint("shuffle_hash"), "th").filter(ancestor)
+    def earlier(f: str) -> Column:
+        return F.coalesce((F.col(f"{f}.date") < F.col("date")) & (F.col(f"{f}.mail") != F.col("mail")) & (F.col(f"{f}.answers") != F.col("own")), F.lit(False))
+
+    ancestor = earlier("f")
+    old = in_thread.filter("not marked").join(first.hint("shuffle_hash"), "th").filter(ancestor | earlier("g")).withColumn("plainly", ancestor)
     uses = keyed.filter("sent").select("id", "h", F.xxhash64("s", "h").alias("sh")).join(by_sender.hint("shuffle_hash"), "sh")
     timed = keys.filter("threaded and date is not null")
     starts = timed.groupBy("t").agg(F.min(F.struct("date", "mail", "answers")).alias("f"))
     later = timed.join(starts, "t").filter(ancestor)
-    every = part(old, old=F.col("h")).unionByName(part(uses, used=F.col("h"), uses=F.col("uses"))).unionByName(part(later, ancestors=F.lit(True)))
+    every = part(old, old=F.expr("if(plainly, h, null)"), cited=F.expr("if(plainly, null, h)"), whole=F.col("whole")).unionByName(part(uses, used=F.col("h"), uses=F.col("uses"))).unionByName(part(later, ancestors=F.lit(True)))
     # one row for each row of the table, also where nothing is known
     every = every.unionByName(part(rows))
-    return every.groupBy("id").agg(F.collect_list("old").alias("old"), F.collect_list("used").alias("used"), F.collect_list("uses").alias("uses"), F.max("ancestors").alias("ancestors"))
+    # quotes that would leave nothing of a mail new, from its first words on, are answers to it, and its clock is wrong
+    known = every.groupBy("id").agg(F.collect_list("old").alias("old"), F.collect_list("cited").alias("cited"), F.max("whole").alias("whole"), F.collect_list("used").alias("used"), F.collect_list("uses").alias("uses"), F.max("ancestors").alias("ancestors"))
+    return known.withColumn("old", F.expr("if(whole is not null and size(old) + size(cited) >= whole, old, concat(old, cited))")).drop("cited", "whole")
 
 
 def _read(b: pa.RecordBatch) -> Iterator[tuple]:

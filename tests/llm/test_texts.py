@@ -142,6 +142,18 @@ def test_new_text(spark):
     assert newtext.misplaced(df.limit(0)).count() == 0
 
 
+def test_marked_copies_are_evidence(spark):
+    shape = "id long, mid string, thread_id long, date long, from_addr string, from_name string, subject string, in_reply_to string, body string, quoted string"
+    old, new = "Nous avons trouvé la commande dans le dossier.", "Das Muster liegt schon im Lager bereit."
+    lost = f"Alles klar, das passt uns gut.\n\nAm 03.02.2025 um 10:00 schrieb Anna <anna@x.example>:\n> Bonjour,\n> \n> {old}\n> Merci beaucoup pour votre aide.\n>> {new}"
+    rows = [(1, "a@x", 1, 10, "b@x", "B", "s", None, lost, None), (2, "b@x", 1, 20, "c@x", "C", "s", "a@x", f"Das kommt am Montag wieder an.\n\nVG\nC\n\nBonjour,\n\n{old}", None), (3, "c@x", 2, 20, "c@x", "C", "s", None, old, None),
+            (4, "d@x", 1, 30, "d@x", "D", "s", None, f"Hallo,\n\n{new}", None), (5, "e@x", 1, 30, "d@x", "D", "s", None, f"Betreff: Muster\nVon: d@x.example\n\n{new}", None)]
+    known = {r["id"]: r for r in newtext.evidence(newtext._rows(spark.createDataFrame(rows, shape))).collect()}
+    proof = lambda t: [h for h, _ in newtext.units([t])]
+    # 2: history pasted without marks; 3: another thread; 4: nothing but what is quoted, so the clock is wrong; 5: passed on without a word
+    assert {i: r["old"] for i, r in known.items()} == {1: [], 2: proof(old), 3: [], 4: [], 5: proof(new)}
+
+
 def test_runs_of_quotes_end_with_the_marks():
     got = [(b.prefix > 0, b.lines) for b in newtext.blocks(["> 67 Stück gehen auch.", "Das ist neu.", "> a", "> ", ">> b", "", "> c", "neu"]) if b.kind != "gap"]
     assert got == [(True, [0]), (False, [1]), (True, [2, 3, 4]), (True, [6]), (False, [7])]
