@@ -38,7 +38,8 @@ LEGAL = frozenset("gmbh ag kg ohg gbr ug ev e.v se ltd limited inc llc plc corp
 FIRM = frozenset("fa firma fa. maison company".split())
 RELAY = re.compile(r"\s+(?:via|über|ueber|par|per|on behalf of|im auftrag von)\s+.*$", re.I)
 WORD = re.compile(r"=\?([A-Za-z0-9_-]+)\?([QqBb])\?([^?]*)\?=")
-_OFTEN = 8
+# Two forms are names of their own if they meet in less than this share of the mailboxes by family name that have the rarer one.
+_APART = 0.1
 
 
 def decode_words(text: str) -> str:
@@ -178,7 +179,7 @@ def matches(a: list[str], b: list[str], org: bool, family: str) -> tuple[int, st
     """How two token lists of one mailbox agree, and the two forms of a given name on which that hangs.
 
     0: not; 1: they mean the same; 2: the same, as the family name in the address agrees; 3: the same, if the two
-    forms are known to belong together; 4: the same, unless both forms are in use by many.  family: the part of the address that may be a family name.
+    forms are known to belong together; 4: the same, unless both forms are names of their own.  family: the part of the address that may be a family name.
     """
     ja, jb = _UMLAUT.sub("", "".join(a)), _UMLAUT.sub("", "".join(b))
     if ja == jb or sorted(a) == sorted(b) or ((org or len(a) != len(b)) and len(ja) >= 8 and near(ja, jb)):
@@ -228,6 +229,30 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out.filter(pa.array([g[0] > 0 for g in got], pa.bool_()))
 
 
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens of names whose family name their address carries."""
+    for b in batches:
+        scopes, tokens = [], []
+        for scope, name, address in zip(*(b.column(k).to_pylist() for k in range(3))):
+            family = family_part(address)
+            if family and any(len(t) >= 4 and (near(t, family) or (len(t) >= 5 and t in family)) for t in name):
+                scopes += [scope] * len(name)
+                tokens += name
+        yield pa.RecordBatch.from_arrays([pa.array(scopes, pa.string()), pa.array(tokens, pa.string())], names=["scope", "token"])
+
+
+def _apart(forms: DataFrame, occ: DataFrame) -> DataFrame:
+    """(f1, f2): those forms that are used in mailboxes of one family name each, but hardly ever in the same ones."""
+    used = cut(occ.filter("not org and address is not null").select("scope", "tokens", "address").mapInArrow(_held, "scope string, token string").distinct())
+    uses = used.groupBy("token").agg(F.count(F.lit(1)).alias("u"))
+    both = forms.join(uses.select(F.col("token").alias("f1"), F.col("u").alias("u1")), "f1").join(uses.select(F.col("token").alias("f2"), F.col("u").alias("u2")), "f2")
+    # the mailboxes of the rarer form are looked through for the other one
+    both = both.select("f1", "f2", F.expr("if(u1 <= u2, f1, f2)").alias("rare"), F.expr("if(u1 <= u2, f2, f1)").alias("other"), F.least("u1", "u2").alias("u"))
+    met = both.join(used.select(F.col("token").alias("rare"), "scope"), "rare").join(used.select(F.col("token").alias("other"), "scope"), ["other", "scope"], "left_semi")
+    met = met.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("m"))
+    return both.join(met, ["f1", "f2"], "left").filter(F.coalesce("m", F.lit(0)) < _APART * F.col("u")).select("f1", "f2")
+
+
 def groups(addresses: DataFrame, messages: DataFrame) -> DataFrame:
     """(name, entity): every spelling with the groups it belongs to; entities are arbitrary but stable numbers."""
     seen = (
@@ -262,7 +287,6 @@ def groups(addresses: DataFrame, messages: DataFrame) -> DataFrame:
     occ = cut(occ)
 
     # symmetric-delete index on every token of a mailbox, however frequent the token is elsewhere
-    df = words.groupBy("token").agg(F.count_distinct("name").alias("df"))
     tok = occ.select("scope", "name", F.explode(F.array_distinct(F.concat("tokens", F.array(F.array_join("tokens", ""))))).alias("token")).filter(F.length("token") >= 4)
 
     def without_one(t: Column) -> Column:
@@ -280,10 +304,9 @@ def groups(addresses: DataFrame, messages: DataFrame) -> DataFrame:
     )
     aligned = cut(full.mapInArrow(_align, "n1 bigint, n2 bigint, how int, f1 string, f2 string"))
     known = aligned.filter("how = 2").select("f1", "f2").distinct()
-    # Karl and Karla in a mailbox of a firm: both forms are given names of many others, so neither is the other misspelt
-    often = df.filter(F.col("df") >= _OFTEN).select("token")
-    both_often = aligned.filter("how = 4").join(often.withColumnRenamed("token", "f1"), "f1", "left_semi").join(often.withColumnRenamed("token", "f2"), "f2", "left_semi").select("n1", "n2")
-    likely = aligned.filter("how < 3 or how = 4").select("n1", "n2").join(both_often, ["n1", "n2"], "left_anti")
+    # Karl and Karla in a mailbox of a firm: each has mailboxes without the other, so neither is the other misspelt
+    apart = _apart(aligned.filter("how = 4").select("f1", "f2").distinct(), occ)
+    likely = aligned.filter("how < 3").select("n1", "n2").unionByName(aligned.filter("how = 4").join(apart, ["f1", "f2"], "left_anti").select("n1", "n2"))
     linked = cut(likely.unionByName(aligned.filter("how = 3").join(known, ["f1", "f2"], "left_semi").select("n1", "n2")))
 
     whole = occ.filter("key is not null").select("node", "key", "org")

@@ -139,6 +139,15 @@ def test_spellings_of_tokens_frequent_elsewhere(spark):
     assert got == {(a, b) for group, _ in groups for a in group for b in group if a < b}
 
 
+def test_forms_of_given_names_in_a_shared_mailbox(spark):
+    families = ("Adam", "Bergner", "Clausen", "Dorfer", "Ehlers", "Funke", "Gruber", "Hansen", "Imhoff")
+    both = [(f"{g} {f}", f"j.{f.lower()}@firma.example") for f in families for g in ("Jon", "Jonathan")]
+    own = [(f"{g} {f}", f"{g}.{f}@firma.example".lower()) for f in families[:3] for g in ("Karl", "Karla")]
+    office = [(f"{g} Unverwandt", "office@firma.example") for g in ("Jon", "Jonathan", "Karl", "Karla")]
+    # many bear each form, but the same people; few bear each form, but different people
+    assert found_names(spark, both + own + office) == {(f"Jon {f}", f"Jonathan {f}") for f in (*families, "Unverwandt")}
+
+
 def test_near():
     assert names.near("krause", "kruase") and names.near("krause", "kraus") and names.near("krause", "krausse") and names.near("goettel", "gottel") and not names.near("krause", "kurase2")
     assert not names.near("krause", "krxxse") and names.near("a", "a") and not names.near("ab", "ba2")
