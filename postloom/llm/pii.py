@@ -1,9 +1,9 @@
 """Personal information in free text: where it is, and the text with typed placeholders in its place.
 
 A character-level bidirectional LSTM with CRF transitions (pii_model), trained from labelled spans (pii_train), reads
-overlapping windows: each line together with the next one, long lines in overlapping stretches.  The spans of all
-windows of a text are then reconciled: where windows disagree the span with more context around it wins, and what
-only touches is joined.  An exact check trims each span to the written form of its kind and drops what cannot be one.
+overlapping windows: lines together with those that go on from them, long lines in overlapping stretches.  The spans of
+all windows of a text are then reconciled: spans of one kind that end at the edge of a window are joined with those of
+the next window that they meet, and where windows disagree the span with more context around it wins.  An exact check trims each span to the written form of its kind and drops what cannot be one.
 
 Defined results: null, empty and blank texts have no spans; equal texts have equal spans; no text is cut, and no part
 of it is read without its neighbourhood; an empty table gives an empty result; other columns are ignored.  Positions
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -74,6 +75,31 @@ def tagger() -> Tagger:
         return Tagger({k: z[k] for k in z.files})
 
 
+def join(found: list[tuple[int, int, str, int, int]]) -> list[tuple[int, int, str, int, int]]:
+    """The spans (start, end, kind, window start, window end), and whole ones made of those cut by edges of windows.
+
+    A span up to the end of its window goes on in a later window in which a span of the same kind overlaps or touches
+    it; so does what is made of them, if it ends with that window too.
+    """
+    if not any(s[1] == s[4] for s in found):
+        return found
+    ordered = sorted(found, key=lambda s: (s[3], s[0]))
+    starts = [s[3] for s in ordered]
+    out, used = list(found), set()
+    for s in ordered:
+        a, b, kind, x, y = s
+        while b == y and s not in used:
+            near = ordered[bisect_right(starts, x) : bisect_right(starts, b)]
+            nxt = next((t for t in near if t[2] == kind and a < t[0] <= b < t[1] and t[4] > y), None)
+            if nxt is None:
+                break
+            used.add(nxt)
+            b, x, y = nxt[1], nxt[3], nxt[4]
+        if b > s[1]:
+            out.append((a, b, kind, s[3], y))
+    return out
+
+
 def reconcile(found: list[tuple[int, int, str, int, int]]) -> list[tuple[int, int, str]]:
     """One set of disjoint spans from the spans (start, end, kind, window start, window end) of overlapping windows."""
 
@@ -156,7 +182,7 @@ def find(texts: list[str | None], memo: dict[str, list] | None = None) -> list[l
         memo.update(known)
     out = []
     for t, ws in zip(texts, places):
-        found = [(a + x, a + y, k, a, b) for a, b in ws for x, y, k in known[t[a:b]]]
+        found = join([(a + x, a + y, k, a, b) for a, b in ws for x, y, k in known[t[a:b]]])
         checked = []
         for x, y, k, a, b in found:
             if (c := check(t, x, y, k)) is not None:

@@ -200,6 +200,16 @@ def test_invisible_characters_keep_their_places():
     assert [(text[a:b].replace("\u200b", "").replace("\u00ad", ""), k) for a, b, k in pii.find([text])[0]] == [(LETTER[a:b], k) for a, b, k in pii.find([LETTER])[0]]
 
 
+def test_long_spans_across_windows_are_whole():
+    filler = "wir haben die Rechnung im Lager gefunden und prüfen das morgen früh, danach melden wir uns wegen der Lieferung "
+    address = "Zum Oberniederwiesgrunder Birkenbruch 138 c, 00038 Bad Niederkalmhausen"
+    for n in range(150, 190, 3):
+        text = (filler * 3)[:n].rsplit(" ", 1)[0] + " und die neue Adresse lautet " + address + ", bitte dorthin liefern, " + filler * 3
+        assert (address, "address") in [(text[a:b], k) for a, b, k in pii.find([text])[0]]
+    cuts = [(200, 260, "name", 0, 260), (204, 464, "name", 204, 464), (408, 500, "name", 408, 668), (464, 470, "phone", 464, 700)]
+    assert set(pii.join(cuts)) - set(cuts) == {(200, 500, "name", 0, 668)} and pii.join(cuts[2:]) == cuts[2:]
+
+
 def test_windows_cover_the_text():
     rng = random.Random(5)
     for _ in range(50):
