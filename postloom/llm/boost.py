@@ -5,6 +5,17 @@ from __future__ import annotations
 import numpy as np
 
 
+def bin_edges(x: np.ndarray, bins: int) -> np.ndarray:
+    """Fewer than ``bins`` edges halfway between values: all of them if there are few values; else quantiles in which
+    no value counts for more than one bin, so that rare values beside a frequent one are told apart."""
+    values, counts = np.unique(x.astype(np.float64), return_counts=True)
+    halfway = (values[1:] + values[:-1]) / 2
+    if len(halfway) < bins:
+        return halfway
+    share = np.cumsum(np.minimum(counts, len(x) / bins))
+    return halfway[np.unique(np.searchsorted(share[:-1] / share[-1], np.linspace(0, 1, bins + 1)[1:-1]).clip(max=len(halfway) - 1))]
+
+
 class Booster:
     """Trees of fixed depth over binned features; logistic loss."""
 
@@ -15,7 +26,7 @@ class Booster:
     def learn(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = 40, depth: int = 5, rate: float = 0.25, bins: int = 32) -> Booster:
         n, d = x.shape
         w = np.ones(n) if weight is None else weight
-        edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins)[1:-1])) for j in range(d)]
+        edges = [bin_edges(x[:, j], bins) for j in range(d)]
         b = np.stack([np.searchsorted(edges[j], x[:, j], side="right") for j in range(d)], 1)
         mean = np.clip(np.average(y, weights=w), 1e-3, 1 - 1e-3)
         base = float(np.log(mean / (1 - mean)))

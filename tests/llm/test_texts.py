@@ -118,6 +118,15 @@ def test_booster_learns():
     assert ((b.score(x[3000:]) > 0) == y[3000:]).mean() > 0.95 and len(b.score(x[:0])) == 0
 
 
+def test_booster_splits_rare_values():
+    rng = np.random.default_rng(2)
+    rare = (rng.random(4000) < 0.02).astype(np.float32)
+    amount = np.where(rng.random(4000) < 0.02, rng.random(4000), 0).astype(np.float32)
+    x = np.stack([rare, amount, rng.normal(size=4000).astype(np.float32)], 1)
+    y = ((rare > 0) | (amount > 0.5)).astype(float)
+    assert ((Booster.learn(x, y).score(x) > 0) == y).mean() > 0.995
+
+
 MAIL = "\n".join([
     "Hallo Anna,", "", "wir prüfen das morgen früh im Lager.", "", "Viele Grüße", "Bernd", "", "-- ", "Bernd Beispiel", "Firma | Vertrieb", "Tel. +49 30 1234567", "",
     "Am 03.02.2025 um 10:00 schrieb Anna Muster <anna@x.example>:", "> Guten Tag,", "> ", "> wann kommt die Lieferung an?", "", "Zur Lieferung: am Montag.", "", "> Danke", "> Anna",
