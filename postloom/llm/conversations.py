@@ -3,11 +3,11 @@
 Rows of one mail (same Message-ID however written; for stand-ins same sender, date and subject) are one turn.  Mails
 are tied by a shared thread id, by naming each other in in_reply_to or refs, and, for replies that have neither, by
 subject and a shared participant within 60 days.  Ties are contracted by pointer jumping; turns are ordered by date,
-but never before a mail that they name, which is resolved by pointer jumping over the naming relation as well.
+but never before a mail that they name, which is resolved by one pass for each level of the naming relation.
 
 Defined results: dropped are conversations of one turn, with a turn without text, naming a mail that is not in the
-table, or with one role; a mail naming itself names nothing; mails that name each other in a circle fall back to date
-order; mails without a date come first; repeated rows and repeated references change nothing; an empty table gives an
+table, or with one role; a mail naming itself names nothing; conversations with mails that name each other in a
+circle fall back to date order; mails without a date come first; repeated rows and repeated references change nothing; an empty table gives an
 empty result; other columns are ignored.  A tie by subject joins neighbours in time only, so a frequent subject does
 not make pairs of all its mails.
 """
