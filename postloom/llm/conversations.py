@@ -1,14 +1,15 @@
 """Conversations rebuilt from message rows as ordered turns with the roles me and other.
 
 Rows of one mail (same Message-ID however written; for stand-ins same sender, date and subject) are one turn.  Mails
-are tied by a shared thread id, by naming each other in in_reply_to or refs, and, for replies that have neither, by
+are tied by a shared thread id, by naming each other in in_reply_to or refs, and, for replies that name none, by
 subject and a shared participant within 60 days.  Ties are contracted by pointer jumping; turns are ordered by date,
-but never before a mail that they name, which is resolved by one pass for each level of the naming relation.
+but never before a mail that they name, which is resolved by doubling the reach of the naming relation.  ``paths``
+gives the paths from the root of a conversation to each of its leaves.
 
 Defined results: dropped are conversations of one turn, with a turn without text, naming a mail that is not in the
-table, or with one role; a mail naming itself names nothing; conversations with mails that name each other in a
-circle fall back to date order; mails without a date come first; repeated rows and repeated references change nothing; an empty table gives an
-empty result; other columns are ignored.  A tie by subject joins neighbours in time only, so a frequent subject does
+table, or with one role; a mail naming itself names nothing; where mails name each other in a circle the earlier
+ones do not wait for the latest; mails without a date come first; repeated rows and repeated references change nothing; an empty
+table gives an empty result; other columns are ignored.  A tie by subject joins neighbours in time only, so a frequent subject does
 not make pairs of all its mails.
 """
 
@@ -41,7 +42,7 @@ def mails(messages: DataFrame) -> DataFrame:
     )
     return rows.groupBy("key").agg(
         F.min("id").alias("mail"), F.max("d")["v"].alias("date"), F.max("s")["v"].alias("subject"), F.min("sender").alias("sender"),
-        F.max("has_text").alias("has_text"), F.min(F.when(~is_stand_in(F.col("cm")), F.col("cm"))).alias("cm"), F.min("thread_id").alias("some_thread"),
+        F.max("has_text").alias("has_text"), F.min(F.when(~is_stand_in(F.col("cm")), F.col("cm"))).alias("cm"),
     )
 
 
@@ -62,6 +63,42 @@ def _subject_ties(repliers: DataFrame, one: DataFrame, who: DataFrame, days: int
     return steps.filter((F.col("before") >= F.col("next_date") - near) | (F.col("after") <= F.col("date") + near)).select(F.col("mail").alias("a"), F.col("next").alias("b"))
 
 
+def _keys(own: DataFrame, names: DataFrame) -> DataFrame:
+    """(mail, key): the list of moments by which each mail stands; own: (mail, own), names: (mail, named).
+
+    The key of a mail is the latest of the lists that its paths over named mails give, where a path gives the moments
+    that are later than all after them.  Such lists can be put together: that of a path and of the path that begins
+    at its end make that of both.  Each round therefore looks one mail further and doubles the reach of the best path
+    so far, so that a chain takes as many rounds as the logarithm of its depth.  A mail whose own moment comes up
+    among what it waits for is the latest of a circle; no earlier mail waits for it then, and nothing else is touched.
+    """
+    links = cut(names.join(own.select("mail", F.col("own").alias("self")), "mail"))
+    start = own.select("mail", "own", F.array("own").alias("key"), F.lit(0).cast("bigint").alias("far"), F.col("mail").alias("end"))
+    state = cut(start)
+    first = lambda far, near: F.concat(F.filter(far, lambda x: x > near[0]), near)
+    while True:
+        step = links.join(state.select(F.col("mail").alias("named"), F.col("key").alias("k"), (F.col("far") + 1).alias("f"), F.col("end").alias("e")), "named")
+        one = step.groupBy("mail").agg(F.max(F.struct("k", "f", "e")).alias("up"))
+        jump = state.select(F.col("mail").alias("end"), F.col("key").alias("jk"), F.col("far").alias("jf"), F.col("end").alias("je"))
+        both = state.join(one, "mail", "left").join(jump, "end", "left")
+        paths = F.array(
+            F.struct(F.col("key").alias("k"), F.col("far").alias("f"), F.col("end").alias("e")),
+            F.struct(F.coalesce(first(F.col("up.k"), F.array("own")), F.col("key")).alias("k"), F.coalesce("up.f", "far").alias("f"), F.coalesce("up.e", "end").alias("e")),
+            F.struct(first(F.col("jk"), F.col("key")).alias("k"), (F.col("far") + F.col("jf")).alias("f"), F.col("je").alias("e")),
+        )
+        circle = F.coalesce(F.array_contains("up.k", F.col("own")), F.lit(False))
+        nxt = cut(both.select("mail", "own", F.array_max(paths).alias("p"), circle.alias("circle"), "key", "far").select("mail", "own", F.col("p.k").alias("key"), F.col("p.f").alias("far"), F.col("p.e").alias("end"), "circle", ((F.col("p.k") != F.col("key")) | (F.col("p.f") != F.col("far"))).alias("new")))
+        seen = nxt.agg(F.max("circle").alias("circle"), F.max("new").alias("new")).first()
+        if seen["circle"]:
+            latest = nxt.filter("circle").select(F.col("mail").alias("named"), F.col("own").alias("latest"))
+            links = cut(links.join(latest, "named", "left").filter("latest is null or self > latest").drop("latest"))
+            state = cut(start)
+        elif seen["new"]:
+            state = nxt.select("mail", "own", "key", "far", "end")
+        else:
+            return nxt.select("mail", "key")
+
+
 def _turn_order(turns: DataFrame, names: DataFrame) -> DataFrame:
     """turns (conv_id, mail, date) with turn_no; names: (mail, named), both in the same conversation.
 
@@ -76,28 +113,10 @@ def _turn_order(turns: DataFrame, names: DataFrame) -> DataFrame:
     some = cut(late.select("conv_id").distinct())
     keyed = own.select("conv_id", "mail", F.array("own").alias("key"))
     if not some.isEmpty():
-        links = cut(names.join(turns.select("mail", "conv_id").join(some, "conv_id", "left_semi").select("mail"), "mail", "left_semi"))
-        state = cut(own.join(some, "conv_id", "left_semi").withColumn("key", F.array("own")))
-        plain = state.limit(0)
-        while True:
-            up = links.join(state.select(F.col("mail").alias("named"), F.col("key").alias("k")), "named").groupBy("mail").agg(F.max("k").alias("up"))
-            held = F.filter("up", lambda x: x > F.col("own"))
-            nxt = cut(
-                state.join(up, "mail", "left").select(
-                    "conv_id", "mail", "own", F.when(F.size("up") > 0, F.concat(held, F.array("own"))).otherwise(F.array("own")).alias("key"),
-                    F.coalesce(F.array_contains("up", F.col("own")), F.lit(False)).alias("circle"), F.col("key").alias("was"),
-                )
-            )
-            circles = nxt.filter("circle").select("conv_id").distinct()
-            if not circles.isEmpty():  # mails that wait for each other: their conversation keeps the date order
-                circles = cut(circles)
-                plain = plain.unionByName(nxt.join(circles, "conv_id", "left_semi").select("conv_id", "mail", "own", F.array("own").alias("key")))
-                nxt = cut(nxt.join(circles, "conv_id", "left_anti"))
-            state = nxt.select("conv_id", "mail", "own", "key")
-            if nxt.filter("key <> was").isEmpty():
-                break
-        state = state.unionByName(plain).select("conv_id", "mail", "key")
-        keyed = keyed.join(some, "conv_id", "left_anti").unionByName(state)
+        involved = cut(own.join(some, "conv_id", "left_semi"))
+        links = names.join(involved.select("mail"), "mail", "left_semi")
+        keys = _keys(involved.select("mail", "own"), links)
+        keyed = keyed.join(some, "conv_id", "left_anti").unionByName(involved.select("conv_id", "mail").join(keys, "mail"))
     # numbers are counted per stretch of time first, so that a conversation of any length is no single sort
     stretch = F.floor(F.col("key")[0]["d"] / (30 * DAY))
     slots = keyed.withColumn("slot", stretch)
@@ -126,8 +145,9 @@ def conversations(messages: DataFrame, refs: DataFrame, addresses: DataFrame, id
     own = identities.select(F.lower(F.trim("addr")).alias("person")).filter("person is not null").distinct()
     has_names = resolved.select("mail").distinct().withColumn("names_some", F.lit(True))
     topic = F.lower(F.trim(F.regexp_replace("subject", ANY_PREFIX, "")))
-    topics = one.select("mail", "date", F.when(topic != "", topic).alias("topic"), "some_thread", F.coalesce(F.col("subject").rlike(REPLY_PREFIX), F.lit(False)).alias("is_reply"))
-    loose = topics.join(has_names, "mail", "left").withColumn("loose", F.col("is_reply") & F.col("names_some").isNull() & F.col("some_thread").isNull())
+    topics = one.select("mail", "date", F.when(topic != "", topic).alias("topic"), F.coalesce(F.col("subject").rlike(REPLY_PREFIX), F.lit(False)).alias("is_reply"))
+    # a thread id of its own does not keep a reply that names nothing apart: thread ids may be outdated
+    loose = topics.join(has_names, "mail", "left").withColumn("loose", F.col("is_reply") & F.col("names_some").isNull())
     loose = cut(loose.select("mail", "date", "topic", "loose"))
     people = (
         addresses.select(F.col("message_id").alias("id"), F.lower(F.trim("addr")).alias("person")).unionByName(messages.select("id", F.lower(F.trim("from_addr")).alias("person")))
@@ -151,3 +171,66 @@ def conversations(messages: DataFrame, refs: DataFrame, addresses: DataFrame, id
     turns = cut(turns.join(kept, "conv_id", "left_semi"))
     ordered = _turn_order(turns, names.join(turns.select("mail"), "mail", "left_semi"))
     return ordered.join(turns.select("mail", "mine"), "mail").select("conv_id", "turn_no", F.col("mail").alias("message_id"), F.when(F.col("mine"), "me").otherwise("other").alias("role"))
+
+
+def _named(messages: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The mails, and (mail, ref, direct): what each names by in_reply_to (direct) or in refs, itself aside."""
+    keyed = messages.select("id", mail_key(F.col("mid"), F.col("from_addr"), F.col("date"), F.col("subject")).alias("key"), clean_mid(F.col("in_reply_to")).alias("reply"))
+    one = cut(mails(messages))
+    ids = keyed.join(one.select("key", "mail", "cm"), "key").select("id", "mail", "reply", "cm")
+    said = ids.filter("reply is not null").select("mail", "cm", F.col("reply").alias("ref"), F.lit(True).alias("direct"))
+    listed = refs.select(F.col("message_id").alias("id"), clean_mid(F.col("ref_mid")).alias("ref")).filter("ref is not null").join(ids.select("id", "mail", "cm"), "id").select("mail", "cm", "ref", F.lit(False).alias("direct"))
+    both = said.unionByName(listed).filter(~F.col("ref").eqNullSafe(F.col("cm"))).groupBy("mail", "ref").agg(F.max("direct").alias("direct"))
+    return one, both
+
+
+def parents(messages: DataFrame, refs: DataFrame) -> DataFrame:
+    """(mail, parent) of every mail: the mail it answers, else the latest of those in its refs; null for a root.
+
+    Circles of parents are opened at their smallest mail, which becomes a root.
+    """
+    one, said = _named(messages, refs)
+    known = one.filter("cm is not null").select(F.col("cm").alias("ref"), F.col("mail").alias("named"), F.coalesce("date", F.lit(0)).alias("d"))
+    best = said.join(known, "ref").filter("named <> mail").groupBy("mail").agg(F.max(F.struct("direct", "d", "named"))["named"].alias("parent"))
+    pointers = cut(one.select("mail").join(best, "mail", "left"))
+    # mails that still point somewhere after more steps than there are mails go round in a circle
+    reach = pointers.filter("parent is not null").select("mail", F.col("parent").alias("to"), F.least("mail", "parent").alias("least"))
+    for _ in range(max(1, pointers.count()).bit_length()):
+        far = reach.select(F.col("mail").alias("to"), F.col("to").alias("next"), F.col("least").alias("l"))
+        reach = cut(reach.join(far, "to").select("mail", F.col("next").alias("to"), F.least("least", "l").alias("least")))
+        if reach.isEmpty():
+            return pointers
+    # now each of them points into its circle, whose smallest mail it has met on its way, or one before the circle
+    inside = reach.select(F.col("to").alias("mail")).distinct()
+    opened = inside.join(reach, "mail").filter("mail = least").select("mail", F.lit(True).alias("o"))
+    return pointers.join(opened, "mail", "left").select("mail", F.when(F.col("o").isNull(), F.col("parent")).alias("parent"))
+
+
+def paths(messages: DataFrame, refs: DataFrame) -> DataFrame:
+    """(leaf, position, message_id): the path from the root to every mail that none answers, position counting from 1.
+
+    Depths and ancestors come from pointers that double their reach each round; the ancestor at each distance is then
+    put together from the pointers of that distance in binary, so no path is gathered and no round count grows with
+    more than the logarithm of the depth.
+    """
+    up = parents(messages, refs)
+    levels = [cut(up.filter("parent is not null").select("mail", F.col("parent").alias("to"), F.lit(1).cast("bigint").alias("d")))]
+    total = levels[0]
+    reach = levels[0]
+    while True:
+        far = reach.select(F.col("mail").alias("to"), F.col("to").alias("next"), F.col("d").alias("more"))
+        reach = cut(reach.join(far, "to", "left").select("mail", F.coalesce("next", "to").alias("to"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d"), F.col("next").isNotNull().alias("on")))
+        total = reach.select("mail", "to", "d")
+        moved = reach.filter("on").select("mail", "to", "d")
+        if moved.isEmpty():
+            break
+        step = 2 ** len(levels)
+        levels.append(cut(moved.filter(F.col("d") == step)))
+        reach = total
+    leaves = up.select("mail").join(up.filter("parent is not null").select(F.col("parent").alias("mail")).distinct(), "mail", "left_anti")
+    depth = leaves.join(total.select("mail", "d"), "mail", "left").select(F.col("mail").alias("leaf"), F.coalesce("d", F.lit(0)).cast("bigint").alias("depth"))
+    at = depth.select("leaf", "depth", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("depth"))).alias("dist")).withColumn("mail", F.col("leaf"))
+    for k, level in enumerate(levels):
+        hop = level.select("mail", F.col("to").alias("next"))
+        at = at.join(hop, "mail", "left").withColumn("mail", F.when(F.col("dist").bitwiseAND(F.lit(1 << k)) != 0, F.col("next")).otherwise(F.col("mail"))).drop("next")
+    return at.select("leaf", (F.col("depth") - F.col("dist") + 1).cast("int").alias("position"), F.col("mail").alias("message_id"))

@@ -69,7 +69,7 @@ def brute(messages, refs, addresses, identities, days=60):
             if n in by_mid:
                 tie(m, by_mid[n])
         x["topic"] = re.sub(C.ANY_PREFIX.replace("(?i)", ""), "", x["subject"] or "", flags=re.I).strip().lower() or None
-        x["loose"] = bool(x["subject"] and re.match(C.REPLY_PREFIX, x["subject"])) and not x["names"] and not x["threads"]
+        x["loose"] = bool(x["subject"] and re.match(C.REPLY_PREFIX, x["subject"])) and not x["names"]
     topics = defaultdict(list)
     for m, x in mails.items():
         topics[x["topic"]].append(m)
@@ -153,6 +153,35 @@ def test_small_cases(spark):
     }
 
 
+def test_a_thread_id_of_its_own_does_not_keep_a_reply_apart(spark):
+    day = C.DAY
+    ms = [
+        dict(id=1, mid="a@x", from_addr="me@x", date=10 * day, subject="Plan 7", thread_id=1), dict(id=2, mid="b@x", from_addr="o@x", date=12 * day, subject="AW: Plan 7", thread_id=2),
+        dict(id=3, mid="c@x", from_addr="o@x", date=90 * day, subject="AW: Plan 7", thread_id=3), dict(id=4, mid="d@x", from_addr="q@x", date=12 * day, subject="AW: Plan 7", thread_id=4),
+    ]
+    args = frames(spark, ms, addresses=[(1, "o@x", "to")], identities=[("me@x",)])
+    assert result(C.conversations(*args[:4])) == {(1, 1, 1, "me"), (1, 2, 2, "other")}
+
+
+def test_long_chain_with_a_wrong_clock_at_its_root(spark):
+    n = 70
+    ms = [dict(id=i, mid=f"m{i}@x", from_addr="me@x" if i % 2 else "o@x", date=10_000 if i == 1 else 10 * i, in_reply_to=f"m{i - 1}@x" if i > 1 else None) for i in range(1, n + 1)]
+    args = frames(spark, ms, identities=[("me@x",)])
+    got = result(C.conversations(*args[:4]))
+    assert got == {(1, i, i, "me" if i % 2 else "other") for i in range(1, n + 1)} == brute(args[4], [], [], [{"addr": "me@x"}])
+    steps = {tuple(r) for r in C.paths(args[0], args[1]).collect()}
+    assert steps == {(n, i, i) for i in range(1, n + 1)}
+
+
+def test_paths_from_root_to_leaf(spark):
+    ms = [dict(id=i, mid=f"m{i}@x", from_addr="a@x", date=i, in_reply_to=r) for i, r in ((1, None), (2, "<M1@x>"), (3, "m2@x"), (4, "m2@x"), (5, None), (6, "gone@x"), (7, "m8@x"), (8, "m7@x"))]
+    args = frames(spark, ms, [(5, "m1@x"), (5, "m3@x"), (5, "m5@x")])
+    got = {tuple(r) for r in C.paths(args[0], args[1]).collect()}
+    # 5 names 1 and 3 in its refs: the later one is its parent; 7 and 8 answer each other, so 7 is a root
+    assert got == {(4, 1, 1), (4, 2, 2), (4, 3, 4), (5, 1, 1), (5, 2, 2), (5, 3, 3), (5, 4, 5), (6, 1, 6), (8, 1, 7), (8, 2, 8)}
+    assert C.paths(args[0].limit(0), args[1].limit(0)).count() == 0
+
+
 def test_circle_and_empty(spark):
     ms = [dict(id=1, mid="a@x", from_addr="me@x", date=2, in_reply_to="b@x"), dict(id=2, mid="b@x", from_addr="o@x", date=1, in_reply_to="a@x")]
     args = frames(spark, ms, identities=[("me@x",)])
