@@ -1,9 +1,12 @@
 """Personal information in free text: where it is, and the text with typed placeholders in its place.
 
 A character-level bidirectional LSTM with CRF transitions (pii_model), trained from labelled spans (pii_train), reads
-overlapping windows: lines together with those that go on from them, long lines in overlapping stretches.  The spans of
-all windows of a text are then reconciled: spans of one kind that end at the edge of a window are joined with those of
-the next window that they meet, and where windows disagree the span with more context around it wins.  An exact check trims each span to the written form of its kind and drops what cannot be one.
+overlapping windows: all lines of a paragraph together, without their quote marks, so that quoted text reads as it did
+when it was written; paragraphs that are too long in windows that begin with the last line of the window before, and
+long lines in overlapping stretches.  The spans of all windows of a text are then reconciled: spans of one kind that
+end at the edge of a window are joined with those of the next window that they meet, and where windows disagree the
+span with more context around it wins.  An exact check trims each span to the written form of its kind and drops what
+cannot be one.
 
 Defined results: null, empty and blank texts have no spans; equal texts have equal spans; no text is cut, and no part
 of it is read without its neighbourhood; an empty table gives an empty result; other columns are ignored.  Positions
@@ -25,50 +28,86 @@ from pyspark.sql import functions as F
 
 from postloom.llm.pii_model import Tagger
 
-STRETCH, OVERLAP, PAIR = 260, 56, 110
+STRETCH, OVERLAP, PAIR = 320, 100, 110
 _SOMETHING = re.compile(r"[^\W_]")
 #: Texts whose windows are read together; equal windows among them are read once.
 CHUNK, MEMO = 10_000, 150_000
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Overlapping stretches (start, end) that cover the text.
+_MARKS = re.compile(r"[ \t]*(?:(?:[^\W\d_]{1,4})?>[ \t]?|\|[ \t]?)*[ \t]*")
 
-    Lines that do not end a sentence go on in the next one; such lines share a window as far as it reaches, and the
-    next window begins with the last line of this one.  Longer lines come in pieces.  Lines without any letter or
-    digit hold nothing.
+#: A window: its text, and (place in it, place in the text) of each of its parts.
+Window = tuple[str, list[tuple[int, int]]]
+
+
+def windows(text: str) -> list[Window]:
+    """Overlapping windows that cover every letter and digit of the text, quote marks at the beginning of lines aside.
+
+    A paragraph is a run of lines that hold any letter or digit.  One that is longer than a window is read in several,
+    each beginning with the last line of the one before if that is no longer than PAIR; a line longer than a window
+    comes in stretches that overlap by OVERLAP.
     """
-    out, at, lines = [], 0, []
+    out: list[Window] = []
+    lines: list[tuple[int, str]] = []
+
+    def flush() -> None:
+        k, n = 0, len(lines)
+        while k < n:
+            at, line = lines[k]
+            if len(line) > STRETCH:
+                a = 0
+                while a + STRETCH < len(line):
+                    out.append((line[a : a + STRETCH], [(0, at + a)]))
+                    a += STRETCH - OVERLAP
+                lines[k] = (at + a, line[a:])  # the tail is read again together with what follows
+                continue
+            last, size = k, len(line)
+            while last + 1 < n and size + 1 + len(lines[last + 1][1]) <= STRETCH:
+                last += 1
+                size += 1 + len(lines[last][1])
+            some = lines[k : last + 1]
+            if last + 1 < n and last == k and len(lines[k + 1][1]) > STRETCH // 2:  # with the beginning of a long line
+                some.append((lines[k + 1][0], lines[k + 1][1][:OVERLAP]))
+            parts, place = [], 0
+            for t, x in some:
+                parts.append((place, t))
+                place += len(x) + 1
+            out.append(("\n".join([x for _, x in some]), parts))
+            if last + 1 == n:
+                break
+            k = last if last > k and len(lines[last][1]) <= PAIR else last + 1
+        lines.clear()
+
+    at = 0
     for line in text.split("\n"):
-        if _SOMETHING.search(line):
-            lines.append((at, at + len(line)))
+        m = _MARKS.match(line).end()
+        bare = line[m:].rstrip()
+        if _SOMETHING.search(bare):
+            lines.append((at + m, bare))
+        elif lines:
+            flush()
         at += len(line) + 1
-    n = len(lines)
-    goes_on = [k + 1 < n and lines[k + 1][0] == b + 1 and text[a:b].rstrip()[-1:] not in ".!?:;" for k, (a, b) in enumerate(lines)]
-    k = 0
-    while k < n:
-        a, b = lines[k]
-        if b - a > STRETCH:
-            while a + STRETCH < b:
-                out.append((a, a + STRETCH))
-                a += STRETCH - OVERLAP
-            # the tail is read again together with what follows
-            out.append((a, min(lines[k + 1][1], b + 1 + OVERLAP) if goes_on[k] else b))
-            k += 1
-            continue
-        last = k
-        while goes_on[last] and lines[last + 1][1] - a <= STRETCH:
-            last += 1
-        if goes_on[last]:  # the next line is too long to be whole here: its beginning
-            out.append((a, min(lines[last + 1][1], max(lines[last][1] + 1 + OVERLAP, a + STRETCH // 2))))
-            k = last if last > k and lines[last][1] - lines[last][0] <= PAIR else last + 1
-        else:
-            out.append((a, lines[last][1]))
-            k = last + 1
+    flush()
     return out
 
 
+def placed(window: Window, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str, int, int]]:
+    """The spans of a window as (start, end, kind, window start, window end) in its text."""
+    w, parts = window
+    if len(parts) == 1:
+        at = parts[0][1]
+        return [(x + at, y + at, k, at, at + len(w)) for x, y, k in found]
+    starts = [p for p, _ in parts]
+
+    def back(x: int) -> int:
+        p, t = parts[bisect_right(starts, x) - 1]
+        return t + x - p
+
+    a, b = parts[0][1], back(len(w) - 1) + 1
+    return [(back(x), back(y - 1) + 1, k, a, b) for x, y, k in found]
+
+
 @functools.lru_cache(maxsize=1)
 def tagger() -> Tagger:
     with np.load(Path(__file__).with_name("pii_weights.npz")) as z:
@@ -120,7 +159,7 @@ def reconcile(found: list[tuple[int, int, str, int, int]]) -> list[tuple[int, in
 _ZERO = re.compile("[\u200b-\u200d\u2060\ufeff\u00ad]")
 _EMAIL = re.compile(r"[^\W_][\w.+'-]*\s?(?:@|[(\[{]\s?(?:at|ät|arobase)\s?[)\]}]|at\s)\s?[^\W_]")
 _EMAIL_DOT = re.compile(r"\.[^\W_]|[(\[{ ]\s?(?:dot|punkt|point)[)\]} ]", re.I)
-_TOWN = re.compile(r"[,\n](?:[\s>|]|[A-Z]{2,3}>)*(?:\d{4,6}\s+)?[A-ZÀ-ÖØ-Ý][a-zà-öø-ÿ]")
+_TOWN = re.compile(r"(?:[,\n](?:[\s>|]|[^\W\d_]{1,4}>)*(?:\d{4,6}\s+)?|\s\d{5}\s+)[A-ZÀ-ÖØ-Ý][a-zà-öø-ÿ]")
 _PHONE = re.compile(r"[+0]|\d{3}\)?[-. ]\d{3}[-. ]\d{4}$")
 _NO_NAME = re.compile(r"[\d@]")
 _FIRM = re.compile(r"[ .]*(?:GmbH|G\.m\.b|AG\b|Ltd|Limited|KG\b|e\. ?V|S\.? ?A\.? ?R|Sàrl|Inc\b|Aktiengesellschaft|eingetr|& Co)")
@@ -173,16 +212,16 @@ def find(texts: list[str | None], memo: dict[str, list] | None = None) -> list[l
     memo: windows read before, for calls over many batches; it is emptied when it holds MEMO of them.
     """
     marked, texts = texts, [_ZERO.sub("", t) if t and not t.isascii() else t for t in texts]
-    places: list[list[tuple[int, int]]] = [windows(t) if t else [] for t in texts]
+    places: list[list[Window]] = [windows(t) if t else [] for t in texts]
     known = {} if memo is None or len(memo) > MEMO else memo
-    fresh = list({w: None for t, ws in zip(texts, places) for a, b in ws if (w := t[a:b]) not in known})
+    fresh = list({w: None for ws in places for w, _ in ws if w not in known})
     known.update(zip(fresh, tagger().decode(fresh)))
     if memo is not None and known is not memo:
         memo.clear()
         memo.update(known)
     out = []
     for t, ws in zip(texts, places):
-        found = join([(a + x, a + y, k, a, b) for a, b in ws for x, y, k in known[t[a:b]]])
+        found = join([s for w in ws if (f := known[w[0]]) for s in placed(w, f)])
         checked = []
         for x, y, k, a, b in found:
             if (c := check(t, x, y, k)) is not None:
