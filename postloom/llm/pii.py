@@ -81,9 +81,9 @@ def windows(text: str) -> list[Window]:
 
     at = 0
     for line in text.split("\n"):
-        m = _MARKS.match(line).end()
+        m = _MARKS.match(line).end() if line[:1] in " \t>|" or ">" in line[:5] else 0
         bare = line[m:].rstrip()
-        if _SOMETHING.search(bare):
+        if bare and (bare[0].isalnum() or _SOMETHING.search(bare)):
             lines.append((at + m, bare))
         elif lines:
             flush()
