@@ -1,8 +1,10 @@
 """Incremental processing: each successful run handles exactly what is new or changed since the one before it.
 
 A run may fail, never end, or overlap with arriving records.  The mark of a run is therefore the moment its reading
-began (the oldest transaction open then), never its end: the next run rereads everything that arrived after that
-mark, and key-and-version pairs that the ledger of processed records already holds are removed by an anti-join.
+began, never its end, and the next run rereads from an earlier mark yet: the beginning of the oldest run that was
+still open when the last good run began.  Pairs of key and version that the ledger of processed records already holds
+are removed by an anti-join.  The ledger holds every version a good run looked at, also those it had nothing to do
+for; a run that fails leaves no rows in it, so what it would have done falls to the next one.
 
 Defined results: a record without arrival time or folder is never due; a record without Message-ID counts as a mail
 of its own; a missing ``seen_at`` is older than any other; runs without folder or start are ignored; empty tables
@@ -11,10 +13,11 @@ give empty results; columns beyond those named are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom.functions.mids import clean_mid
+from postloom.plans.lineage import cut
 
 DONE, OPEN = "ok", "open"
 
@@ -27,33 +30,19 @@ def _keyed(feed: DataFrame) -> DataFrame:
     )
 
 
-def _windows(runs: DataFrame) -> DataFrame:
-    """One row per folder: the reading windows (after, upto] of its runs that count, in order."""
-    runs = runs.filter(F.col("outcome").isin(DONE, OPEN) & F.col("started_at").isNotNull() & F.col("folder_id").isNotNull())
-    ordered = runs.groupBy("folder_id").agg(F.array_sort(F.collect_list(F.struct("started_at", "run_id", "outcome"))).alias("rs"))
-
-    def window(r, i):
-        before = F.filter(F.slice(F.col("rs"), F.lit(1), i), lambda x: x["outcome"] == DONE)
-        return F.struct(
-            F.coalesce(F.array_max(F.transform(before, lambda x: x["started_at"])), F.lit(-(2**62))).alias("after"),
-            r["started_at"].alias("upto"), r["run_id"].alias("run_id"), i.alias("n"),
-        )
-
-    return ordered.select("folder_id", F.transform("rs", window).alias("ws"))
+LEDGER = "folder_id string, mail string, seen_at bigint, feed_id bigint, size bigint, read int, flagged int, taken boolean"
 
 
 def replay(feed: DataFrame, runs: DataFrame) -> DataFrame:
     """(run_id, feed_id): what every run with outcome ok or open has to process, over the whole history.
 
-    Records meet the windows of their folder in one join (one small row per folder, so a folder with a third of all
-    records is split by the skew handling), are reduced to the newest version per run and mail before any list is
+    The ledger of ``run_all`` as a fold: records are reduced to the newest version per run and mail before any list is
     built, and the ledger of a mail is then a fold over at most one version per run.
     """
+    w = marks(runs)
     due = (
-        _keyed(feed).join(_windows(runs), "folder_id")
-        .withColumn("w", F.explode(F.filter("ws", lambda w: (F.col("arrived_at") <= w["upto"]) & (F.col("arrived_at") > w["after"]))))
-        .groupBy("folder_id", "mail", F.col("w.n").alias("n"), F.col("w.run_id").alias("run_id"))
-        .agg(F.max(F.struct("seen_at", "feed_id", "size", "read", "flagged")).alias("v"))
+        _keyed(feed).join(w, "folder_id").filter((F.col("arrived_at") <= F.col("upto")) & F.coalesce(F.col("arrived_at") > F.col("after"), F.lit(True)))
+        .groupBy("folder_id", "mail", "n", "run_id").agg(F.max(F.struct("seen_at", "feed_id", "size", "read", "flagged")).alias("v"))
     )
     history = due.groupBy("folder_id", "mail").agg(F.array_sort(F.collect_list(F.struct("n", "run_id", "v"))).alias("h"))
     version = "struct<seen_at:bigint,feed_id:bigint,size:bigint,read:int,flagged:int>"
@@ -69,22 +58,65 @@ def replay(feed: DataFrame, runs: DataFrame) -> DataFrame:
     return history.select(F.explode(F.aggregate("h", ledger, step, lambda acc: acc["done"])).alias("d")).select("d.run_id", "d.feed_id")
 
 
-def next_batch(feed: DataFrame, ledger: DataFrame, marks: DataFrame) -> DataFrame:
-    """What one run has to process now.
+def marks(runs: DataFrame) -> DataFrame:
+    """(folder_id, run_id, n, low, after, upto) of every run that counts, n counting from 1 in its folder.
 
-    ``ledger``: (folder_id, mail, seen_at, size, read, flagged) of everything processed so far; ``marks``:
-    (folder_id, after, upto), where ``after`` is the start of the last successful run (null: none) and ``upto`` the
-    start of this one.  Returns ledger columns and feed_id.  Rereading is harmless: pairs of key and version in the
-    ledger are removed by an anti-join, and so is a version that is not newer than, or equal to, the last processed.
+    ``upto``: its start; ``after``: the start of the last good run before it; ``low``: the start of the oldest run
+    that was still open then (never ended, or ended later), from where it rereads.  Both null where there is none.
+    """
+    timed = runs.filter(F.col("started_at").isNotNull() & F.col("folder_id").isNotNull())
+    w = Window.partitionBy("folder_id").orderBy("started_at", "run_id")
+    good = F.when(F.col("outcome") == DONE, F.col("started_at"))
+    counted = timed.filter(F.col("outcome").isin(DONE, OPEN)).select(
+        "folder_id", "run_id", F.col("started_at").alias("upto"), F.row_number().over(w).alias("n"), F.last(good, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("after")
+    )
+    # one row for each folder and moment of a good run; the oldest run open at that moment is a running minimum
+    opened = timed.select("folder_id", F.col("started_at").alias("s"), F.coalesce("finished_at", F.lit(2**62)).alias("e"))
+    moments = counted.filter("after is not null").select("folder_id", "after").distinct()
+    low = moments.join(opened, "folder_id").filter("s <= after and e >= after").groupBy("folder_id", "after").agg(F.min("s").alias("low"))
+    return counted.join(low, ["folder_id", "after"], "left").select("folder_id", "run_id", "n", F.coalesce("low", "after").alias("low"), "after", "upto")
+
+
+def next_batch(feed: DataFrame, ledger: DataFrame, mark: DataFrame) -> DataFrame:
+    """What one run of each folder has to look at now: columns of LEDGER; ``taken`` are those it has to process.
+
+    ``ledger``: all rows that good runs before have returned; ``mark``: (folder_id, low, upto), at most one row a folder.
+    Records are read again from ``low`` on (null: from the beginning).  Those whose key and version the ledger holds are
+    removed by an anti-join; of the others the newest of each mail is taken, if the mail was never processed, or if it
+    is later than and differs from the version processed last.
     """
     key = ["folder_id", "mail"]
-    window = marks.select("folder_id", "after", "upto")
-    due = _keyed(feed).join(window, "folder_id").filter((F.col("arrived_at") <= F.col("upto")) & (F.coalesce(F.col("arrived_at") > F.col("after"), F.lit(True))))
-    newest = due.groupBy(*key).agg(F.max(F.struct("seen_at", "feed_id", "size", "read", "flagged")).alias("v")).select(*key, "v.*")
-    fresh = newest.join(ledger.select(*key, "seen_at"), [*key, "seen_at"], "left_anti")
-    last = ledger.groupBy(*key).agg(F.max(F.struct("seen_at", "size", "read", "flagged")).alias("l"))
+    due = _keyed(feed).join(mark.select("folder_id", "low", "upto"), "folder_id").filter((F.col("arrived_at") <= F.col("upto")) & (F.coalesce(F.col("arrived_at") > F.col("low"), F.lit(True))))
+    fresh = due.select(*key, "seen_at", "feed_id", "size", "read", "flagged").join(ledger.select(*key, "seen_at", "feed_id"), [*key, "seen_at", "feed_id"], "left_anti")
+    newest = fresh.groupBy(*key).agg(F.max(F.struct("seen_at", "feed_id"))["feed_id"].alias("newest"))
+    last = ledger.filter("taken").groupBy(*key).agg(F.max(F.struct("seen_at", "size", "read", "flagged")).alias("l"))
     same = F.col("l.size").eqNullSafe(F.col("size")) & F.col("l.read").eqNullSafe(F.col("read")) & F.col("l.flagged").eqNullSafe(F.col("flagged"))
-    return (
-        fresh.join(last, key, "left").filter(F.col("l").isNull() | ((F.col("seen_at") > F.col("l.seen_at")) & ~same))
-        .select(*key, "seen_at", "size", "read", "flagged", "feed_id")
-    )
+    takes = (F.col("feed_id") == F.col("newest")) & (F.col("l").isNull() | ((F.col("seen_at") > F.col("l.seen_at")) & ~same))
+    return fresh.join(newest, key).join(last, key, "left").select(*key, "seen_at", F.col("feed_id").cast("bigint"), F.col("size").cast("bigint"), F.col("read").cast("int"), F.col("flagged").cast("int"), takes.alias("taken"))
+
+
+def run_all(feed: DataFrame, runs: DataFrame, fold_every: int = 6) -> DataFrame:
+    """(run_id, feed_id): what every run with outcome ok or open has to process, run after run by ``next_batch``.
+
+    The n-th runs of all folders are one round, so there are as many rounds as the folder with most runs has.  Each
+    round reads the records of its windows and the ledger of the rounds before, which is written anew every
+    ``fold_every`` rounds.  A run that is still open writes nothing to the ledger.
+    """
+    spark = feed.sparkSession
+    every = cut(marks(runs))
+    rounds = every.agg(F.max("n")).first()[0] or 0
+    keyed = cut(feed.select("feed_id", "folder_id", "mid", "seen_at", "arrived_at", "size", "read", "flagged"))
+    ledger = spark.createDataFrame([], LEDGER)
+    outcome = runs.select("run_id", "outcome")
+    done = []
+    for n in range(1, rounds + 1):
+        mark = every.filter(F.col("n") == n)
+        batch = cut(next_batch(keyed, ledger, mark).join(mark.select("folder_id", "run_id"), "folder_id").join(outcome, "run_id"))
+        done.append(batch.filter("taken").select("run_id", "feed_id"))
+        ledger = ledger.unionByName(batch.filter(F.col("outcome") == DONE).select(*ledger.columns))
+        if n % fold_every == 0:
+            ledger = cut(ledger)
+    out = spark.createDataFrame([], "run_id bigint, feed_id bigint")
+    for part in done:
+        out = out.unionByName(part.select(F.col("run_id").cast("bigint"), F.col("feed_id").cast("bigint")))
+    return out

@@ -344,7 +344,17 @@ register(
 
 # ---- incremental runs
 
-register("p5_found", lambda s, d: incremental.replay(table(s, d, "header_feed"), table(s, d, "sync_runs")))
+# the ledger of each mail as a fold over its newest version in every run
+_LEDGER_SQL = """WITH t AS (SELECT folder_id, run_id, started_at AS upto, outcome, row_number() OVER w AS n, max(CASE WHEN outcome = 'ok' THEN started_at END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after
+      FROM sync_runs WHERE outcome IN ('ok', 'open') AND started_at IS NOT NULL AND folder_id IS NOT NULL WINDOW w AS (PARTITION BY folder_id ORDER BY started_at, run_id)),
+    f AS (SELECT feed_id, folder_id, coalesce(nullif(lower(regexp_replace(mid, '[\\s<>]+', '', 'g')), ''), 'feed:' || feed_id) AS mail, coalesce(seen_at, -4611686018427387904) AS seen_at, arrived_at, size, read, flagged FROM header_feed WHERE arrived_at IS NOT NULL AND folder_id IS NOT NULL),
+    v AS (SELECT f.folder_id, f.mail, t.n, t.run_id, arg_max({'run_id': t.run_id, 'feed_id': f.feed_id, 'seen_at': f.seen_at, 'size': f.size, 'read': f.read, 'flagged': f.flagged, 'done': [{'run_id': t.run_id, 'feed_id': f.feed_id}]}, (f.seen_at, f.feed_id)) AS v
+      FROM f JOIN t ON t.folder_id = f.folder_id AND f.arrived_at <= t.upto AND (t.after IS NULL OR f.arrived_at > t.after) GROUP BY 1, 2, 3, 4),
+    h AS (SELECT folder_id, mail, list_reduce(list(v ORDER BY n), lambda a, x: CASE WHEN x.seen_at > a.seen_at AND (x.size IS DISTINCT FROM a.size OR x.read IS DISTINCT FROM a.read OR x.flagged IS DISTINCT FROM a.flagged)
+      THEN {'run_id': x.run_id, 'feed_id': x.feed_id, 'seen_at': x.seen_at, 'size': x.size, 'read': x.read, 'flagged': x.flagged, 'done': list_concat(a.done, x.done)} ELSE a END) AS l FROM v GROUP BY 1, 2),
+    d AS (SELECT unnest(l.done) AS d FROM h) SELECT d.run_id AS run_id, d.feed_id AS feed_id FROM d"""
+register("p5_found", lambda s, d: incremental.run_all(table(s, d, "header_feed"), table(s, d, "sync_runs")), _LEDGER_SQL)
+register("q_feed_replay", lambda s, d: incremental.replay(table(s, d, "header_feed"), table(s, d, "sync_runs")), _LEDGER_SQL)
 
 # ---- ad-hoc SQL over whole tables, behind the guard
 

@@ -47,6 +47,8 @@ def test_on_the_tables(spark, tiny):
     got = incremental.replay(spark.read.parquet(f"{tiny}/header_feed.parquet"), spark.read.parquet(f"{tiny}/sync_runs.parquet"))
     want = brute(feed, runs)
     assert rows(got) == want and got.count() == len(want) > 0
+    got = incremental.run_all(spark.read.parquet(f"{tiny}/header_feed.parquet"), spark.read.parquet(f"{tiny}/sync_runs.parquet"))
+    assert rows(got) == want and got.count() == len(want)
 
 
 def test_random_histories(spark):
@@ -55,24 +57,37 @@ def test_random_histories(spark):
     runs = [(i, rng.choice(["a", "b", None]), rng.randrange(100), None, rng.choice(["ok", "failed", "running", None]), None) for i in range(14)] + [(90, "a", 99, None, "open", None), (91, "b", None, None, "open", None)]
     names = [c.split()[0] for c in FEED.split(", ")], [c.split()[0] for c in RUNS.split(", ")]
     want = brute([dict(zip(names[0], f)) for f in feed], [dict(zip(names[1], r)) for r in runs])
-    assert rows(incremental.replay(spark.createDataFrame(feed, FEED), spark.createDataFrame(runs, RUNS))) == want
+    tables = spark.createDataFrame(feed, FEED), spark.createDataFrame(runs, RUNS)
+    assert rows(incremental.replay(*tables)) == want
+    assert rows(incremental.run_all(*tables, fold_every=3)) == want
 
 
-def test_batch_by_batch_equals_replay(spark):
-    rng = random.Random(2)
-    feed = [(i, "a", f"m{rng.randrange(9)}@x", 1, rng.choice([1, 2]), 0, 0, rng.randrange(90), i) for i in range(90)]
-    feed += [(100 + i, *f[1:8], f[8] + 20) for i, f in enumerate(feed[:20])]  # repeated later
-    runs = [(1, "a", 30, 40, "ok", None), (2, "a", 50, None, "failed", None), (3, "a", 60, 70, "ok", None), (4, "a", 120, None, "open", None)]
+def test_a_run_rereads_from_the_oldest_open_run(spark):
+    runs = [(1, "a", 10, 12, "ok", None), (2, "a", 20, None, "running", None), (3, "a", 25, 70, "failed", None), (4, "a", 60, 65, "ok", None), (5, "a", 90, 95, "ok", None), (6, "a", 120, None, "open", None)]
+    got = {r["run_id"]: (r["n"], r["low"], r["after"], r["upto"]) for r in incremental.marks(spark.createDataFrame(runs, RUNS)).collect()}
+    assert got == {1: (1, None, None, 10), 4: (2, 10, 10, 60), 5: (3, 20, 60, 90), 6: (4, 20, 90, 120)}
+
+
+def test_rereading_repeats_nothing(spark):
+    feed = [(1, "a", "m@x", 1, 5, 0, 0, 3, 9), (2, "a", "m@x", 1, 6, 0, 0, 8, 30), (3, "a", "m@x", 1, 6, 1, 0, 7, 30), (4, "a", "n@x", 1, 1, 0, 0, 1, 61)]
     df = spark.createDataFrame(feed, FEED)
-    ledger = spark.createDataFrame([], "folder_id string, mail string, seen_at long, size long, read int, flagged int")
-    got, mark = set(), None
-    for run, start in ((1, 30), (3, 60), (4, 120)):
-        batch = incremental.next_batch(df, ledger, spark.createDataFrame([("a", mark, start)], "folder_id string, after long, upto long"))
-        got |= {(run, r["feed_id"]) for r in batch.collect()}
-        ledger, mark = ledger.unionByName(batch.drop("feed_id")), start
-    assert got == rows(incremental.replay(df, spark.createDataFrame(runs, RUNS)))
+    ledger, got = spark.createDataFrame([], incremental.LEDGER), []
+    for low, upto in ((None, 10), (None, 60), (None, 60), (5, 90)):  # the third run repeats the second
+        batch = incremental.next_batch(df, ledger, spark.createDataFrame([("a", low, upto)], "folder_id string, low long, upto long"))
+        rows = batch.collect()
+        got.append(({r["feed_id"] for r in rows if r["taken"]}, {r["feed_id"] for r in rows}))
+        ledger = spark.createDataFrame([tuple(r) for r in ledger.collect() + rows], incremental.LEDGER)
+    assert got == [({1}, {1}), ({2}, {2, 3}), (set(), set()), ({4}, {4})]
+
+
+def test_a_folder_with_many_runs(spark):
+    n = 4000
+    runs = [(i, "a", 10 * i, 10 * i + 3, "ok", None) for i in range(1, n + 1)]
+    feed = [(i, "a", f"m{i % 7}@x", 1, i, 0, 0, i, 13 * i) for i in range(1, 2000)]
+    got = rows(incremental.replay(spark.createDataFrame(feed, FEED), spark.createDataFrame(runs, RUNS)))
+    assert got == brute([dict(zip([c.split()[0] for c in FEED.split(", ")], f)) for f in feed], [dict(zip([c.split()[0] for c in RUNS.split(", ")], r)) for r in runs])
 
 
 def test_empty_and_extra_columns(spark):
     feed, runs = spark.createDataFrame([], FEED + ", started_at int, run_id int, n int"), spark.createDataFrame([], RUNS + ", mid string")
-    assert incremental.replay(feed, runs).count() == 0
+    assert incremental.replay(feed, runs).count() == 0 == incremental.run_all(feed, runs).count()
