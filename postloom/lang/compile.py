@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 
 from postloom.functions.text import token_text
 from postloom.lang import dates
-from postloom.lang.query import And, Not, Or, QueryError, Term, conjuncts, parse
+from postloom.functions.display import nearest_name
+from postloom.lang.query import And, Not, Or, QueryError, Term, conjuncts, mentions, parse
+from postloom.sources import ics
 from postloom.sources.tables import table
 
 #: Column weights of the ranking.
@@ -42,12 +45,18 @@ class Mailbox:
     attachments: DataFrame
     identities: DataFrame
     events: DataFrame | None = None
+    #: The inverted index (postloom.operators.fts.Index) that words are looked up in; without one every text is read.
+    index: object | None = None
     now: int = 1_772_323_200_000
     cache: dict = field(default_factory=dict)
 
     @staticmethod
     def read(spark: SparkSession, directory: str, **extra) -> Mailbox:
-        return Mailbox(*(table(spark, directory, t) for t in ("messages", "folders", "accounts", "addresses", "attachments", "identities")), **extra)
+        """The mailbox of a directory; its events are those of the calendar files among the attachments."""
+        box = Mailbox(*(table(spark, directory, t) for t in ("messages", "folders", "accounts", "addresses", "attachments", "identities")), **extra)
+        if box.events is None:
+            box.events = ics.of_mailbox(box.messages, box.attachments, box.now)
+        return box
 
     def me(self) -> DataFrame:
         return self.identities.select(F.col("addr").alias("me_addr")).filter("me_addr is not null").distinct()
@@ -79,6 +88,11 @@ class Phrase:
     prefix: bool
     columns: tuple[str, ...]
 
+    @property
+    def key(self) -> str:
+        """A name of the phrase, for columns of hits."""
+        return f"_h{zlib.crc32(repr((self.words, self.prefix, self.columns)).encode()):08x}"
+
     def hits(self, column: str) -> Column:
         """How often the phrase stands in the tokens of a column."""
         if column not in self.columns:
@@ -139,7 +153,8 @@ class Compiler:
             self.needs.add("text")
             out = F.lit(True)
             for p in phrases(node):
-                out = out & p.found()
+                self.match.append(p)
+                out = out & (p.found() if self.box.index is None else F.coalesce(F.col(p.key) > 0, F.lit(False)))
             return out
         return self.filter(node.field, node.value)
 
@@ -163,13 +178,13 @@ class Compiler:
             if low in ("attachment", "attachments"):
                 return c("attachment_count") > 0
             if low in ("invite", "invitation"):
-                return self._flag("events", (c("method") == "REQUEST") & (c("active") == 1))
+                return self._flag("events", (c("method") == "REQUEST") & c("active").cast("boolean"))
             if low in ("event", "calendar"):
                 return self._flag("events", F.lit(True))
             if low in ("cancelled", "canceled", "cancellation"):
                 return self._flag("events", (c("method") == "CANCEL") | (c("status") == "CANCELLED"))
             if low not in FILE_KINDS:
-                raise QueryError(f"Unknown has:{value}.")
+                raise QueryError(f"has:{value} is not known; there are {', '.join((*FILE_KINDS, 'attachment', 'invite', 'event', 'cancelled'))}")
             by_name, by_type = FILE_KINDS[low]
             return self._flag("attachments", F.lower(c("filename")).like(by_name) | F.lower(c("content_type")).like(by_type))
         if name == "in":
@@ -192,9 +207,9 @@ class Compiler:
                 raise QueryError(f'"{value}" is not a time like 7d, 2w or 1y.')
             return c("date") >= moment if name == "newer" else c("date") < moment
         if name == "event_after":
-            return self._flag("events", (c("active") == 1) & (F.coalesce("last_start", "start") >= dates.period(value, now)[0]))
+            return self._flag("events", c("active").cast("boolean") & (F.coalesce("last_start", "start") >= dates.period(value, now)[0]))
         if name == "event_before":
-            return self._flag("events", (c("active") == 1) & (c("start") < dates.period(value, now)[0]))
+            return self._flag("events", c("active").cast("boolean") & (c("start") < dates.period(value, now)[0]))
         if name == "tag":
             return contains(c("tags")) if low.startswith('"') else F.lower(c("tags")).contains(f'"{low}"')
         if name == "list":
@@ -207,12 +222,18 @@ class Compiler:
             return c("mid") == value.removeprefix("<").removesuffix(">")
         return c("size") > dates.size(value) if name == "larger" else c("size") < dates.size(value)
 
+    def column(self, name: str) -> Column:
+        """A column of the messages; marks of encryption that a table does not have are 0 and null."""
+        if name not in self.box.messages.columns and name in ("encrypted", "pgp_state"):
+            return F.lit(0) if name == "encrypted" else F.lit(None).cast("string")
+        return F.col(name)
+
     def _state(self, what: str) -> Column:
         c = F.col
         flags = {"unread": ("read", 0), "read": ("read", 1), "flagged": ("flagged", 1), "starred": ("flagged", 1), "junk": ("junk", 1), "hidden": ("hidden_removed", 1), "encrypted": ("encrypted", 1)}
         if what in flags:
             column, value = flags[what]
-            return c(column) == value
+            return self.column(column) == value
         if what == "reply":
             return c("in_reply_to").isNotNull()
         if what == "authfail":
@@ -221,7 +242,8 @@ class Compiler:
             self.needs |= {"me", "contacts"}
             hidden = (c("hidden_removed") == 1) & c("list_id").isNull() & ~c("auth_verdict").eqNullSafe("pass") & ~c("_from_me") & ~c("_from_contact")
             return F.coalesce(c("auth_verdict") == "fail", F.lit(False)) | hidden
-        raise QueryError(f"Unknown is:{what}.")
+        near = nearest_name(what, (*flags, "reply", "authfail", "suspicious"))
+        raise QueryError(f"is:{what} is not known" + (f", perhaps is:{near} is meant" if near else ""))
 
     def prepare(self) -> DataFrame:
         """The messages with every column that the conditions refer to."""
@@ -262,15 +284,17 @@ def _has_words(node) -> bool:
     return node.is_word if isinstance(node, Term) else _has_words(node.item) if isinstance(node, Not) else any(map(_has_words, node.items))
 
 
-def select(box: Mailbox, query: str = "", **filters: str) -> tuple[DataFrame, list[list[Phrase]]]:
+def select(box: Mailbox, query: str = "", hide_encrypted: bool = False, **filters: str) -> tuple[DataFrame, list[list[Phrase]]]:
     """The messages that match, and the phrases by which they are ranked (one list for each word of the query).
 
-    ``filters`` are further field=value conditions, such as folder="sent" or after="2025".
+    ``filters`` are further field=value conditions, such as folder="sent" or after="2025".  ``hide_encrypted`` leaves
+    out encrypted mail that was not read, unless the query itself asks about encryption.
     """
     compiler = Compiler(box)
     ranked: list[list[Phrase]] = []
     plain, worded = F.lit(True), F.lit(True)
-    for part in conjuncts(parse(query)):
+    tree = parse(query)
+    for part in conjuncts(tree):
         if isinstance(part, Term) and part.is_word:
             ranked.append(phrases(part))
         elif isinstance(part, Or) and all(isinstance(x, Term) and x.is_word for x in part.items):
@@ -281,5 +305,13 @@ def select(box: Mailbox, query: str = "", **filters: str) -> tuple[DataFrame, li
             plain = plain & compiler.condition(part)
     for name, value in filters.items():
         plain = plain & compiler.filter({"folder": "in", "since": "after"}.get(name, name), value)
+    if hide_encrypted and not mentions(tree, "is", "encrypted"):
+        plain = plain & ((compiler.column("encrypted") == 0) | compiler.column("pgp_state").eqNullSafe("decrypted"))
     matched = compiler.prepare().filter(plain)
-    return (with_tokens(matched).filter(worded & (F.col("_row") >= 0)) if "text" in compiler.needs else matched), ranked
+    if not compiler.match:
+        return (matched.filter(worded) if "text" in compiler.needs else matched), ranked
+    if box.index is None:
+        return with_tokens(matched).filter(worded & (F.col("_row") >= 0)), ranked
+    # rows without any hit can only match where all words stand under NOT or OR
+    hits = box.index.hits(list(dict.fromkeys(compiler.match)))
+    return matched.join(hits, "id", "inner" if any(ranked) else "left").filter(worded), ranked

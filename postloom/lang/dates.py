@@ -53,12 +53,12 @@ def period(value: str, now: int) -> tuple[int, int]:
         if moment is not None:
             start = _ms(moment if moment.tzinfo else moment.replace(tzinfo=timezone.utc))
             return start, start + 1
-    raise QueryError(f'Cannot understand the date "{value}".')
+    raise QueryError(f"{value} is no date, such as 2025, 2025-03, 2025-03-14, 14.03.2025, today or 7d")
 
 
 def size(value: str) -> int:
     """Bytes of 500, 500K, 2M, 1.5G."""
     m = re.fullmatch(r"(\d+(?:\.\d+)?)\s*([KMG]?)B?", value.strip().upper())
     if not m:
-        raise QueryError(f'Cannot understand the size "{value}".')
+        raise QueryError(f"{value} is no size, such as 500K or 2M")
     return round(float(m[1]) * 1024 ** " KMG".index(m[2] or " "))

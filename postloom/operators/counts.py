@@ -53,3 +53,11 @@ def count_by(box: Mailbox, *keys: str, query: str = "", limit: int | None = None
     order = [F.col("n").desc(), *names] if keys[0] not in BY_KEY else [names[0], *([F.col("n").desc()] if len(keys) > 1 and keys[1] not in BY_KEY else []), *names[1:]]
     out = out.orderBy(*order)
     return out.limit(limit) if limit else out
+
+
+def count_threads(box: Mailbox, query: str = "", limit: int = 100, **filters: str) -> DataFrame:
+    """thread, n, subject, last: the conversations with most matching mails, with their first subject and last date."""
+    top = select(box, query, **filters)[0].groupBy("thread_id").agg(F.count_distinct("mid").alias("n")).orderBy(F.col("n").desc(), "thread_id").limit(max(1, min(limit, 10_000)))
+    order = F.struct(F.coalesce("date", F.lit(-(2**62))).alias("d"), F.col("id").alias("i"))
+    told = box.messages.join(F.broadcast(top.select("thread_id")), "thread_id", "left_semi").groupBy("thread_id").agg(F.min_by("subject", order).alias("subject"), F.max("date").alias("last"))
+    return top.join(told, "thread_id", "left").select(F.col("thread_id").alias("thread"), "n", "subject", "last").orderBy(F.col("n").desc(), "thread")

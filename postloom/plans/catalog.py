@@ -11,15 +11,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.functions import folders
+from postloom.functions import display, folders
 from postloom.functions import text as T
 from postloom.functions.addresses import format_address, people_text
+from postloom.functions.headers import repair_header
 from postloom.functions.mids import clean_mid
 from postloom.functions.quotes import split_quoted
 from postloom.lang.compile import Mailbox, select
-from postloom.operators import counts, incremental, maintenance, people, reconcile, search, semantic, sqlguard, threading, threads
+from postloom.operators import counts, fts, incremental, maintenance, people, reconcile, search, semantic, show, sqlguard, status, threading, threads
+from postloom.sources import ics
 from postloom.sources.tables import table
-from postloom.streaming import sync
+from postloom.streaming import state, sync
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,6 +62,17 @@ def sql_date(ms: str = "m.date") -> str:
     return f"make_timestamp({ms} * 1000)"
 
 
+#: What copies of one mail have in common, in SQL.
+SAME = "coalesce(nullif(lower(regexp_replace({0}mid, '[\\s<>]+', '', 'g')), ''), 'row:' || {0}id)"
+
+
+def indexed(s: SparkSession, d: str) -> Mailbox:
+    """The mailbox with its inverted index, which is built at its first use in a session."""
+    box = Mailbox.read(s, d)
+    box.index = fts.index_of(s, d, box.messages)
+    return box
+
+
 def register(name: str, run: Query, sql: str | None = None) -> None:
     QUERIES[name] = run
     if sql is not None:
@@ -67,8 +80,9 @@ def register(name: str, run: Query, sql: str | None = None) -> None:
 
 
 def matching(name: str, query: str, where: str, source: str = PLACES, with_: str = "", **filters: str) -> None:
-    """A query of the search language whose result is the ids of the rows that match."""
-    register(name, lambda s, d: select(Mailbox.read(s, d), query, **filters)[0].select("id"), f"{with_} SELECT m.id FROM {source} WHERE {where}")
+    """A query of the search language whose result is the ids of the rows that match; words are looked up in the index."""
+    box = indexed if name.startswith("q_fts") else Mailbox.read
+    register(name, lambda s, d: select(box(s, d), query, **filters)[0].select("id"), f"{with_} SELECT m.id FROM {source} WHERE {where}")
 
 
 # ---- filters
@@ -80,10 +94,10 @@ matching("q_filter_flags", "is:unread OR is:flagged", "m.read = 0 OR m.flagged =
 matching("q_filter_not_null_safe", "-in:inbox -is:junk", "NOT coalesce(f.type = 'inbox' OR contains(lower(f.path), 'inbox') OR contains(lower(f.name), 'inbox') OR m.folder_id = 'inbox' OR contains(lower(coalesce(ac.name, '') || f.path), 'inbox'), false) AND NOT coalesce(m.junk = 1, false)")
 matching("q_filter_folder_type", "in:sent", "f.type = 'sent' OR contains(lower(f.path), 'sent') OR contains(lower(f.name), 'sent') OR m.folder_id = 'sent' OR contains(lower(coalesce(ac.name, '') || f.path), 'sent')")
 matching("q_filter_account", 'account:"Konto 1"', "m.account_id = 'Konto 1' OR contains(lower(ac.name), 'konto 1') OR contains(lower(ac.email), 'konto 1')")
-matching("q_filter_from_folded", "from:müller OR from:rüdiger", "contains(m.from_fold, 'mueller') OR contains(m.from_fold, 'ruediger')")
+matching("q_filter_from_folded", "from:plauerzmann OR from:jürgen", "contains(m.from_fold, 'plauerzmann') OR contains(m.from_fold, 'juergen')")
 matching("q_filter_from_me", "from:me", f"m.from_addr IN {ME} AND {NOT_FAILED}")
 matching("q_exists_to_me", "to:me", f"m.id IN (SELECT message_id FROM addresses WHERE role IN ('to', 'cc', 'bcc') AND addr IN {ME})")
-matching("q_exists_with", "with:susanne cc:kontakt", "EXISTS (SELECT 1 FROM addresses a WHERE a.message_id = m.id AND a.role IN ('from', 'to', 'cc', 'bcc') AND contains(a.fold, 'susanne')) AND EXISTS (SELECT 1 FROM addresses a WHERE a.message_id = m.id AND a.role = 'cc' AND contains(a.fold, 'kontakt'))")
+matching("q_exists_with", "with:frobichelli cc:alle", "EXISTS (SELECT 1 FROM addresses a WHERE a.message_id = m.id AND a.role IN ('from', 'to', 'cc', 'bcc') AND contains(a.fold, 'frobichelli')) AND EXISTS (SELECT 1 FROM addresses a WHERE a.message_id = m.id AND a.role = 'cc' AND contains(a.fold, 'alle'))")
 matching("q_exists_in_or", "has:pdf OR is:flagged", "m.flagged = 1 OR EXISTS (SELECT 1 FROM attachments a WHERE a.message_id = m.id AND (lower(a.filename) LIKE '%.pdf' OR lower(a.content_type) LIKE '%pdf%'))")
 matching("q_not_exists_anti", "has:attachment -filename:pdf", "m.attachment_count > 0 AND NOT EXISTS (SELECT 1 FROM attachments a WHERE a.message_id = m.id AND (contains(lower(a.filename), 'pdf') OR contains(lower(a.content_type), 'pdf')))")
 matching("q_filter_sizes", "larger:100K smaller:2M", "m.size > 102400 AND m.size < 2097152")
@@ -126,24 +140,25 @@ def _bm25(words: list[str]) -> str:
 
 
 register(
-    "q_fts_bm25_score", lambda s, d: search.scored(Mailbox.read(s, d), "rechnung zoll").select("id", F.round("score", 3).alias("score")),
+    "q_fts_bm25_score", lambda s, d: search.scored(indexed(s, d), "rechnung zoll").select("id", F.round("score", 3).alias("score")),
     _bm25(["rechnung", "zoll"]) + " SELECT id, round(score, 3) AS score FROM scored",
 )
+register("q_fts_scan", lambda s, d: search.scored(Mailbox.read(s, d), "rechnung zoll").select("id", F.round("score", 3).alias("score")), SQL["q_fts_bm25_score"])
 register(
-    "q_fts_bm25_top", lambda s, d: search.search(Mailbox.read(s, d), "lieferung montag", limit=50).select("id", "copies", "score"),
-    _bm25(["lieferung", "montag"]) + """, folded AS (SELECT id, date, score, count(*) OVER (PARTITION BY mid) AS copies, row_number() OVER (PARTITION BY mid ORDER BY round(score * 2) DESC, date DESC NULLS LAST, id DESC) AS k FROM scored)
+    "q_fts_bm25_top", lambda s, d: search.search(indexed(s, d), "lieferung montag", limit=50).select("id", "copies", "score"),
+    _bm25(["lieferung", "montag"]) + """, folded AS (SELECT id, date, score, count(*) OVER (PARTITION BY """ + SAME.format("") + """) AS copies, row_number() OVER (PARTITION BY """ + SAME.format("") + """ ORDER BY round(score * 2) DESC, date DESC NULLS LAST, id DESC) AS k FROM scored)
         SELECT id, copies, round(score, 2) AS score FROM folded WHERE k = 1 ORDER BY round(folded.score * 2) DESC, date DESC NULLS LAST, id DESC LIMIT 50""",
 )
 register(
     "q_search_page_newest", lambda s, d: search.search(Mailbox.read(s, d), "is:unread", limit=30, offset=30).select("id", "copies"),
-    "WITH x AS (SELECT id, date, count(*) OVER (PARTITION BY mid) AS copies, row_number() OVER (PARTITION BY mid ORDER BY date DESC NULLS LAST, id DESC) AS k FROM messages WHERE read = 0) SELECT id, copies FROM x WHERE k = 1 ORDER BY date DESC NULLS LAST, id DESC LIMIT 30 OFFSET 30",
+    f"WITH x AS (SELECT id, date, count(*) OVER (PARTITION BY {SAME.format('')}) AS copies, row_number() OVER (PARTITION BY {SAME.format('')} ORDER BY date DESC NULLS LAST, id DESC) AS k FROM messages WHERE read = 0) SELECT id, copies FROM x WHERE k = 1 ORDER BY date DESC NULLS LAST, id DESC LIMIT 30 OFFSET 30",
 )
 register(
     "q_dedupe_copies", lambda s, d: search.fold_copies(table(s, d, "messages"), F.col("id").asc()).select("id", "copies"),
-    "SELECT min(id) AS id, count(*) AS copies FROM messages GROUP BY mid",
+    f"SELECT min(id) AS id, count(*) AS copies FROM messages GROUP BY {SAME.format('')}",
 )
 register(
-    "q_postings_df", lambda s, d: search.postings(table(s, d, "messages")).groupBy("term", "col").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("positions")).cast("bigint").alias("hits")),
+    "q_postings_df", lambda s, d: indexed(s, d).index.postings.groupBy("term", "col").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("positions")).cast("bigint").alias("hits")),
     f"WITH {TOKENS}, t AS (" + " UNION ALL ".join(f"SELECT id, '{c}' AS col, unnest(t_{c}) AS term FROM toks" for c in WEIGHTS) + ") SELECT term, col, count(DISTINCT id) AS docs, count(*) AS hits FROM t GROUP BY ALL",
 )
 
@@ -151,7 +166,7 @@ register(
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """A ranked search for words in three languages."""
-    return search.search(Mailbox.read(s, d), "lieferung OR delivery OR livraison", limit=50).select("id", "copies", "score")
+    return search.search(indexed(s, d), "lieferung OR delivery OR livraison", limit=50).select("id", "copies", "score")
 
 
 # ---- counts
@@ -220,8 +235,105 @@ register(
     FROM addresses a JOIN messages m ON m.id = a.message_id WHERE m.thread_id IS NOT NULL AND a.role IN ('from', 'to', 'cc') AND contains(a.addr, '@') AND a.addr NOT IN {ME} GROUP BY m.thread_id, a.addr) WHERE place <= 12""",
 )
 register(
-    "q_thread_one", lambda s, d: threads.thread(Mailbox.read(s, d), 2),
-    "WITH x AS (SELECT *, row_number() OVER (PARTITION BY mid ORDER BY date NULLS FIRST, id) AS k FROM messages WHERE thread_id = 2) SELECT row_number() OVER (ORDER BY date NULLS FIRST, id) AS position, id, mid, date, from_addr, subject FROM x WHERE k = 1",
+    "q_thread_one", lambda s, d: threads.thread(Mailbox.read(s, d), 40),
+    "WITH x AS (SELECT *, row_number() OVER (PARTITION BY mid ORDER BY date NULLS FIRST, id) AS k FROM messages WHERE thread_id = 40) SELECT row_number() OVER (ORDER BY date NULLS FIRST, id) AS position, id, mid, date, from_addr, subject FROM x WHERE k = 1",
+)
+ISO = "strftime(make_timestamp({0} * 1000), '%Y-%m-%dT%H:%M:%S') || '+00:00'"
+SENDER = "CASE WHEN coalesce(from_name, '') = '' OR from_name IS NOT DISTINCT FROM from_addr THEN coalesce(from_addr, '') WHEN coalesce(from_addr, '') = '' THEN from_name ELSE from_name || ' <' || from_addr || '>' END"
+register(
+    "q_thread_page", lambda s, d: show.thread_page(Mailbox.read(s, d), 40, max_body=50).select("id", "date", "from", "body", F.array_join("attachments", ", ", "").alias("files")),
+    f"""WITH t AS (SELECT coalesce(thread_id, id) AS t FROM messages WHERE id = 40), x AS (SELECT *, row_number() OVER (PARTITION BY {SAME.format('')} ORDER BY date NULLS FIRST, id) AS k FROM messages WHERE thread_id IN (SELECT t FROM t) OR id = 40)
+    SELECT id, {ISO.format('date')} AS date, {SENDER} AS from, CASE WHEN length(body) > 50 THEN substr(body, 1, 50) || '…' ELSE coalesce(body, '') END AS body, (SELECT string_agg(coalesce(filename, ''), ', ' ORDER BY idx) FROM attachments a WHERE a.message_id = x.id) AS files FROM x WHERE k = 1""",
+)
+register(
+    "q_count_threads", lambda s, d: counts.count_threads(Mailbox.read(s, d), "is:unread", limit=25),
+    """WITH t AS (SELECT thread_id, count(DISTINCT mid) AS n FROM messages WHERE read = 0 GROUP BY 1 ORDER BY n DESC, thread_id NULLS FIRST LIMIT 25)
+    SELECT t.thread_id AS thread, t.n, arg_min_null(m.subject, (coalesce(m.date, -4611686018427387904), m.id)) AS subject, max(m.date) AS last FROM t LEFT JOIN messages m ON m.thread_id = t.thread_id GROUP BY 1, 2""",
+)
+register(
+    "q_search_results", lambda s, d: search.results(indexed(s, d), "lieferung", fields="id,date,from,folder,thread,attachments,unread,copies,warning", sort="oldest", limit=60),
+    f"""WITH {TOKENS}, c AS (SELECT a.addr FROM addresses a JOIN messages x ON x.id = a.message_id WHERE a.role IN ('to', 'cc', 'bcc') AND a.addr LIKE '%@%' AND x.from_addr IN {ME} AND a.addr NOT IN {ME} GROUP BY 1),
+    x AS (SELECT m.*, count(*) OVER (PARTITION BY {SAME.format('m.')}) AS copies, row_number() OVER (PARTITION BY {SAME.format('m.')} ORDER BY date NULLS FIRST, id) AS k FROM messages m JOIN toks USING (id) WHERE {sql_any('lieferung')})
+    SELECT x.id, {ISO.format('x.date')} AS date, {SENDER} AS from, coalesce(coalesce(ac.name, '') || f.path, f.name, x.folder_id) AS folder, thread_id AS thread, coalesce(attachment_count, 0) AS attachments, coalesce(read = 0, false) AS unread, copies,
+    nullif(concat_ws('; ', CASE WHEN auth_verdict = 'fail' THEN 'sender authentication failed' END, CASE WHEN hidden_removed = 1 AND list_id IS NULL AND auth_verdict IS DISTINCT FROM 'pass' AND coalesce(from_addr, '') NOT IN (SELECT addr FROM c) AND coalesce(from_addr, '') NOT IN {ME} THEN 'hidden content removed' END), '') AS warning
+    FROM x LEFT JOIN folders f ON f.id = x.folder_id LEFT JOIN accounts ac ON ac.id = x.account_id WHERE k = 1 ORDER BY x.date NULLS FIRST, x.id LIMIT 60""",
+)
+register("q_search_ids", lambda s, d: search.search(Mailbox.read(s, d), "", ids=[90, 12, 55, 12, 7]).select("id"), f"SELECT min(id) AS id FROM messages WHERE id IN (90, 12, 55, 7) GROUP BY {SAME.format('')}")
+register("q_search_total", lambda s, d: search.total(indexed(s, d), "rechnung -is:read"), f"WITH {TOKENS} SELECT count(DISTINCT {SAME.format('m.')}) AS n FROM messages m JOIN toks USING (id) WHERE {sql_any('rechnung')} AND NOT coalesce(m.read = 1, false)")
+register(
+    "q_status_overview", lambda s, d: status.overview(Mailbox.read(s, d), table(s, d, "mail_vectors")),
+    "SELECT count(*) AS messages, count(DISTINCT thread_id) AS threads, min(date) AS oldest, max(date) AS newest, count(*) FILTER (content_state = 'full') AS full, count(*) FILTER (content_state = 'parts') AS parts, count(*) FILTER (content_state = 'headers') AS headers, count(*) FILTER (content_state = 'pending') AS pending, count(*) FILTER (content_state = 'error') AS error, (SELECT count(*) FROM attachments) AS attachments, (SELECT count(*) FROM mail_vectors) AS embeddings FROM messages",
+)
+register(
+    "q_status_folders", lambda s, d: status.folders(Mailbox.read(s, d)),
+    "SELECT f.id, coalesce(ac.name, '') || coalesce(f.path, '') AS folder, f.type, f.indexed = 1 AS indexed, f.total AS in_source, coalesce(m.n, 0) AS in_index, coalesce(m.u, 0) AS unread, f.error FROM folders f LEFT JOIN accounts ac ON ac.id = f.account_id LEFT JOIN (SELECT folder_id, count(*) AS n, count(*) FILTER (read = 0) AS u FROM messages GROUP BY 1) m ON m.folder_id = f.id",
+)
+register("q_spam_like", lambda s, d: state.spam_like(table(s, d, "folders"), table(s, d, "messages")), "SELECT f.type, count(DISTINCT f.id) AS folders, count(DISTINCT m.mid) AS mails FROM folders f LEFT JOIN messages m ON m.folder_id = f.id WHERE f.type IN ('junk', 'trash') GROUP BY 1")
+
+# ---- calendar: events written from the mails themselves, as no table has any
+
+
+def _calendar(s: SparkSession, d: str) -> DataFrame:
+    """The calendar texts of q_event_*: every mail is an event that repeats by its size, with its thread as uid."""
+    m = table(s, d, "messages")
+    start = F.when(F.coalesce("date", F.lit(0)) != 0, F.concat(F.lit("DTSTART:"), F.date_format(F.timestamp_millis("date"), "yyyyMMdd'T'HHmmss'Z'"), F.lit("\n"))).otherwise("")
+    rule = F.when(F.col("size") % 4 == 0, "RRULE:FREQ=WEEKLY;COUNT=10\n").when(F.col("size") % 4 == 1, "RRULE:FREQ=DAILY\n").otherwise("")
+    text = F.concat(
+        F.lit("BEGIN:VCALENDAR\nMETHOD:"), F.when(F.col("flagged") == 1, "CANCEL").otherwise("REQUEST"), F.lit("\nBEGIN:VEVENT\nUID:"), F.coalesce(F.concat(F.lit("t"), F.col("thread_id").cast("string")), F.concat(F.lit("m"), F.col("id").cast("string"))),
+        F.lit("\nSEQUENCE:"), (F.length(F.coalesce("subject", F.lit(""))) % 3).cast("string"), F.lit("\n"), start, rule, F.lit("END:VEVENT\nEND:VCALENDAR"),
+    )
+    return ics.events(m.select(F.col("id").alias("message_id"), "date", text.alias("text")), 1_740_000_000_000)
+
+
+EVENTS = """e0 AS (SELECT id AS message_id, date, CASE WHEN flagged = 1 THEN 'CANCEL' ELSE 'REQUEST' END AS method, coalesce('t' || thread_id, 'm' || id) AS uid, length(coalesce(subject, '')) % 3 AS sequence,
+      CASE WHEN coalesce(date, 0) <> 0 THEN date - date % 1000 END AS start, CASE size % 4 WHEN 0 THEN 'w' WHEN 1 THEN 'd' END AS r FROM messages),
+    e1 AS (SELECT *, CASE r WHEN 'w' THEN start + 10 * 7 * 86400000::BIGINT WHEN 'd' THEN CASE WHEN start IS NOT NULL THEN 8640000000000000 END ELSE start END AS parsed, max((sequence, coalesce(date, 0))) OVER (PARTITION BY uid) AS newest FROM e0),
+    e2 AS (SELECT *, (sequence, coalesce(date, 0)) = newest AS is_newest FROM e1), e3 AS (SELECT *, bool_or(is_newest AND method = 'CANCEL') OVER (PARTITION BY uid) AS off,
+      CASE WHEN r IS NOT NULL AND coalesce(parsed, start) >= 8640000000000000 THEN greatest(coalesce(start, 0), newest[2]) + 365 * 86400000::BIGINT ELSE coalesce(parsed, start) END AS last_start FROM e2),
+    e4 AS (SELECT *, is_newest AND NOT off AS active, CASE r WHEN 'w' THEN 7 * 86400000::BIGINT WHEN 'd' THEN 86400000 END AS step FROM e3),
+    e5 AS (SELECT *, CASE WHEN start >= 1740000000000 THEN start WHEN r IS NULL THEN NULL ELSE start + CAST(ceil((1740000000000 - start) / step::DOUBLE) AS BIGINT) * step END AS n FROM e4),
+    ev AS (SELECT *, CASE WHEN n <= last_start AND (r IS DISTINCT FROM 'w' OR n < start + 10 * step) THEN n END AS next_start FROM e5)"""
+register("q_event_versions", lambda s, d: _calendar(s, d).select("message_id", "uid", "method", "sequence", "start", "active", "last_start", "next_start"), f"WITH {EVENTS} SELECT message_id, uid, method, sequence, start, active, last_start, next_start FROM ev")
+
+
+def _with_events(s: SparkSession, d: str) -> Mailbox:
+    box = Mailbox.read(s, d)
+    box.events = _calendar(s, d)
+    return box
+
+
+for _name, _query, _where in (
+    ("q_event_invite", "has:invite", "method = 'REQUEST' AND active"), ("q_event_cancelled", "has:cancelled", "method = 'CANCEL'"), ("q_event_after", "event_after:2025-06", "active AND coalesce(last_start, start) >= 1748736000000"),
+    ("q_event_before", "event_before:2024-05 has:event", "active AND start < 1714521600000"),
+):
+    register(_name, lambda s, d, q=_query: select(_with_events(s, d), q)[0].select("id"), f"WITH {EVENTS} SELECT message_id AS id FROM ev WHERE {_where}")
+register(
+    "q_search_by_event", lambda s, d: search.search(_with_events(s, d), "is:unread", sort="event", limit=30).select("id"),
+    f"""WITH {EVENTS}, x AS (SELECT m.id, m.date, e.s, row_number() OVER (PARTITION BY {SAME.format('m.')} ORDER BY e.s NULLS LAST, m.date DESC NULLS LAST, m.id DESC) AS k FROM messages m LEFT JOIN (SELECT message_id, min(coalesce(next_start, start)) AS s FROM ev WHERE active GROUP BY 1) e ON e.message_id = m.id WHERE m.read = 0)
+    SELECT id FROM x WHERE k = 1 ORDER BY s NULLS LAST, date DESC NULLS LAST, id DESC LIMIT 30""",
+)
+register("q_event_repeats", lambda s, d: _calendar(s, d).filter("repeats is not null").groupBy("repeats").agg(F.count(F.lit(1)).alias("n")), "SELECT CASE size % 4 WHEN 0 THEN 'weekly 10 times' ELSE 'daily' END AS repeats, count(*) AS n FROM messages WHERE size % 4 IN (0, 1) GROUP BY 1")
+
+# ---- what a synchronisation run has to do
+
+register(
+    "q_changed_folders", lambda s, d: state.changed_folders(table(s, d, "folders").filter("indexed = 1").select("id", "total", "unread"), table(s, d, "folders"), table(s, d, "messages"), 1_772_323_200_000),
+    """SELECT f.id, CASE WHEN reconciled_at IS NULL THEN 'new' WHEN sync_total IS DISTINCT FROM total OR sync_unread IS DISTINCT FROM unread THEN 'changed' WHEN reconciled_at < 1772323200000 - 24 * 3600000::BIGINT THEN 'old' ELSE 'waiting' END AS reason FROM folders f
+    WHERE indexed = 1 AND (reconciled_at IS NULL OR sync_total IS DISTINCT FROM total OR sync_unread IS DISTINCT FROM unread OR reconciled_at < 1772323200000 - 24 * 3600000::BIGINT OR f.id IN (SELECT folder_id FROM messages WHERE content_state IN ('pending', 'error')))""",
+)
+register(
+    "q_content_queue", lambda s, d: state.content_queue(table(s, d, "messages")).select("id", "twin"),
+    """WITH k AS (SELECT *, nullif(lower(regexp_replace(mid, '[\\s<>]+', '', 'g')), '') AS m FROM messages) SELECT p.id, (SELECT min(f.id) FROM k f WHERE f.m = p.m AND f.account_id IS NOT DISTINCT FROM p.account_id AND f.size IS NOT DISTINCT FROM p.size AND f.from_addr IS NOT DISTINCT FROM p.from_addr AND f.content_state IN ('full', 'parts')) AS twin
+    FROM k p WHERE p.content_state IN ('pending', 'error')""",
+)
+register(
+    "q_purge_excluded", lambda s, d: state.purge_excluded(table(s, d, "messages"), table(s, d, "folders")).groupBy("folder_id").agg(F.count(F.lit(1)).alias("n")),
+    "SELECT folder_id, count(*) AS n FROM messages WHERE folder_id IS NULL OR folder_id NOT IN (SELECT id FROM folders WHERE indexed = 0) GROUP BY 1",
+)
+register(
+    "q_resolve_ids", lambda s, d: state.resolve(table(s, d, "messages"), table(s, d, "messages").select("id"), 3).select("id", "tb_id", "error"),
+    """WITH r AS (SELECT id, nullif(lower(regexp_replace(mid, '[\\s<>]+', '', 'g')), '') AS m, folder_id, size, from_addr, CASE WHEN tb_epoch = 3 THEN tb_id END AS tb_id FROM messages), n AS (SELECT m, folder_id, size, from_addr, min(tb_id) AS lo, max(tb_id) AS hi FROM r WHERE tb_id IS NOT NULL AND m IS NOT NULL GROUP BY ALL)
+    SELECT r.id, coalesce(r.tb_id, CASE WHEN lo = hi THEN lo END) AS tb_id, CASE WHEN coalesce(r.tb_id, CASE WHEN lo = hi THEN lo END) IS NOT NULL THEN NULL WHEN r.folder_id IS NULL THEN 'not in the index' WHEN lo < hi THEN 'several messages of the source would do' ELSE 'not found in the source' END AS error FROM r LEFT JOIN n ON n.m = r.m AND n.folder_id = r.folder_id AND n.size = r.size AND n.from_addr = r.from_addr""",
 )
 register(
     "q_subject_band", lambda s, d: threads.subject_partners(Mailbox.read(s, d)),
@@ -280,14 +392,14 @@ register("q_vector_topk", lambda s, d: semantic.nearest(table(s, d, "mail_vector
 
 def _hybrid(s: SparkSession, d: str) -> DataFrame:
     near = semantic.ranked(semantic.nearest(table(s, d, "mail_vectors"), VECTOR, 50), F.col("score").desc(), "message_id", key="message_id").withColumnRenamed("message_id", "id")
-    found = search.search(Mailbox.read(s, d), "rechnung", sort="date", limit=50)
+    found = search.search(indexed(s, d), "rechnung", sort="date", limit=50)
     return semantic.fuse(near, semantic.ranked(found, F.col("date").desc_nulls_last(), F.col("id").desc()))
 
 
 register(
     "q_rrf_hybrid", _hybrid,
     f"""WITH {TOKENS}, near AS ({NEAREST.replace('LIMIT 20', 'LIMIT 50')}), v AS (SELECT message_id AS id, row_number() OVER (ORDER BY score DESC, message_id) - 1 AS place FROM near),
-    m0 AS (SELECT m.id, m.date, row_number() OVER (PARTITION BY m.mid ORDER BY m.date DESC NULLS LAST, m.id DESC) AS k FROM messages m JOIN toks USING (id) WHERE {sql_any('rechnung')}),
+    m0 AS (SELECT m.id, m.date, row_number() OVER (PARTITION BY {SAME.format('m.')} ORDER BY m.date DESC NULLS LAST, m.id DESC) AS k FROM messages m JOIN toks USING (id) WHERE {sql_any('rechnung')}),
     m1 AS (SELECT id, row_number() OVER (ORDER BY date DESC NULLS LAST, id DESC) - 1 AS place FROM (SELECT * FROM m0 WHERE k = 1 ORDER BY date DESC NULLS LAST, id DESC LIMIT 50))
     SELECT id, round(sum(1.0::DOUBLE / (60 + place)), 8) AS score FROM (SELECT * FROM v UNION ALL SELECT * FROM m1) GROUP BY 1""",
 )
@@ -310,8 +422,22 @@ register(
     """WITH a AS (SELECT id, auth_json->>'spf' AS spf, auth_json->>'dkim' AS dkim, auth_json->>'dmarc' AS dmarc FROM messages)
     SELECT id, CASE WHEN dmarc IN ('pass', 'fail') THEN dmarc WHEN (coalesce(spf, '') = 'fail' OR coalesce(dkim, '') = 'fail') AND NOT (coalesce(spf, '') = 'pass' OR coalesce(dkim, '') = 'pass') THEN 'fail' END AS verdict FROM a""",
 )
+_INVISIBLE = T._INVISIBLE.strip("[]")
 register(
     "q_sanitize", lambda s, d: table(s, d, "documents").select("doc_id", T.sanitize(F.col("text")).alias("s")).select("doc_id", F.length("s.text").cast("bigint").alias("kept"), F.col("s.removed").alias("removed")),
+    f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[{_INVISIBLE}]', '', 'g') AS c FROM documents)
+    SELECT doc_id, length(regexp_replace(c, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')) AS kept, regexp_matches(t, '{T._HIDING}') OR (length(t) - length(c) >= 16 AND length(t) - length(c) > length(t) / 50.0) AS removed FROM t""",
+)
+register(
+    "q_repair_headers", lambda s, d: table(s, d, "messages").select("id", repair_header(F.col("subject")).alias("subject")).filter(F.col("subject").rlike("(?i)^r[^ ]ckfrage") | F.contains(F.col("subject"), F.lit("=?"))),
+)
+register(
+    "q_truncate", lambda s, d: table(s, d, "messages").select("id", display.truncate(F.col("body"), 30).alias("t"), display.iso_local(F.col("date")).alias("at")).select("id", "t.text", "t.truncated", "at"),
+    f"SELECT id, CASE WHEN length(body) > 30 THEN substr(body, 1, 30) || '…' ELSE coalesce(body, '') END AS text, coalesce(length(body) > 30, false) AS truncated, {ISO.format('date')} AS at FROM messages",
+)
+register(
+    "q_parse_mids", lambda s, d: table(s, d, "refs").select("message_id", clean_mid(F.col("ref_mid")).alias("mail")).groupBy("message_id").agg(F.array_join(F.array_sort(F.collect_set("mail")), " ").alias("mails")),
+    "SELECT message_id, string_agg(DISTINCT lower(regexp_replace(ref_mid, '[\\s<>]+', '', 'g')), ' ' ORDER BY lower(regexp_replace(ref_mid, '[\\s<>]+', '', 'g'))) AS mails FROM refs GROUP BY 1",
 )
 
 # ---- upkeep, folders, threading, time windows
@@ -330,11 +456,37 @@ register(
 )
 register("q_twin_content", lambda s, d: maintenance.twin_content(table(s, d, "messages")), "SELECT p.id, min(f.id) AS twin FROM messages p JOIN messages f ON p.mid = f.mid AND p.account_id = f.account_id AND p.size = f.size AND p.from_addr = f.from_addr WHERE p.content_state = 'pending' AND f.content_state = 'full' GROUP BY 1")
 register(
-    "q_reparse_marks", lambda s, d: maintenance.mark_for_reparse(table(s, d, "messages"), "errors", "large", "undated").groupBy("content_state").agg(F.count(F.lit(1)).alias("n")),
-    "SELECT CASE WHEN coalesce(content_state = 'error' OR size > 8000000, false) OR coalesce(date, 0) = 0 THEN 'pending' ELSE content_state END AS content_state, count(*) AS n FROM messages GROUP BY 1",
+    "q_reparse_marks", lambda s, d: maintenance.mark_for_reparse(table(s, d, "messages"), "empty", "attachments", "headers", "large", "auth", attachments=table(s, d, "attachments")).select("id", "content_state"),
+    """SELECT id, CASE WHEN content_state IN ('full', 'parts') AND coalesce((coalesce(body, '') = '' AND coalesce(quoted, '') = '') OR id IN (SELECT message_id FROM attachments WHERE text_state IN ('no_text', 'too_large', 'error', 'empty'))
+      OR coalesce(subject LIKE '%\ufffd%' OR subject LIKE '%=?%?=%', false) OR coalesce(from_name LIKE '%\ufffd%' OR from_name LIKE '%=?%?=%', false) OR content_state = 'parts' OR (auth_json IS NOT NULL AND (NOT contains(auth_json, '"dmarc"') OR NOT contains(auth_json, '"spf"'))), false) THEN 'pending' ELSE content_state END AS content_state FROM messages""",
+)
+_NAME_KEY = "array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower({0}), '[^\\p{{L}}]+'), lambda t: t <> ''))), ' ')"
+register(
+    "q_suggest_addresses", lambda s, d: maintenance.suggest_addresses(table(s, d, "messages"), table(s, d, "identities")),
+    f"""WITH own AS (SELECT lower(addr) AS addr, name FROM identities), used AS (SELECT from_name AS name FROM messages WHERE lower(from_addr) IN (SELECT addr FROM own) AND from_name <> '' GROUP BY 1 ORDER BY count(*) DESC, from_name LIMIT 5),
+    k AS (SELECT DISTINCT {_NAME_KEY.format('name')} AS k FROM (SELECT name FROM own WHERE name IS NOT NULL UNION ALL SELECT name FROM used)), r AS (SELECT lower(from_addr) AS addr, from_name AS name, count(DISTINCT mid) AS n, count(*) FILTER (auth_verdict = 'fail') AS failed, min(date) AS first, max(date) AS last
+      FROM messages WHERE contains(from_addr, '@') AND from_name IS NOT NULL AND lower(from_addr) NOT IN (SELECT addr FROM own) GROUP BY 1, 2), h AS (SELECT *, {_NAME_KEY.format('name')} IN (SELECT k FROM k WHERE k LIKE '% %') AS hit FROM r),
+    o AS (SELECT addr, arg_max(name, (n, name)) FILTER (hit) AS name, sum(n) AS total, coalesce(sum(n) FILTER (hit), 0)::BIGINT AS mails, sum(failed) AS failed, min(first) AS first, max(last) AS last FROM h GROUP BY 1)
+    SELECT addr, name, mails, first, last FROM o WHERE mails >= 3 AND mails * 2 >= total AND failed * 10 < total ORDER BY mails DESC, addr LIMIT 10""",
+)
+_BARE = "lower(trim(regexp_replace(trim(coalesce(subject, '')), '(?i)^\\s*(?:(?:(?:re|aw|wg|fwd?|fw|sv|vs|ref|antw|tr|rif|r)[ \\t]*(?:\\[\\d{1,4}\\])?[ \\t]*:|\\[[^\\]]{1,40}\\])[ \\t]*){1,20}', '')))"
+_GENERIC = ", ".join(f"'{g}'" for g in threading.GENERIC)
+register(
+    "q_assign_threads", lambda s, d: threading.assign_threads(*(table(s, d, t) for t in ("messages", "refs", "addresses", "identities"))),
+    f"""WITH RECURSIVE r AS MATERIALIZED (SELECT id, nullif(lower(regexp_replace(mid, '[\\s<>]+', '', 'g')), '') AS mail, nullif(lower(regexp_replace(in_reply_to, '[\\s<>]+', '', 'g')), '') AS answers, nullif(date, 0) AS date, lower(trim(from_addr)) AS sender,
+        CASE WHEN length({_BARE}) >= 4 AND {_BARE} NOT IN ({_GENERIC}) THEN {_BARE} END AS topic, coalesce({_BARE} <> '' AND {_BARE} <> lower(trim(subject)), false) AS reply FROM messages),
+      heads AS (SELECT mail, min(id) AS head FROM r WHERE mail IS NOT NULL GROUP BY 1), named AS (SELECT message_id AS id, nullif(lower(regexp_replace(ref_mid, '[\\s<>]+', '', 'g')), '') AS mail FROM refs UNION SELECT id, answers FROM r),
+      ans AS MATERIALIZED (SELECT n.id AS a, h.head AS b FROM named n JOIN heads h USING (mail)), sure AS MATERIALIZED (SELECT r.id AS a, h.head AS b FROM r JOIN heads h USING (mail) UNION SELECT a, b FROM ans),
+      e1 AS MATERIALIZED (SELECT a, b FROM sure UNION SELECT b, a FROM sure), c1(id, root) AS (SELECT id, id FROM r UNION SELECT e.b, c.root FROM c1 c JOIN e1 e ON e.a = c.id),
+      part AS MATERIALIZED (SELECT r.*, c.part, r.id NOT IN (SELECT a FROM ans) AS seeks FROM r JOIN (SELECT id, min(root) AS part FROM c1 GROUP BY 1) c USING (id)), span AS (SELECT part, min(date) AS lo, max(date) AS hi FROM part GROUP BY 1),
+      who AS MATERIALIZED (SELECT id, person FROM (SELECT message_id AS id, lower(trim(addr)) AS person FROM addresses UNION SELECT id, sender FROM r) WHERE person <> '' AND person NOT IN (SELECT lower(trim(addr)) FROM identities WHERE addr IS NOT NULL)),
+      pos AS (SELECT m.id AS m, c.id AS c FROM part m JOIN part c ON c.topic = m.topic AND c.id <> m.id JOIN who w ON w.id = m.id AND w.person = c.sender UNION SELECT m.id, c.id FROM part m JOIN part c ON c.topic = m.topic AND c.id <> m.id JOIN who w ON w.id = c.id AND w.person = m.sender JOIN who v ON v.id = m.id AND v.person = m.sender),
+      near AS (SELECT m.id, m.part, c.id AS target, c.part AS other, row_number() OVER (PARTITION BY m.id ORDER BY abs(c.date - m.date), c.date, CASE WHEN (c.date, c.id) < (m.date, m.id) THEN -c.id ELSE c.id END) AS k FROM pos JOIN part m ON m.id = pos.m JOIN part c ON c.id = pos.c
+        WHERE m.seeks AND abs(c.date - m.date) <= 60 * 86400000::BIGINT AND (m.reply OR (c.reply AND c.seeks AND (c.date, c.id) > (m.date, m.id)))),
+      late AS (SELECT n.id AS a, n.target AS b FROM near n JOIN span s ON s.part = n.part JOIN span t ON t.part = n.other WHERE n.k = 1 AND n.part <> n.other AND greatest(s.hi, t.hi) - least(s.lo, t.lo) <= 120 * 86400000::BIGINT),
+      e2 AS MATERIALIZED (SELECT a, b FROM e1 UNION SELECT a, b FROM late UNION SELECT b, a FROM late), c2(id, root) AS (SELECT id, id FROM r UNION SELECT e.b, c.root FROM c2 c JOIN e2 e ON e.a = c.id)
+      SELECT id, min(root) AS thread FROM c2 GROUP BY 1""",
 )
-register("q_suggest_addresses", lambda s, d: maintenance.suggest_addresses(table(s, d, "messages"), table(s, d, "identities")))
-register("q_assign_threads", lambda s, d: threading.assign_threads(*(table(s, d, t) for t in ("messages", "refs", "addresses"))))
 register("q_split_quoted", lambda s, d: table(s, d, "messages").filter("body is not null").select("id", split_quoted(F.col("body")).alias("s")).select("id", "s.own", "s.quoted"))
 register("q_window_counts", lambda s, d: sync.windowed_counts(table(s, d, "events"), "ts", "event_type").select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n"), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 register(

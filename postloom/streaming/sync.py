@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,46 +17,70 @@ def upsert(current: DataFrame | None, changes: DataFrame, key: list[str]) -> Dat
 
 
 class VersionedTable:
-    """A Parquet table in numbered folders; a reader keeps the version it opened, a batch is written once.
+    """A Parquet table in numbered folders of hash buckets; a version holds only the buckets that it changed.
 
-    A batch that is run again after a failure writes the same folder again, so nothing is repeated or lost.
+    A reader takes the newest version of each bucket and keeps what it opened.  A batch that is run again after a
+    failure writes the same folder again, so nothing is repeated or lost.
     """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
-        jvm = spark._jvm
-        self._hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    def __init__(self, spark: SparkSession, path: str, key: list[str], buckets: int = 64) -> None:
+        self.spark, self.path, self.key, self.buckets = spark, path, key, buckets
+        self._hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         self._fs = self._hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _children(self, path: str) -> list[str]:
+        there = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return [s.getPath().getName() for s in self._fs.listStatus(there)] if self._fs.exists(there) else []
+
     def versions(self) -> list[int]:
-        if not self._fs.exists(self._hadoop):
-            return []
-        found = [s.getPath() for s in self._fs.listStatus(self._hadoop)]
-        done = [p for p in found if p.getName().startswith("v") and self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(p.getName()[1:]) for p in done)
+        return sorted(int(n[1:]) for n in self._children(self.path) if n.startswith("v") and "_SUCCESS" in self._children(f"{self.path}/{n}"))
+
+    def _newest(self, before: int | None) -> dict[str, int]:
+        newest: dict[str, int] = {}
+        for v in self.versions():
+            if before is None or v < before:
+                newest.update({n: v for n in self._children(f"{self.path}/v{v:012d}") if n.startswith("bucket=")})
+        return newest
 
-    def read(self, before: int | None = None) -> DataFrame | None:
-        known = [v for v in self.versions() if before is None or v < before]
-        return self.spark.read.parquet(f"{self.path}/v{known[-1]:012d}") if known else None
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+
+    def read(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+        """The table, or some buckets of it, as of the version before; None if there is nothing yet."""
+        wanted = None if buckets is None else {f"bucket={b}" for b in buckets}
+        paths = [f"{self.path}/v{v:012d}/{n}" for n, v in self._newest(before).items() if wanted is None or n in wanted]
+        return self.spark.read.parquet(*paths) if paths else None
 
     def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v{version:012d}")
+        """``df``: all rows of the buckets that it touches."""
+        df.withColumn("bucket", self.bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{version:012d}")
+
+    def vacuum(self, keep: int = 2) -> list[int]:
+        """Removes the versions that hold no newest bucket any more, but for the last ``keep``."""
+        needed = {*self._newest(None).values(), *self.versions()[-keep:]}
+        gone = [v for v in self.versions() if v not in needed]
+        for v in gone:
+            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{v:012d}"), True)
+        return gone
 
 
-def index_headers(spark: SparkSession, source: str, target: str, checkpoint: str, schema, max_files: int = 100) -> StreamingQuery:
+def index_headers(spark: SparkSession, source: str, target: str, checkpoint: str, schema, max_files: int = 100, keep: int = 2) -> StreamingQuery:
     """A streaming query that keeps the newest version of every (folder, mail) of the listings under ``source``.
 
-    It takes what is there and ends; started again it goes on where it stopped.
+    It takes what is there and ends; started again it goes on where it stopped.  A batch reads and writes the buckets
+    of its own mails only, and versions that nobody needs any more are removed.
     """
-    table = VersionedTable(spark, target)
+    table = VersionedTable(spark, target, ["folder_id", "mail"])
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
 
     def batch(df: DataFrame, number: int) -> None:
-        new, key = newest_versions(df), ["folder_id", "mail"]
-        before = table.read(before=number)
-        both = new if before is None else before.unionByName(new)
-        best = both.groupBy(*key).agg(F.max(F.struct("seen_at", "feed_id", "size", "read", "flagged")).alias("v"))
-        table.write(best.select(*key, "v.feed_id", "v.seen_at", "v.size", "v.read", "v.flagged"), number)
+        new = newest_versions(df)
+        touched = [r[0] for r in new.select(table.bucket().alias("b")).distinct().collect()]  # at most the number of buckets
+        before = table.read(number, touched)
+        both = new if before is None else before.select(*new.columns).unionByName(new)
+        best = both.groupBy("folder_id", "mail").agg(F.max(F.struct("seen_at", "feed_id", "size", "read", "flagged")).alias("v"))
+        table.write(best.select("folder_id", "mail", "v.feed_id", "v.seen_at", "v.size", "v.read", "v.flagged"), number)
+        table.vacuum(keep)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -70,7 +70,42 @@ def test_recurrences():
     assert nxt("FREQ=MONTHLY", 2026, 2, 6) == at(2026, 3, 5, 9)
     assert ics.next_occurrence(at(2026, 1, 31), "FREQ=MONTHLY", at(2026, 2, 1)) == at(2026, 2, 28)
     assert nxt("FREQ=YEARLY", 2026, 6, 1) == at(2027, 1, 5, 9)
-    assert ics.last_start(start, "FREQ=DAILY;UNTIL=20260110T000000Z") == at(2026, 1, 10) and ics.last_start(start, "FREQ=DAILY") == ics.FOREVER and ics.last_start(start, "FREQ=DAILY;COUNT=3") == start + 2 * ics.DAY
+    assert nxt("FREQ=WEEKLY;BYDAY=MO,WE;COUNT=3", 2026, 1, 12) == at(2026, 1, 12, 9) and nxt("FREQ=WEEKLY;BYDAY=MO,WE;COUNT=3", 2026, 1, 13) is None and nxt("FREQ=HOURLY", 2026, 1, 6) is None
+    assert ics.last_start(start, "FREQ=DAILY;UNTIL=20260110T000000Z") == at(2026, 1, 10) and ics.last_start(start, "FREQ=DAILY") == ics.FOREVER and ics.last_start(start, "FREQ=DAILY;UNTIL=soon") == ics.FOREVER
+    assert ics.last_start(start, "FREQ=DAILY;COUNT=3") == start + 3 * ics.DAY and ics.last_start(start, "FREQ=NEVER;COUNT=2;INTERVAL=2") == start + 4 * ics.DAY
+    assert [ics.describe(r) for r in ("FREQ=WEEKLY;INTERVAL=2;BYDAY=MO,TH;UNTIL=20260301", "FREQ=DAILY;COUNT=5", "FREQ=DAILY;INTERVAL=3", None)] == ["every 2 weeks on MO,TH until 2026-03-01", "daily 5 times", "every 3 days", None]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_recurrences_against_a_walk_over_all_days(seed):
+    import random
+    from datetime import datetime, timedelta, timezone
+
+    rng = random.Random(seed)
+    first = datetime(2024, rng.randrange(1, 13), rng.randrange(1, 29), 10, tzinfo=timezone.utc)
+    freq, every, most = rng.choice(["DAILY", "WEEKLY", "MONTHLY", "YEARLY"]), rng.choice([1, 1, 2, 3]), rng.choice([None, 1, 4, 9])
+    days = rng.sample(range(7), rng.choice([1, 2, 3])) if freq == "WEEKLY" and rng.random() < 0.7 else None
+    rule = f"FREQ={freq};INTERVAL={every}" + (f";COUNT={most}" if most else "") + (";BYDAY=" + ",".join(ics.WEEKDAYS[d] for d in days) if days else "")
+    monday, want, day = first - timedelta(days=first.weekday()), [], first
+    while day.year < 2034:
+        months = (day.year - first.year) * 12 + day.month - first.month
+        if {
+            "DAILY": (day - first).days % every == 0, "WEEKLY": (day - monday).days // 7 % every == 0 and day.weekday() in (days or [first.weekday()]),
+            "MONTHLY": day.day == first.day and months % every == 0, "YEARLY": (day.day, day.month) == (first.day, first.month) and months // 12 % every == 0,
+        }[freq]:
+            want.append(int(day.timestamp() * 1000))
+        day += timedelta(days=1)
+    want = want[:most] if most else want
+    start = int(first.timestamp() * 1000)
+    for now in [start - 5, *(start + rng.randrange(0, 900) * ics.DAY + 7 for _ in range(12))]:
+        assert ics.next_occurrence(start, rule, now) == (start if now <= start else next((x for x in want if x >= now), None)), (rule, now)
+
+
+def test_zones_and_nested_blocks():
+    text = "BEGIN:VCALENDAR\nBEGIN:VEVENT\nUID:u\nDTSTART;TZID=Europe/Berlin:20260105T090000\nDTEND:20260105T100000\nORGANIZER;CN=\"O B\":mailto:o@x.example\nBEGIN:VALARM\nSUMMARY:wake\nEND:VALARM\nSUMMARY:real\nEND:VEVENT\nEND:VCALENDAR"
+    e = ics.parse(text, "America/New_York")[0]
+    assert e["start"] == at(2026, 1, 5, 8) and e["end"] == at(2026, 1, 5, 15) and e["summary"] == "real" and e["organizer"] == "O B o@x.example"
+    assert len(ics.parse(text * 3, most=2)) == 2 and ics.parse(None) == []
 
 
 def invitation(method="REQUEST", sequence=0, extra="", when="20260105T090000Z", uid="u1"):
