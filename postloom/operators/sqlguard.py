@@ -53,7 +53,7 @@ def check(spark: SparkSession, sql: str, names: list[str]) -> None:
             called = [str(x).lower() for x in _items(expression.nameParts())]
             if called[-1] in _CALLS:
                 raise SqlRefused(f"The function {called[-1]} is not allowed.")
-        if hasattr(expression, "plan") and kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "InSubquery"):
+        if hasattr(expression, "plan") and kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
             walk(expression.plan())
         for child in _items(expression.children()):
             look(child)
@@ -137,6 +137,7 @@ def execute(spark: SparkSession, sql: str, tables: dict[str, DataFrame], max_row
 
         timer = threading.Timer(seconds, stop)
         spark.sparkContext.addJobTag(tag)
+        spark.sparkContext.setInterruptOnCancel(True)
         timer.start()
         try:
             rows = df.collect()
@@ -147,6 +148,7 @@ def execute(spark: SparkSession, sql: str, tables: dict[str, DataFrame], max_row
         finally:
             timer.cancel()
             spark.sparkContext.removeJobTag(tag)
+            spark.sparkContext.setInterruptOnCancel(False)
     return {"columns": df.columns, "rows": [r.asDict(recursive=True) for r in rows[:max_rows]], "truncated": len(rows) > max_rows, "ms": round((time.monotonic() - began) * 1000)}
 
 
