@@ -36,6 +36,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(*(table(spark, d, t) for t in ("messages", "refs", "addresses", "identities")))
 
 
+def p7_paths(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.paths(table(spark, d, "messages"), table(spark, d, "refs"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"))
 
@@ -55,7 +59,7 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
     return quality.statistics(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found, "p10_stats": p10_stats}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p7_paths": p7_paths, "p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found, "p10_stats": p10_stats}
 
 MAIL = "lower(regexp_replace(mid, '[\\s<>]+', '', 'g'))"
 UNDECODED = "=\\?[A-Za-z0-9_-]+\\?[QqBb]\\?|\\x{FFFD}|[\\x{C2}\\x{C3}][\\x{80}-\\x{BF}\\x{152}\\x{153}\\x{160}\\x{161}\\x{178}\\x{17D}\\x{17E}\\x{192}\\x{2C6}\\x{2DC}\\x{2013}-\\x{203A}\\x{20AC}\\x{2122}]|\\x{E2}\\x{20AC}"
@@ -68,6 +72,15 @@ def _usable(c: str) -> str:
 
 
 SQL: dict[str, str] = {
+    "p7_paths": f"""WITH RECURSIVE r AS MATERIALIZED (SELECT id, date, coalesce(updated_at, -4611686018427387904) AS u, CASE content_state WHEN 'full' THEN 5 WHEN 'parts' THEN 4 WHEN 'headers' THEN 3 WHEN 'pending' THEN 2 WHEN 'error' THEN 1 ELSE 0 END AS trust,
+        CASE WHEN nullif({MAIL}, '') IS NOT NULL AND {MAIL} NOT LIKE 'no-id-%' THEN {MAIL} END AS cm, nullif(lower(regexp_replace(in_reply_to, '[\\s<>]+', '', 'g')), '') AS reply,
+        CASE WHEN nullif({MAIL}, '') IS NULL OR {MAIL} LIKE 'no-id-%' THEN '=' || coalesce(from_addr, chr(1)) || chr(2) || coalesce(date::VARCHAR, chr(1)) || chr(2) || coalesce(subject, chr(1)) ELSE {MAIL} END AS key FROM messages),
+        one AS MATERIALIZED (SELECT key, min(id) AS mail, min(cm) AS cm, coalesce(arg_max(date, (trust, u, -id)) FILTER (coalesce(date, 0) <> 0), 0) AS d FROM r GROUP BY 1),
+        said AS (SELECT mail, ref, max(direct) AS direct FROM (SELECT o.mail, r.reply AS ref, 1 AS direct, o.cm FROM r JOIN one o USING (key) WHERE r.reply IS NOT NULL
+          UNION ALL SELECT o.mail, nullif(lower(regexp_replace(f.ref_mid, '[\\s<>]+', '', 'g')), ''), 0, o.cm FROM refs f JOIN r ON r.id = f.message_id JOIN one o USING (key)) WHERE ref IS NOT NULL AND ref IS DISTINCT FROM cm GROUP BY 1, 2),
+        up AS MATERIALIZED (SELECT s.mail, arg_max(n.mail, (s.direct, n.d, n.mail)) AS parent FROM said s JOIN one n ON n.cm = s.ref WHERE n.mail <> s.mail GROUP BY 1),
+        walk(leaf, cur, dist) AS (SELECT mail, mail, 0 FROM one WHERE mail NOT IN (SELECT parent FROM up) UNION ALL SELECT w.leaf, up.parent, w.dist + 1 FROM walk w JOIN up ON up.mail = w.cur WHERE w.dist < 1000)
+        SELECT leaf, (max(dist) OVER (PARTITION BY leaf) - dist + 1)::INTEGER AS position, cur AS message_id FROM walk""",
     "p4_found": f"""WITH r AS (SELECT *, CASE WHEN nullif({MAIL}, '') IS NULL OR {MAIL} LIKE 'no-id-%' THEN '=' || coalesce(from_addr, chr(1)) || chr(2) || coalesce(date::VARCHAR, chr(1)) || chr(2) || coalesce(subject, chr(1)) ELSE {MAIL} END AS mail,
         CASE content_state WHEN 'full' THEN 5 WHEN 'parts' THEN 4 WHEN 'headers' THEN 3 WHEN 'pending' THEN 2 WHEN 'error' THEN 1 ELSE 0 END AS trust FROM messages),
         g AS (SELECT mail, min(id) AS group_id FROM r GROUP BY mail HAVING count(*) > 1),

@@ -8,8 +8,9 @@ name is one person, whatever form of the given name is used.  The groups of the
 mailboxes by their full token keys; spellings with initials, and short forms that are used for several given names,
 are members of their groups but join nothing.
 
-Only spellings of one mailbox that share a token meet, and groups become pairs only in the result, so names that are
-frequent over all mailboxes and mailboxes with a tenth of all rows cost no more than others.
+Only spellings of one mailbox that share a token meet, each list of tokens once however many spellings have it, and
+groups become pairs only in the result, so names that are frequent over all mailboxes and mailboxes with a tenth of
+all rows cost no more than others.
 
 Defined results: null and blank names, stand-ins and addresses belong to no group; repeated rows count once per
 spelling; names without an address are grouped by their full token key alone; an empty table gives an empty result;
@@ -161,6 +162,8 @@ def assign(a: list[str], b: list[str]) -> list[tuple[int, int, float]]:
     """Optimal assignment of the shorter list of tokens into the longer one: (place in a, place in b, cost)."""
     if len(a) > len(b):
         return [(j, i, c) for i, j, c in assign(b, a)]
+    if len(b) > 7:
+        return _augment(a, b)
     best: dict[int, tuple[float, list]] = {0: (0.0, [])}
     for i, x in enumerate(a):
         nxt: dict[int, tuple[float, list]] = {}
@@ -175,6 +178,38 @@ def assign(a: list[str], b: list[str]) -> list[tuple[int, int, float]]:
     return min(best.values(), key=lambda v: v[0])[1]
 
 
+def _augment(a: list[str], b: list[str]) -> list[tuple[int, int, float]]:
+    """The same by shortest augmenting paths with potentials, for long names; time grows with the cube of their length."""
+    n, m = len(a), len(b)
+    cost = [[_cost(x, y) for y in b] for x in a]
+    u, v, owner = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        owner[0], j = i, 0
+        least, way, seen = [float("inf")] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while True:
+            seen[j] = True
+            row, step, nxt = owner[j], float("inf"), 0
+            for k in range(1, m + 1):
+                if not seen[k]:
+                    c = cost[row - 1][k - 1] - u[row] - v[k]
+                    if c < least[k]:
+                        least[k], way[k] = c, j
+                    if least[k] < step:
+                        step, nxt = least[k], k
+            for k in range(m + 1):
+                if seen[k]:
+                    u[owner[k]] += step
+                    v[k] -= step
+                else:
+                    least[k] -= step
+            j = nxt
+            if not owner[j]:
+                break
+        while j:
+            owner[j], j = owner[way[j]], way[j]
+    return sorted((owner[k] - 1, k - 1, cost[owner[k] - 1][k - 1]) for k in range(1, m + 1) if owner[k])
+
+
 def matches(a: list[str], b: list[str], org: bool, family: str) -> tuple[int, str, str]:
     """How two token lists of one mailbox agree, and the two forms of a given name on which that hangs.
 
@@ -184,8 +219,6 @@ def matches(a: list[str], b: list[str], org: bool, family: str) -> tuple[int, st
     ja, jb = _UMLAUT.sub("", "".join(a)), _UMLAUT.sub("", "".join(b))
     if ja == jb or sorted(a) == sorted(b) or ((org or len(a) != len(b)) and len(ja) >= 8 and near(ja, jb)):
         return 1, "", ""
-    if len(a) > 7 or len(b) > 7:
-        return 0, "", ""
     done = assign(a, b)
     good = [(a[i], b[j], c) for i, j, c in done if c <= 1 and (org or c != 0.8)]
     anchors = [(x, y) for x, y, c in good if c in (0.0, 1.0) and min(len(x), len(y)) >= 4]
@@ -286,8 +319,11 @@ def groups(addresses: DataFrame, messages: DataFrame) -> DataFrame:
     occ = occ.withColumn("key", F.when((F.col("org") & (F.size(bare) == F.size("tokens"))) | (F.size(bare) >= 2), F.concat_ws(" ", F.array_sort(bare)))).withColumn("node", node)
     occ = cut(occ)
 
+    # spellings of one list of tokens mean the same: the first of them stands for all in the index
+    heads = occ.groupBy("scope", "tokens").agg(F.min_by("name", "node").alias("name"), F.min("node").alias("head"))
+    same = occ.join(heads.select("scope", "tokens", "head"), ["scope", "tokens"]).filter("node <> head").select(F.col("head").alias("n1"), F.col("node").alias("n2"))
     # symmetric-delete index on every token of a mailbox, however frequent the token is elsewhere
-    tok = occ.select("scope", "name", F.explode(F.array_distinct(F.concat("tokens", F.array(F.array_join("tokens", ""))))).alias("token")).filter(F.length("token") >= 4)
+    tok = heads.select("scope", "name", F.explode(F.array_distinct(F.concat("tokens", F.array(F.array_join("tokens", ""))))).alias("token")).filter(F.length("token") >= 4)
 
     def without_one(t: Column) -> Column:
         return F.concat(F.array(t), F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(t.substr(F.lit(1), i - 1), t.substr(i + 1, F.length(t)))))
@@ -296,7 +332,7 @@ def groups(addresses: DataFrame, messages: DataFrame) -> DataFrame:
     index = tok.withColumn("cut", F.explode(spread)).select("scope", "cut", "name").distinct()
     left, right = index.select("scope", "cut", F.col("name").alias("a")), index.select("scope", "cut", F.col("name").alias("b"))
     met = left.join(right, ["scope", "cut"]).filter("a < b").select("scope", "a", "b").distinct()
-    side = occ.select("scope", "name", "tokens", "org", "address", "node")
+    side = occ.select("scope", "name", "tokens", "org", "address", "node").join(heads.select(F.col("head").alias("node")), "node", "left_semi")
     full = (
         met.join(side.select("scope", F.col("name").alias("a"), F.col("tokens").alias("t1"), F.col("node").alias("n1"), "org", "address"), ["scope", "a"])
         .join(side.select("scope", F.col("name").alias("b"), F.col("tokens").alias("t2"), F.col("node").alias("n2")), ["scope", "b"])
@@ -307,7 +343,12 @@ def groups(addresses: DataFrame, messages: DataFrame) -> DataFrame:
     # Karl and Karla in a mailbox of a firm: each has mailboxes without the other, so neither is the other misspelt
     apart = _apart(aligned.filter("how = 4").select("f1", "f2").distinct(), occ)
     likely = aligned.filter("how < 3").select("n1", "n2").unionByName(aligned.filter("how = 4").join(apart, ["f1", "f2"], "left_anti").select("n1", "n2"))
-    linked = cut(likely.unionByName(aligned.filter("how = 3").join(known, ["f1", "f2"], "left_semi").select("n1", "n2")))
+    linked = likely.unionByName(aligned.filter("how = 3").join(known, ["f1", "f2"], "left_semi").select("n1", "n2"))
+    # what a head is linked to, the spellings it stands for are linked to as well
+    stood = same.select(F.col("n1").alias("h"), F.col("n2").alias("member")).unionByName(heads.select(F.col("head").alias("h"), F.col("head").alias("member")))
+    left_ = linked.join(stood.select(F.col("h").alias("n1"), F.col("member").alias("m1")), "n1").select(F.col("m1").alias("n1"), "n2")
+    right_ = linked.join(stood.select(F.col("h").alias("n2"), F.col("member").alias("m2")), "n2").select("n1", F.col("m2").alias("n2"))
+    linked = cut(left_.unionByName(right_).unionByName(same).distinct())
 
     whole = occ.filter("key is not null").select("node", "key", "org")
     firm = linked.join(whole.select(F.col("node").alias("n1")), "n1", "left_semi").join(whole.select(F.col("node").alias("n2")), "n2", "left_semi")

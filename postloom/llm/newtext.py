@@ -486,7 +486,7 @@ def _classified(messages: DataFrame, misplaced: bool) -> DataFrame:
             at = 0
             for key, bs, x, lines, first in mails:
                 for k, block in enumerate(bs):
-                    fresh = scores[at] < 0 and not _certain(block, x[k], bs[k + 1] if k + 1 < len(bs) else None)
+                    fresh = scores[at] < 0
                     at += 1
                     for n in block.lines:
                         if (fresh != (n < first) if misplaced else True) and lines[n].strip():
@@ -505,18 +505,6 @@ def _classified(messages: DataFrame, misplaced: bool) -> DataFrame:
     return out.select("message_id", F.when(F.col("in_body"), "body").otherwise("quoted").alias("field_name"), "line_no", *([] if misplaced else ["line", "new"]))
 
 
-def _certain(block: Block, x: np.ndarray, nxt: Block | None) -> bool:
-    """Blocks that are never new text, whatever the trees say: introductions, footers, lines about a device, the
-    delimiter of signatures, quoted lines that do not begin with a number, and notices with nothing new behind them."""
-    if block.kind in ("attr", "head", "split", "device", "foot"):
-        return True
-    if block.kind == "rule" and block.text[0] == "--":
-        return True
-    if block.prefix:
-        return not x[_AT["number_after_prefix"]]
-    return block.kind == "legal" and (nxt is None or nxt.prefix > 0 or nxt.kind in ("attr", "head", "split", "legal", "foot", "device", "rule"))
-
-
 def classify(messages: DataFrame) -> DataFrame:
     """(message_id, field_name, line_no, line, new): every line that is not blank and whether the sender newly wrote it."""
     return _classified(messages, False)

@@ -2,12 +2,13 @@
 
 The general statistics (words, mean word length, symbols, line ends, common words) are column expressions and stay in
 the JVM.  The structural ones (shares of the text in list items, table rows, encoded data and so on) need a look at
-each line and are computed in one Arrow pass over the same rows.
+each line and are computed in one Arrow pass over the texts, together with the counts of words that go with them.
 
-Thresholds on statistics are noisy labelling functions.  How often each of them fires on each type is learned by
-expectation-maximisation from their agreements, over the counts of all combinations that occur in the whole corpus
-(at most 2 to the power of the number of functions, whatever the number of documents); hand-made labels take part as
-one more function that is sometimes wrong.  The posterior type of a combination is the type of its documents.
+Thresholds on single statistics are noisy labelling functions.  How often each of them fires on each type, and how
+frequent the types are, is learned by expectation-maximisation from their agreements, over the counts of all
+combinations that occur in the whole corpus (at most 2 to the power of the number of functions, whatever the number of
+documents); hand-made labels take part as one more function that is sometimes wrong.  The posterior type of a
+combination is the type of its documents.  In texts of fewer than SHORT words functions on words say nothing.
 
 Defined results: null, empty and blank texts have statistics of zero and no type; documents that occur twice are
 treated alike; an empty table gives an empty result; other columns are ignored; texts are read whole.
@@ -39,29 +40,24 @@ LINE_END = "\r\n|\r|\n"
 CLOSED_LINE = r"[.!?:;…][\"”»)]?[ \t]*$"
 
 
-def text_statistics(text: Column) -> dict[str, Column]:
-    """n_words, mean_word_len, symbol_ratio, closed_line_share and common_share as columns."""
-    t = F.coalesce(text, F.lit(""))
-    words = F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
-    n = F.size(words)
-    lines = F.filter(F.split(t, LINE_END), lambda x: F.trim(F.regexp_replace(x, "\t", " ")) != "")
-    common = F.filter(words, lambda w: F.lower(w).isin(*dict.fromkeys(COMMON_WORDS)))
+def statistics(documents: DataFrame) -> DataFrame:
+    """doc_id, n_words, mean_word_len, symbol_ratio, closed_line_share and common_share of every document.
+
+    Words and lines are found once, in a projection of their own, and counted in the next one.
+    """
+    found = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("_t")).select(
+        "doc_id", "_t", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)).alias("_w"), F.filter(F.split("_t", LINE_END), lambda x: F.trim(F.regexp_replace(x, "\t", " ")) != "").alias("_l")
+    )
+    n = F.size("_w")
+    common = F.filter("_w", lambda w: F.lower(w).isin(*dict.fromkeys(COMMON_WORDS)))
 
     def share(part: Column, whole: Column) -> Column:
         return F.coalesce(F.round(part / F.when(whole != 0, whole), 4), F.lit(0.0))
 
-    return {
-        "n_words": n.cast("bigint"),
-        "mean_word_len": share(F.length(F.array_join(words, "")), n),
-        "symbol_ratio": share(F.length(F.regexp_replace(t, r"[\p{L}\p{N} \t\r\n]", "")), F.length(t)),
-        "closed_line_share": share(F.size(F.filter(lines, lambda x: x.rlike(CLOSED_LINE))), F.size(lines)),
-        "common_share": share(F.size(common), n),
-    }
-
-
-def statistics(documents: DataFrame) -> DataFrame:
-    """doc_id and the general statistics of every document."""
-    return documents.select("doc_id", *(c.alias(k) for k, c in text_statistics(F.col("text")).items()))
+    return found.select(
+        "doc_id", n.cast("bigint").alias("n_words"), share(F.length(F.array_join("_w", "")), n).alias("mean_word_len"), share(F.length(F.regexp_replace("_t", r"[\p{L}\p{N} \t\r\n]", "")), F.length("_t")).alias("symbol_ratio"),
+        share(F.size(F.filter("_l", lambda x: x.rlike(CLOSED_LINE))), F.size("_l")).alias("closed_line_share"), share(F.size(common), n).alias("common_share"),
+    )
 
 
 _QUOTE = re.compile(r"^(?:[ \t]*>)+[ \t]?")
@@ -76,9 +72,9 @@ _HEX = re.compile(r"^(?:[0-9a-fA-F]{4,16}[: ]\s*)?(?:[0-9a-fA-F]{2}[ ]{1,2}){4,}
 _LONG = re.compile(r"[A-Za-z0-9+/=_-]{36,}|(?:%[0-9A-Fa-f]{2}){6,}|(?:=[0-9A-F]{2}){4,}|(?:\\x[0-9a-fA-F]{2}){4,}")
 _ODD = re.compile(r"[¤¦§~^}{|�](?=[^\s|~^-])|(?<=[^\W\d_])[|\]}?^](?=[^\W\d_])|[\uFFFD\u0080-\u009F]|[ÃÂ][\u0080-\u00BF]")
 _SENTENCE = re.compile(r"[.!?]+(?:\s+|$)|\n+")
-_CELL = re.compile(r"\t+|;|\|")
+_TABS = re.compile(r"\t+")
 
-STRUCTURE = ("listed", "rows", "unreadable", "marked", "item", "inline", "delimited", "pairs", "ruled", "linked", "markup", "encoded", "odd", "repeated", "sentences")
+STRUCTURE = ("listed", "rows", "unreadable", "marked", "item", "inline", "delimited", "pairs", "ruled", "linked", "markup", "encoded", "odd", "repeated", "running")
 
 
 def structure(text: str | None) -> tuple[float, ...]:
@@ -96,8 +92,8 @@ def structure(text: str | None) -> tuple[float, ...]:
     for x in lines:
         n, bare = len(x), x.strip()
         words = bare.split()
-        links = sum(map(len, _URLS.findall(x)))
-        tags = sum(map(len, _MARKUP.findall(x)))
+        links = sum(map(len, _URLS.findall(x))) if "://" in x or "www." in x else 0
+        tags = sum(map(len, _MARKUP.findall(x))) if "<" in x or "&" in x or "{" in x or "!important" in x else 0
         linked += links
         markup += tags
         if _RULER.match(bare):
@@ -107,11 +103,13 @@ def structure(text: str | None) -> tuple[float, ...]:
         if _HEX.match(bare):
             encoded += n
             continue
-        long = 0 if links else sum(map(len, _LONG.findall(x)))
+        long = 0 if links or (n < 36 and "%" not in x and "=" not in x and "\\" not in x) else sum(map(len, _LONG.findall(x)))
         encoded += long
-        for found, separator in ((cells, _CELL), (gaps, _GAPS)):
-            c = len(separator.findall(bare.strip("|;")))
-            found.append((c if len(words) <= 4.5 * (c + 1) else 0, n))
+        inner = bare.strip("|;")
+        c = inner.count(";") + inner.count("|") + (len(_TABS.findall(inner)) if "\t" in inner else 0)
+        cells.append((c if len(words) <= 4.5 * (c + 1) else 0, n))
+        c = len(_GAPS.findall(inner)) if "  " in inner or "\t" in inner else 0
+        gaps.append((c if len(words) <= 4.5 * (c + 1) else 0, n))
         if _MARKED.match(x) and len(words) <= 9:
             marked += n
             marked_lines += 1
@@ -135,7 +133,8 @@ def structure(text: str | None) -> tuple[float, ...]:
     sentences = [s.strip().lower() for s in _SENTENCE.split(joined) if len(s.split()) >= 4]
     repeated = 1 - len(set(sentences)) / len(sentences) if len(sentences) >= 4 else 0.0
     odd = len(_ODD.findall("\n".join(lines))) / total
-    running = 0.0 if inline >= 0.7 else min(1.0, sum(len(s) for s in sentences if len(s.split()) >= 7) / total)
+    # the same sentence again is no running text
+    running = 0.0 if inline >= 0.7 else min(1.0, sum(len(s) for s in set(sentences) if len(s.split()) >= 7) / total)
     if sum(len(p) for p in plain) < 0.9 * total and pairs >= 0.6 * total:
         running = 0.0
     marked, item, delimited, pairs = marked / total, item / total, delimited / total, pairs / total
@@ -146,81 +145,100 @@ def structure(text: str | None) -> tuple[float, ...]:
     return listed, rows, min(1.0, unreadable), marked, item, inline, delimited, pairs, ruled, linked, markup, encoded, odd, repeated, running
 
 
-# (name, the type it speaks for, test on the statistics)
+#: (name, the type it speaks for, statistic, least value at which it fires, whether it needs words); uncommon: the share
+#: of words that are not among the common ones.
 FUNCTIONS = (
-    ("marked_items", "list", "marked >= 0.3 and rows < 0.5"),
-    ("short_items", "list", "item >= 0.6 and listed >= 0.6 and sentences < 0.4 and common_share < 0.7 and rows < 0.5 and unreadable < 0.4"),
-    ("inline_items", "list", "inline >= 0.75 and rows < 0.4 and unreadable < 0.4"),
-    ("listed_enough", "list", "listed >= 0.33 and sentences < 0.6 and rows < 0.5 and unreadable < 0.4"),
-    ("row_like", "table", "rows >= 0.45 and marked < 0.5"),
-    ("delimited_rows", "table", "delimited >= 0.5 and rows >= 0.5"),
-    ("field_pairs", "table", "pairs >= 0.6 and rows >= 0.5"),
-    ("rulers", "junk", "ruled >= 0.5"),
-    ("encoded_data", "junk", "encoded >= 0.35"),
-    ("links", "junk", "linked >= 0.5"),
-    ("markup_remains", "junk", "markup >= 0.25"),
-    ("odd_symbols", "junk", "odd >= 0.05"),
-    ("same_again", "junk", "repeated >= 0.6"),
-    ("no_common_words", "junk", "common_share < 0.09 and n_words >= 12 and listed < 0.33 and rows < 0.45"),
-    ("not_for_reading", "junk", "unreadable >= 0.4 or (common_share < 0.09 and n_words >= 12 and listed < 0.33 and rows < 0.45)"),
-    ("common_words", "prose", "common_share >= 0.17 and listed < 0.33 and rows < 0.45 and unreadable < 0.4"),
-    ("sentences_run", "prose", "sentences >= 0.4 and unreadable < 0.4 and listed < 0.5 and rows < 0.5"),
-    ("nothing_else", "prose", "listed < 0.33 and rows < 0.45 and unreadable < 0.4 and (common_share >= 0.09 or n_words < 12)"),
-    ("symbols_rare", "prose", "symbol_ratio < 0.06 and common_share >= 0.12 and mean_word_len < 9 and listed < 0.33 and rows < 0.45"),
+    ("marked_items", "list", "marked", 0.3, False),
+    ("short_items", "list", "item", 0.6, False),
+    ("inline_items", "list", "inline", 0.75, False),
+    ("listed", "list", "listed", 0.33, False),
+    ("delimited_rows", "table", "delimited", 0.5, False),
+    ("field_pairs", "table", "pairs", 0.6, False),
+    ("rows", "table", "rows", 0.45, False),
+    ("rulers", "junk", "ruled", 0.5, False),
+    ("encoded_data", "junk", "encoded", 0.35, False),
+    ("links", "junk", "linked", 0.5, False),
+    ("markup_remains", "junk", "markup", 0.25, False),
+    ("odd_symbols", "junk", "odd", 0.05, False),
+    ("same_again", "junk", "repeated", 0.6, False),
+    ("unreadable", "junk", "unreadable", 0.4, False),
+    ("uncommon_words", "junk", "uncommon", 0.91, True),
+    ("hardly_a_word", "junk", "uncommon", 0.95, True),
+    ("common_words", "prose", "common", 0.12, True),
+    ("many_common_words", "prose", "common", 0.2, True),
+    ("running_text", "prose", "running", 0.4, True),
 )
+SHORT = 12
+_WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_COMMON = frozenset(COMMON_WORDS)
+
+
+def pattern_of(text: str) -> int:
+    """Which functions fire for a text, one bit each, and one more bit if it is short."""
+    words = _WORDS.findall(text)
+    common = sum(map(_COMMON.__contains__, map(str.lower, words))) / len(words) if words else 0.0
+    stats = dict(zip(STRUCTURE, structure(text))) | {"common": round(common, 4), "uncommon": round(1 - common, 4)}
+    short = len(words) < SHORT
+    bits = sum(1 << i for i, (_, _, name, least, wordy) in enumerate(FUNCTIONS) if stats[name] >= least and not (short and wordy))
+    return bits | short << len(FUNCTIONS)
 
 
 def votes(documents: DataFrame) -> DataFrame:
-    """doc_id, pattern: which functions fire for each document that is not blank (one bit each)."""
-    general = text_statistics(F.col("text"))
-    names = list(general)
-    source = documents.filter(F.coalesce(F.trim(F.regexp_replace("text", r"[\s\x{A0}\x{200B}\x{FEFF}]+", " ")) != "", F.lit(False))).select(
-        "doc_id", *(c.alias(k) for k, c in general.items()), F.col("text").alias("_text")
-    )
+    """doc_id, pattern: which functions fire for each document that is not blank."""
+    source = documents.filter(F.coalesce(F.trim(F.regexp_replace("text", r"[\s\x{A0}\x{200B}\x{FEFF}]+", " ")) != "", F.lit(False))).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([structure(t) for t in b.column(len(names) + 1).to_pylist()], float).reshape(-1, len(STRUCTURE))
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(len(names) + 1)), *(pa.array(found[:, k]) for k in range(len(STRUCTURE)))], names=["doc_id", *names, *STRUCTURE]
-            )
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pattern_of(t) for t in b.column(1).to_pylist()], pa.int32())], names=["doc_id", "pattern"])
+
+    return source.mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, pattern int")
+
+
+class Model:
+    """Prior of the types and firing rate of each function on each type."""
+
+    def __init__(self, prior: np.ndarray, rate: np.ndarray) -> None:
+        self.prior, self.rate = prior, rate
 
-    shape = ", ".join([f"doc_id {documents.schema['doc_id'].dataType.simpleString()}", "n_words bigint", *(f"{n} double" for n in [*names[1:], *STRUCTURE])])
-    pattern = sum((F.when(F.expr(test), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, _, test) in enumerate(FUNCTIONS)), F.lit(0))
-    return source.mapInArrow(run, shape).select("doc_id", pattern.alias("pattern"))
+    def score(self, patterns: np.ndarray) -> np.ndarray:
+        """Log of prior and likelihood of each type; functions on words say nothing about short texts."""
+        j = len(FUNCTIONS)
+        fired = (patterns[:, None] >> np.arange(j)) & 1
+        heard = 1 - ((patterns >> j) & 1)[:, None] * np.array([f[4] for f in FUNCTIONS])
+        return np.log(self.prior)[None] + (fired * heard) @ np.log(self.rate).T + ((1 - fired) * heard) @ np.log1p(-self.rate).T
 
 
-def learn(patterns: np.ndarray, counts: np.ndarray, hand: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior type of each row, and the firing rate of each function on each type.
+def learn(patterns: np.ndarray, counts: np.ndarray, hand: np.ndarray, rounds: int = 60, pseudo: float = 150.0) -> Model:
+    """Expectation-maximisation; patterns: combinations, counts: their documents, hand: number of the hand-made label or -1.
 
-    patterns: bits that fired; hand: number of the hand-made label or -1; counts: documents of each row.  Rates are
-    held near what a function is meant for by pseudo-counts that follow the corpus size only up to a hundredth.
+    Rates begin so that two of the functions that speak for a type are expected to fire on it, and at 0.02 for other
+    types (0.3 for functions on words, as there are words in all of them), and that is worth ``pseudo`` documents of each type, whatever the size of the corpus.
     """
     k, j = len(TYPES), len(FUNCTIONS)
     fired = (patterns[:, None] >> np.arange(j)) & 1
+    heard = 1 - ((patterns >> j) & 1)[:, None] * np.array([f[4] for f in FUNCTIONS])
     n = counts.sum()
-    meant = np.array([TYPES.index(t) for _, t, _ in FUNCTIONS])
     start = np.full((k, j), 0.02)
-    start[meant, np.arange(j)] = 0.6
-    weight = 2 + 0.01 * n
-    rate, prior = start.copy(), np.array([0.8, 0.08, 0.06, 0.06])
+    start[:, [f[4] for f in FUNCTIONS]] = 0.3
+    start[TYPES.index("prose"), [f[4] and f[1] != "prose" for f in FUNCTIONS]] = 0.02
+    own = [f[1] for f in FUNCTIONS]
+    start[[TYPES.index(t) for t in own], np.arange(j)] = [min(0.6, 2 / own.count(t)) for t in own]
+    model = Model(np.array([0.7, 0.12, 0.1, 0.08]), start.copy())
     label = np.full((k, k), 0.05)
     np.fill_diagonal(label, 0.85)
     seen = hand >= 0
     for _ in range(rounds):
-        score = np.log(prior)[None] + fired @ np.log(rate).T + (1 - fired) @ np.log1p(-rate).T
+        score = model.score(patterns)
         score[seen] += np.log(label[:, hand[seen]]).T
-        score -= score.max(1, keepdims=True)
-        post = np.exp(score)
+        post = np.exp(score - score.max(1, keepdims=True))
         post /= post.sum(1, keepdims=True)
         mass = post * counts[:, None]
-        prior = (mass.sum(0) + 1) / (n + k)
-        rate = np.clip((mass.T @ fired + weight * start) / (mass.sum(0)[:, None] + weight), 1e-4, 1 - 1e-4)
+        model = Model((mass.sum(0) + 1) / (n + k), np.clip((mass.T @ (fired * heard) + pseudo * start) / (mass.T @ heard + pseudo), 1e-4, 1 - 1e-4))
         if seen.any():
             own = np.zeros((k, k))
             np.add.at(own.T, hand[seen], mass[seen])
             label = (own + 5 * (0.03 + 0.88 * np.eye(k))) / (own.sum(1, keepdims=True) + 5)
-    return post, rate
+    return model
 
 
 def text_types(documents: DataFrame, labels: DataFrame | None = None, voted: DataFrame | None = None) -> DataFrame:
@@ -233,17 +251,15 @@ def text_types(documents: DataFrame, labels: DataFrame | None = None, voted: Dat
         # a document labelled twice in different ways counts as not labelled
         once = labels.filter(F.col("label").isin(*TYPES)).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("_l")).filter("label = _l").drop("_l")
         known = voted.join(once, "doc_id", "left")
-    rows = known.groupBy("pattern", "label").count().collect()  # at most 2^19 combinations, in practice some hundred
+    rows = known.groupBy("pattern", "label").count().collect()  # at most 2^20 combinations of 5 labels, in practice some hundred
     if not rows:
         return spark.createDataFrame([], "doc_id bigint, kind string, probability double")
     patterns = np.array([r["pattern"] for r in rows])
     hand = np.array([TYPES.index(r["label"]) if r["label"] else -1 for r in rows])
-    post, rate = learn(patterns, np.array([float(r["count"]) for r in rows]), hand)
+    model = learn(patterns, np.array([float(r["count"]) for r in rows]), hand)
     # the type goes by the functions alone, so that an error in a hand-made label does not decide
-    unseen, place = np.unique(patterns, return_index=True)
-    prior = np.maximum((post * np.array([r["count"] for r in rows])[:, None]).sum(0), 1e-9)
-    fired = (unseen[:, None] >> np.arange(len(FUNCTIONS))) & 1
-    score = np.log(prior / prior.sum())[None] + fired @ np.log(rate).T + (1 - fired) @ np.log1p(-rate).T
+    unseen = np.unique(patterns)
+    score = model.score(unseen)
     best = score.argmax(1)
     sure = 1 / np.exp(score - score.max(1, keepdims=True)).sum(1)
     table = spark.createDataFrame([(int(p), TYPES[b], float(s)) for p, b, s in zip(unseen, best, sure)], "pattern int, kind string, probability double")

@@ -156,3 +156,17 @@ def test_near():
         w = "".join(rng.choice("abcxyz") for _ in range(7))
         i = rng.randrange(7)
         assert names.near(w, w[:i] + w[i + 1 :]) and names.near(w, w[:i] + "q" + w[i:]) and names.near(w, w[:i] + "q" + w[i + 1 :])
+
+
+def test_assignment_of_long_names_is_optimal():
+    """Names of more than seven tokens against all orders of a shorter one, and against the search over sets."""
+    rng = random.Random(4)
+    words = "anna maria muster beispiel nord holz werke bau gruppe verein haus a m b".split()
+    for _ in range(30):
+        a, b = ([rng.choice(words) for _ in range(rng.randrange(1, 8))] for _ in range(2))
+        if len(a) > len(b):
+            a, b = b, a
+        assert abs(sum(c for *_, c in names._augment(a, b)) - sum(c for *_, c in names.assign(a, b))) < 1e-9
+    long = "verein der freunde des alten hauses am nord see".split()
+    other = ["freunde", "verein", "hauses", "altn", "nord", "see", "der", "des", "am"]
+    assert len(names.assign(long, other)) == 9 and names.matches(long, other[::-1], True, "")[0] == 1

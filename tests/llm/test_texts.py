@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from postloom.llm import bpe, newtext, packing, pii, pii_model, pii_train, quality
 from postloom.llm.boost import Booster
@@ -86,7 +87,7 @@ def test_packing_balances_cost():
 PROSE = "Wir haben die Rechnung im Lager gefunden und prüfen das morgen früh. Bitte geben Sie heute Bescheid, ob der Termin so passt. Danke, dass Sie das so schnell erledigt haben!"
 
 
-def test_types_of_text(spark):
+def test_types_of_text(spark, tiny):
     docs = {
         1: PROSE, 2: "\n".join(f"- Kabel {i} mm" for i in range(9)), 3: "Name;Menge;Preis\n" + "\n".join(f"A-{i};{i};3,50" for i in range(9)), 4: "\n".join("=" * (30 + i) for i in range(6)),
         5: "https://x.example/a?b=1\n" * 7, 6: "Zxq wrtpl kjhgf qqwrt bnmvx plkjh gfdsa qwrtz mnbvc xzlkj hgfds poiuz trewq lkjhg", 7: "Das ist noch offen. " * 12, 8: "", 9: None, 10: " \n ​\t", 11: PROSE.replace(". ", ".\n"),
@@ -94,7 +95,9 @@ def test_types_of_text(spark):
     }
     more = {100 + i: PROSE + f" Punkt {i}." for i in range(60)} | {200 + i: docs[1 + i % 7] for i in range(42)}
     df = spark.createDataFrame([(k, v, "junk") for k, v in (docs | more).items()], "doc_id long, text string, kind string")
-    got = {r["doc_id"]: r["kind"] for r in quality.text_types(df).collect()}
+    # types are learned from a corpus, so these texts stand among others
+    others = spark.read.parquet(tiny.replace("sf0.001", "sf0.01") + "/documents.parquet").select((F.col("doc_id") + 1000).alias("doc_id"), "text")
+    got = {r["doc_id"]: r["kind"] for r in quality.text_types(df.select("doc_id", "text").unionByName(others)).collect()}
     assert {k: got.get(k) for k in docs} == {
         1: "prose", 2: "list", 3: "table", 4: "junk", 5: "junk", 6: "junk", 7: "junk", 8: None, 9: None, 10: None, 11: "prose", 12: "prose", 13: "prose", 14: "junk", 15: "prose", 16: "prose",
     }
@@ -110,6 +113,15 @@ def test_types_agree_with_hand_made_labels(spark, tiny):
     assert (both.kind == both.label).mean() > 0.85
 
 
+def test_types_on_labels_not_used(spark, tiny):
+    """Half of the hand-made labels are used, the types are compared with the other half; some labels are wrong."""
+    d = tiny.replace("sf0.001", "sf0.1")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/doc_labels.parquet")
+    used, held = labels.filter("doc_id % 2 = 0"), labels.filter("doc_id % 2 = 1 and label is not null")
+    both = quality.text_types(docs, used).join(held, "doc_id").toPandas()
+    assert len(both) > 150 and (both.kind == both.label).mean() > 0.95
+
+
 def test_booster_learns():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(4000, 4))
