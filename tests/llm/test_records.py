@@ -170,3 +170,24 @@ def test_assignment_of_long_names_is_optimal():
     long = "verein der freunde des alten hauses am nord see".split()
     other = ["freunde", "verein", "hauses", "altn", "nord", "see", "der", "des", "am"]
     assert len(names.assign(long, other)) == 9 and names.matches(long, other[::-1], True, "")[0] == 1
+
+
+def test_recall_of_parts_of_parts(spark):
+    """Two levels of parts against brute force: clustered vectors, 1 part in 20 searched."""
+    rng = np.random.default_rng(5)
+    n, d = 24_000, 32
+    centres = rng.normal(size=(400, d))
+    x = (centres[rng.integers(0, 400, n)] + 0.45 * rng.normal(size=(n, d))).astype(np.float32)
+    df = spark.createDataFrame([(i, "m", d, v.tolist()) for i, v in enumerate(x)], "message_id long, model string, dim int, vec array<float>").repartition(8)
+    got = {}
+    for r in neighbours.nearest(df, part_rows=100).collect():
+        got.setdefault(r["id"], set()).add(r["other"])
+    assert len(got) == n and all(len(v) == 5 for v in got.values())
+    u = neighbours.unit(x)
+    asked = np.arange(0, n, 40)
+    s = u[asked] @ u.T
+    s[np.arange(len(asked)), asked] = -2
+    want = np.argpartition(-s, 4, axis=1)[:, :5]
+    recall = np.mean([len(got[int(a)] & set(w.tolist())) / 5 for a, w in zip(asked, want)])
+    print("recall", recall)
+    assert recall >= 0.95
