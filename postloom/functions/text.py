@@ -60,7 +60,7 @@ def token_count(token_text: Column) -> Column:
     return F.regexp_count(token_text, F.lit(r"[^|]+"))
 
 
-#: Reply and forward prefixes and list tags, up to twenty of them.
+# Reply and forward prefixes and list tags, up to twenty of them.
 SUBJECT_PREFIXES = r"(?i)^\s*(?:(?:(?:re|aw|wg|fwd?|fw|sv|vs|ref|antw|tr|rif|r)[ \t]*(?:\[\d{1,4}\])?[ \t]*:|\[[^\]]{1,40}\])[ \t]*){1,20}"
 
 
@@ -78,6 +78,7 @@ def snippet(text: Column, limit: int = 200) -> Column:
     return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(cut, F.lit("…")))
 
 
+# Characters that are not seen, and those of them that can only be there to hide something.
 _INVISIBLE = r"[\x{AD}\x{34F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{FFF9}-\x{FFFB}\x{E0000}-\x{E007F}\x{E0100}-\x{E01EF}]"
 _HIDING = r"[\x{202A}-\x{202E}\x{2066}-\x{2069}\x{115F}\x{1160}\x{3164}\x{FFA0}\x{FFF9}-\x{FFFB}\x{E0000}-\x{E007F}\x{E0100}-\x{E01EF}]"
 

@@ -15,7 +15,8 @@ def reconcile(remote: DataFrame, local: DataFrame) -> DataFrame:
     several times is paired copy by copy; what is gone here and new there under the same Message-ID has moved.
     """
     def numbered(df: DataFrame, key: str, side: str) -> DataFrame:
-        df = df.select("folder_id", clean_mid(F.col("mid")).alias("mid"), F.col(key).alias(f"{side}_id"), F.col("read").alias(f"{side}_read"), F.col("flagged").alias(f"{side}_flagged"))
+        # a row without Message-ID meets no other one
+        df = df.select("folder_id", F.coalesce(clean_mid(F.col("mid")), F.concat(F.lit(f"{side}:"), F.col(key).cast("string"))).alias("mid"), F.col(key).alias(f"{side}_id"), F.col("read").alias(f"{side}_read"), F.col("flagged").alias(f"{side}_flagged"))
         return df.withColumn("k", F.row_number().over(Window.partitionBy("folder_id", "mid").orderBy(f"{side}_id")))
 
     both = numbered(remote, "remote_id", "remote").join(numbered(local, "local_id", "local"), ["folder_id", "mid", "k"], "full_outer")

@@ -43,11 +43,19 @@ def thread(box: Mailbox, thread_id: int) -> DataFrame:
 
 
 def subject_partners(box: Mailbox, days: int = 60) -> DataFrame:
-    """id, partner, gap: for each mail the nearest earlier one with the same subject within ``days``.
+    """id, partner, gap: for each mail the nearest earlier one within ``days`` with its subject and a common participant.
 
-    Rows meet neighbours in time through a window, not as pairs.
+    Mails meet neighbours in time through windows over subject, participant (own addresses aside) and slices of time,
+    not as pairs, so that neither a subject nor a sender of many mails is one task.
     """
-    rows = box.messages.filter("subject_norm is not null and subject_norm <> '' and date is not null and date <> 0")
-    w = Window.partitionBy("subject_norm").orderBy("date", "id")
-    near = rows.select("id", F.lag("id").over(w).alias("partner"), (F.col("date") - F.lag("date").over(w)).alias("gap"))
-    return near.filter(F.col("gap") <= days * 86_400_000)
+    from postloom.operators.threading import DAY, participants
+
+    reach = days * DAY
+    rows = box.messages.filter("subject_norm is not null and subject_norm <> '' and date is not null and date <> 0").select("id", "subject_norm", "date")
+    who = rows.join(participants(box.messages, box.addresses, box.identities).select("id", "person"), "id")
+    span = 12 * reach
+    slot = F.floor(F.col("date") / span)
+    sliced = who.withColumn("slot", F.explode(F.array_distinct(F.array(slot, F.floor((F.col("date") + reach) / span)))))
+    w = Window.partitionBy("subject_norm", "person", "slot").orderBy("date", "id")
+    near = sliced.select("id", "date", F.lag(F.struct("date", "id")).over(w).alias("p")).filter(F.col("date") - F.col("p.date") <= reach)
+    return near.groupBy("id").agg(F.max("p").alias("p"), F.first("date").alias("date")).select("id", F.col("p.id").alias("partner"), (F.col("date") - F.col("p.date")).alias("gap"))

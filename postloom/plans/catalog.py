@@ -337,7 +337,9 @@ register(
 )
 register(
     "q_subject_band", lambda s, d: threads.subject_partners(Mailbox.read(s, d)),
-    "SELECT * FROM (SELECT id, lag(id) OVER w AS partner, date - lag(date) OVER w AS gap FROM messages WHERE subject_norm <> '' AND date <> 0 WINDOW w AS (PARTITION BY subject_norm ORDER BY date, id)) WHERE gap <= 60::BIGINT * 86400000",
+    """WITH who AS (SELECT DISTINCT id, person FROM (SELECT message_id AS id, lower(trim(addr)) AS person FROM addresses UNION ALL SELECT id, lower(trim(from_addr)) FROM messages) WHERE person <> '' AND person NOT IN (SELECT lower(trim(addr)) FROM identities WHERE addr IS NOT NULL)),
+    m AS (SELECT id, subject_norm, date, person FROM messages JOIN who USING (id) WHERE subject_norm <> '' AND date <> 0), p AS (SELECT a.id, a.date, max((b.date, b.id)) AS p FROM m a JOIN m b ON a.subject_norm = b.subject_norm AND a.person = b.person AND (b.date, b.id) < (a.date, a.id) AND a.date - b.date <= 60 * 86400000::BIGINT GROUP BY 1, 2)
+    SELECT id, p[2] AS partner, date - p[1] AS gap FROM p""",
 )
 
 # ---- joins, windows and sets of the index

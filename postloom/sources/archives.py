@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from postloom.functions.html import to_text
 
+#: Entries and unpacked bytes of an archive, characters of text and bytes of a file that are read, unless the caller says
+#: otherwise; text_state tells of every file that was cut (truncated) or not read (too_large, error).
 MOST_ENTRIES, MOST_BYTES, MOST_TEXT, LARGEST = 5000, 50_000_000, 200_000, 20_000_000
 
 # File kinds by end of name, and by content type.
@@ -159,11 +161,11 @@ def pdf_text(data: bytes, budget: int = 64_000_000) -> str:
     return re.sub(r"\n{2,}", "\n", "".join(out)).strip()
 
 
-def extract(kind: str | None, data: bytes | None) -> tuple[str | None, str]:
+def extract(kind: str | None, data: bytes | None, most_text: int = MOST_TEXT, largest: int = LARGEST) -> tuple[str | None, str]:
     """(text, state): extracted, truncated, empty, unsupported, too_large or error; never raises."""
     if kind is None or data is None:
         return None, "unsupported"
-    if len(data) > LARGEST:
+    if len(data) > largest:
         return None, "too_large"
     try:
         if kind in ("docx", "xlsx", "pptx", "odf"):
@@ -189,14 +191,14 @@ def extract(kind: str | None, data: bytes | None) -> tuple[str | None, str]:
         return None, "error"
     if not text.strip():
         return "", "empty"
-    return (text[:MOST_TEXT], "truncated") if len(text) > MOST_TEXT else (text, "extracted")
+    return (text[:most_text], "truncated") if len(text) > most_text else (text, "extracted")
 
 
-def attachment_texts(files: DataFrame) -> DataFrame:
+def attachment_texts(files: DataFrame, most_text: int = MOST_TEXT, largest: int = LARGEST) -> DataFrame:
     """files (id, filename, content_type, data binary) with kind, text and text_state, in Arrow batches."""
     @F.pandas_udf("text string, state string")
     def read(kind: pd.Series, data: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([extract(k, None if d is None else bytes(d)) for k, d in zip(kind, data)], columns=["text", "state"])
+        return pd.DataFrame([extract(k, None if d is None else bytes(d), most_text, largest) for k, d in zip(kind, data)], columns=["text", "state"])
 
     out = files.withColumn("kind", kind_of(F.col("filename"), F.col("content_type"))).withColumn("r", read("kind", "data"))
     return out.select("id", "kind", F.col("r.text").alias("text"), F.col("r.state").alias("text_state"))

@@ -124,8 +124,8 @@ def test_event_versions(spark):
 
 
 RAW = b"""From: =?UTF-8?Q?J=C3=BCrgen?= <J@x.example>\r\nTo: A <a@x.example>, b@x.example\r\nSubject: =?UTF-8?Q?Gr=C3=BC=C3=9Fe?=\r\nMessage-ID: <M1@x.example>\r\nIn-Reply-To: <M0@x.example>\r
-References: <r1@x.example>\r\n <M0@x.example>\r\nDate: Mon, 05 Jan 2026 09:00:00 +0000\r\nList-Id: L <l.x.example>\r\nAuthentication-Results: mx; spf=fail (dmarc=pass); dkim=pass; dmarc=fail\r
-Authentication-Results: evil; dmarc=pass\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary=B\r\n\r\n--B\r\nContent-Type: text/plain\r\n\r\nplain\r\n--B\r\nContent-Type: text/html; charset=iso-8859-1\r\n\r\n<p>sch\xf6n</p>\r
+References: <r1@x.example>\r\n <M0@x.example>\r\nDate: Mon, 05 Jan 2026 09:00:00 +0000\r\nList-Id: L <l.x.example>\r\nAuthentication-Results: mx.p.example; spf=fail (dmarc=pass); dkim=fail\r
+Received: from a.p.example (a.p.example [1.2.3.4]) by mx.p.example\r\nAuthentication-Results: a.p.example; dkim=pass; dmarc=fail; spf=pass\r\nReceived: from h.evil (h.evil [1.1.1.1]) by a.p.example\r\nAuthentication-Results: mx.p.example; dmarc=pass\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary=B\r\n\r\n--B\r\nContent-Type: text/plain\r\n\r\nplain\r\n--B\r\nContent-Type: text/html; charset=iso-8859-1\r\n\r\n<p>sch\xf6n</p>\r
 --B\r\nContent-Type: text/plain; name=n.txt\r\nContent-Disposition: attachment; filename=n.txt\r\n\r\nnote\r\n--B--\r\n"""
 
 
@@ -137,6 +137,9 @@ def test_raw_messages(spark, tmp_path):
     assert (m["mid"], m["from_name"], m["from_addr"], m["subject"], m["in_reply_to"], m["list_id"]) == ("m1@x.example", "Jürgen", "j@x.example", "Grüße", "m0@x.example", "l.x.example")
     assert m["body"] == "schön" and m["refs"] == ["r1@x.example", "m0@x.example"] and m["date"] == at(2026, 1, 5, 9)
     assert json.loads(m["auth_json"]) == {"spf": "fail", "dkim": "pass", "dmarc": "fail"} and [a["filename"] for a in m["attachments"]] == ["n.txt"]
+    short = mime.parse_message(RAW, longest_body=2)
+    assert short["body"] == "sc" and short["content_state"] == "parts" and short["content_error"] == "left out: 3 characters of the text" and m["content_error"] is None
+    assert json.loads(mime.parse_message(RAW, trusted=("other.example",))["auth_json"]) == {}
     assert rows["b.eml"]["content_state"] in ("full", "error")
     people = mime.participants(spark.createDataFrame([(1, "J", "j@x", m["to_json"], "[]", None)], "id long, from_name string, from_addr string, to_json string, cc_json string, bcc_json string"))
     assert {(r["role"], r["addr"]) for r in people.collect()} == {("from", "j@x"), ("to", "a@x.example"), ("to", "b@x.example")}
