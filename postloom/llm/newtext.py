@@ -108,9 +108,14 @@ def _kind(bare: str) -> str:
             if _SALUTE.match(bare):
                 return "salute"
     low = bare.lower()
-    if (n < 110 or "http" in low) and any(w in low for w in _FOOT) and (n < 110 or _SITE.search(bare)):
-        return "foot"
-    return "legal" if any(w in low for w in _LEGAL) else "text"
+    if n < 110 or "http" in low:
+        for w in _FOOT:
+            if w in low and (n < 110 or _SITE.search(bare)):
+                return "foot"
+    for w in _LEGAL:
+        if w in low:
+            return "legal"
+    return "text"
 
 
 @functools.lru_cache(maxsize=100_000)
@@ -488,6 +493,8 @@ def _classified(messages: DataFrame, misplaced: bool) -> DataFrame:
                 for k, block in enumerate(bs):
                     fresh = scores[at] < 0
                     at += 1
+                    if misplaced and (block.lines[-1] < first if fresh else block.lines[0] >= first):
+                        continue  # all of it stands where it belongs
                     for n in block.lines:
                         if (fresh != (n < first) if misplaced else True) and lines[n].strip():
                             ids.append(key)
