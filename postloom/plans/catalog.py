@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.functions import display, folders
+from postloom.functions import display, folders, quotes
 from postloom.functions import text as T
 from postloom.functions.addresses import format_address, people_text
 from postloom.functions.headers import repair_header
@@ -489,7 +489,34 @@ register(
       e2 AS MATERIALIZED (SELECT a, b FROM e1 UNION SELECT a, b FROM late UNION SELECT b, a FROM late), c2(id, root) AS (SELECT id, id FROM r UNION SELECT e.b, c.root FROM c2 c JOIN e2 e ON e.a = c.id)
       SELECT id, min(root) AS thread FROM c2 GROUP BY 1""",
 )
-register("q_split_quoted", lambda s, d: table(s, d, "messages").filter("body is not null").select("id", split_quoted(F.col("body")).alias("s")).select("id", "s.own", "s.quoted"))
+_LINE = lambda p, flags="i": f"regexp_matches(x, '({p.replace(chr(39), chr(39) * 2)})', '{flags}')"
+register(
+    "q_split_quoted", lambda s, d: table(s, d, "messages").filter("body is not null").select("id", split_quoted(F.col("body")).alias("s")).select("id", "s.own", "s.quoted"),
+    f"""WITH l0 AS (SELECT id, unnest(string_split(regexp_replace(body, '\\r\\n?', chr(10), 'g'), chr(10))) AS x, generate_subscripts(string_split(regexp_replace(body, '\\r\\n?', chr(10), 'g'), chr(10)), 1) AS i FROM messages WHERE body IS NOT NULL),
+    l1 AS (SELECT *, length(x) > {quotes.LONGEST} OR {_LINE(quotes.FORWARDED)} AS plain, {_LINE("|".join(f"(?:{p})" for p in quotes.INTRODUCTIONS))} AS one, length(x) < {quotes.LONGEST_ABOVE} AND {_LINE(quotes.INTRODUCTION_ABOVE, "c")} AND coalesce(lead({_LINE(quotes.INTRODUCTION_BELOW)}) OVER w, false) AS two,
+      {_LINE(quotes.HEADER_FIRST)} AS head, sum({_LINE(quotes.HEADER_NEXT)}::INTEGER) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS heads, i > 1 AND {_LINE(quotes.DELIMITER, "c")} AS delimiter, {_LINE("^[[:space:]]*>")} AS marked, trim(x) <> '' AS filled FROM l0 WINDOW w AS (PARTITION BY id ORDER BY i)),
+    l2 AS (SELECT *, first(CASE WHEN filled THEN marked END IGNORE NULLS) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS n1, first(CASE WHEN filled THEN marked END IGNORE NULLS) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN 2 FOLLOWING AND 6 FOLLOWING) AS n2 FROM l1),
+    l3 AS (SELECT *, NOT plain AND (delimiter OR (two AND NOT coalesce(n2, false)) OR (NOT two AND one AND NOT coalesce(n1, false)) OR (NOT two AND NOT one AND head AND coalesce(heads, 0) >= 2)) AS rest, NOT plain AND two AS pair FROM l2),
+    l4 AS (SELECT *, min(CASE WHEN rest THEN i END) OVER (PARTITION BY id) AS since, coalesce(lag(pair) OVER (PARTITION BY id ORDER BY i), false) AS second FROM l3),
+    l5 AS (SELECT *, coalesce(i >= since, false) OR second OR (NOT plain AND (two OR one OR marked)) AS old FROM l4)
+    SELECT m.id, regexp_replace(regexp_replace(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT old), ''), '^\\s+|\\s+$', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS own, regexp_replace(regexp_replace(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (old), ''), '^\\s+|\\s+$', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS quoted
+    FROM messages m LEFT JOIN l5 USING (id) WHERE m.body IS NOT NULL GROUP BY 1""",
+)
+register(
+    "q_vector_filtered", lambda s, d: semantic.nearest(table(s, d, "mail_vectors"), VECTOR, 20, among=select(Mailbox.read(s, d), "is:unread -in:sent")[0].select(F.col("id").alias("message_id"))),
+    NEAREST.replace("WHERE len(vec) = 64", "WHERE len(vec) = 64 AND message_id IN (SELECT m.id FROM messages m LEFT JOIN folders f ON f.id = m.folder_id LEFT JOIN accounts ac ON ac.id = m.account_id WHERE m.read = 0 AND NOT coalesce(f.type = 'sent' OR contains(lower(f.path), 'sent') OR contains(lower(f.name), 'sent') OR m.folder_id = 'sent' OR contains(lower(coalesce(ac.name, '') || f.path), 'sent'), false))"),
+)
+register(
+    "q_attachment_text", lambda s, d: show.attachment_text(Mailbox.read(s, d), table(s, d, "attachments").agg(F.min("message_id")).first()[0]).select("idx", "filename", "text", "text_state"),
+    "SELECT idx, filename, text, text_state FROM attachments WHERE message_id = (SELECT min(message_id) FROM attachments)",
+)
+register(
+    "q_show", lambda s, d: show.show(Mailbox.read(s, d), [40, 90, 121], max_body=40).select("id", "sender", "from", "folder", "thread", "body", "truncated", "body_chars", "warning"),
+    f"""WITH c AS (SELECT a.addr FROM addresses a JOIN messages x ON x.id = a.message_id WHERE a.role IN ('to', 'cc', 'bcc') AND a.addr LIKE '%@%' AND x.from_addr IN {ME} AND a.addr NOT IN {ME} GROUP BY 1)
+    SELECT x.id, from_addr AS sender, {SENDER} AS from, coalesce(coalesce(ac.name, '') || f.path, f.name, x.folder_id) AS folder, thread_id AS thread, CASE WHEN length(body) > 40 THEN substr(body, 1, 40) || '…' ELSE coalesce(body, '') END AS body, coalesce(length(body) > 40, false) AS truncated, coalesce(length(body), 0)::INTEGER AS body_chars,
+    nullif(concat_ws('; ', CASE WHEN auth_verdict = 'fail' THEN 'sender authentication failed' END, CASE WHEN hidden_removed = 1 AND list_id IS NULL AND auth_verdict IS DISTINCT FROM 'pass' AND coalesce(from_addr, '') NOT IN (SELECT addr FROM c) AND coalesce(from_addr, '') NOT IN {ME} THEN 'hidden content removed' END), '') AS warning
+    FROM messages x LEFT JOIN folders f ON f.id = x.folder_id LEFT JOIN accounts ac ON ac.id = x.account_id WHERE x.id IN (40, 90, 121)""",
+)
 register("q_window_counts", lambda s, d: sync.windowed_counts(table(s, d, "events"), "ts", "event_type").select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n"), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 register(
     "q_session_windows", lambda s, d: sync.sessions(table(s, d, "events"), "ts", "user_id").select("user_id", F.unix_micros("start").alias("start_us"), "n"),

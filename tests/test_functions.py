@@ -32,11 +32,15 @@ def test_folders(spark):
 
 
 def test_quotes(spark):
-    mail = "Neu.\n\nAm 1.2.2025 schrieb Anna <a@x.example>:\n> alt\n\nAntwort dazu.\n\n-- \nBernd\nTel 1"
-    assert quotes.split(mail) == ("Neu.\n\n\nAntwort dazu.", "Am 1.2.2025 schrieb Anna <a@x.example>:\n> alt\n-- \nBernd\nTel 1")
-    assert quotes.split("Neu\n\nOn Mon, 1 Jan 2025, Anna wrote:\nalt\nalt")[0] == "Neu"
+    mail = "Neu.\n\nAm 1.2.2025 schrieb Anna <a@x.example>:\n> alt\n\nAntwort dazu.\n\n-- \nBernd\n\nTel 1"
+    assert quotes.split(mail) == ("Neu.\n\nAntwort dazu.", "Am 1.2.2025 schrieb Anna <a@x.example>:\n> alt\n-- \nBernd\n\nTel 1")
+    assert quotes.split("Neu\n\nOn Mon, 1 Jan 2025, Anna wrote:\nalt\nalt") == ("Neu", "On Mon, 1 Jan 2025, Anna wrote:\nalt\nalt")
+    assert quotes.split("Neu\nAm Montag, dem 1.2.\nschrieb Anna:\n> alt\nmehr") == ("Neu\nmehr", "Am Montag, dem 1.2.\nschrieb Anna:\n> alt")
     assert quotes.split("Neu\n-----Original Message-----\nFrom: a\nalt")[0] == "Neu" and quotes.split(None) == ("", "")
-    assert quotes.split("FYI\n---------- Forwarded message ----------\nText")[0].endswith("Text")
+    assert quotes.split("Neu\nVon: Anna\nGesendet: heute\nAn: Bernd\nBetreff: x\n\nalt") == ("Neu", "Von: Anna\nGesendet: heute\nAn: Bernd\nBetreff: x\n\nalt")
+    assert quotes.split("Neu\nVon: mir\nweiter")[1] == "" and quotes.split("-- \nx") == ("-- \nx", "")
+    assert quotes.split("FYI\n---------- Forwarded message ----------\nText")[0].endswith("Text") and quotes.split("On " + "x" * 2000 + " wrote:\nmehr")[1] == ""
+    assert quotes.split("a\r\n\r\n\r\n\r\nb\r> c") == ("a\n\nb", "> c")
     assert tuple(values(spark, [mail], quotes.split_quoted)[0]) == quotes.split(mail)
 
 
