@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.functions.mids import clean_mid
+from postloom.llm.arrow import uncollected
 from postloom.llm.boost import Booster
 from postloom.llm.survivor import mail_key
 from postloom.plans.lineage import cut
@@ -133,9 +134,10 @@ def blocks(lines: list[str]) -> list[Block]:
     read = [_line(x) for x in lines]
     depth, bare, kinds = [r[0] for r in read], [r[1] for r in read], [r[2] for r in read]
     # introductions over two lines
-    for i in range(len(lines) - 1):
-        if bare[i + 1][-1:] == ":" and kinds[i] == "text" and kinds[i + 1] in ("text", "attr") and depth[i] == depth[i + 1] and len(bare[i]) < 110 and _ATTR_A.match(bare[i]) and _ATTR_B.match(bare[i + 1]):
-            kinds[i] = kinds[i + 1] = "attr"
+    for j in [j for j, b in enumerate(bare) if b[-1:] == ":" and j]:
+        i = j - 1
+        if kinds[i] == "text" and kinds[j] in ("text", "attr") and depth[i] == depth[j] and len(bare[i]) < 110 and _ATTR_A.match(bare[i]) and _ATTR_B.match(bare[j]):
+            kinds[i] = kinds[j] = "attr"
     # header fields count only in runs of two or more with a date or an address among them
     i = 0 if "head" in kinds else len(lines)
     while i < len(lines):
@@ -149,15 +151,19 @@ def blocks(lines: list[str]) -> list[Block]:
         else:
             i += 1
     out: list[Block] = []
+    last = None  # the block before, if it can go on
     for i, (b, d, k) in enumerate(zip(bare, depth, kinds)):
         if k == "blank":
-            out.append(Block("gap", 0, [], []))
-        elif out and ((d and out[-1].prefix) or (not d and not out[-1].prefix and out[-1].kind == k and k not in ("rule", "close", "salute"))):
-            out[-1].lines.append(i)
+            if last is not None or not out:  # several blank lines are one gap
+                out.append(Block("gap", 0, [], []))
+            last = None
+        elif last is not None and ((d and last.prefix) or (not d and not last.prefix and last.kind == k and k not in ("rule", "close", "salute"))):
+            last.lines.append(i)
             if b:
-                out[-1].text.append(b)
+                last.text.append(b)
         else:
-            out.append(Block("text" if d else k, d, [i], [b]))
+            last = Block("text" if d else k, d, [i], [b])
+            out.append(last)
     return out
 
 
@@ -209,19 +215,24 @@ def _plain(text: str) -> str:
     return re.sub(r"(?<=[aou])e|[\W_]", "", text.lower().replace("ä", "a").replace("ö", "o").replace("ü", "u").replace("ß", "ss"))
 
 
-def features(bs: list[Block], sender: str | None, address: str | None, old: set[int], freq: dict[int, int], ancestors: bool) -> np.ndarray:
+@functools.lru_cache(maxsize=20_000)
+def _names(sender: str | None, address: str | None) -> tuple[frozenset[str], str]:
+    """The words of a sender's name, and what may be the family name in the address."""
+    local = (address or "").lower().partition("@")[0]
+    family = next((p for p in sorted(re.split(r"[^a-z]+", local), key=len, reverse=True) if len(p) >= 4), "")
+    return frozenset(re.findall(r"[^\W\d_]{3,}", (sender or "").lower())), _plain(family)
+
+
+def features(bs: list[Block], sender: str | None, address: str | None, old: set[int], freq: dict[int, int], ancestors: bool) -> list[list[float]]:
     """Features of every block with lines, in order; gaps have none."""
     n = len(bs)
-    x: list = [_NOTHING] * n
-    words = {w for w in re.findall(r"[^\W\d_]{3,}", (sender or "").lower())}
-    local = (address or "").lower()
-    family = next((p for p in sorted(re.split(r"[^a-z]+", local.partition("@")[0]), key=len, reverse=True) if len(p) >= 4), "")
-    family = _plain(family)
+    x: list = [None] * n
+    words, family = _names(sender, address)
     intro = signature = salutes = foots = fresh = top = 0
     since = closings = 0
     depth_run = 0
     signed = False
-    share = np.zeros(n, np.float32)
+    share = [0.0] * n
     all_units = [units(b.text) if not b.prefix and b.kind not in _FORMULAE else () for b in bs]
     for i, us in enumerate(all_units):
         if us and old:
@@ -230,10 +241,11 @@ def features(bs: list[Block], sender: str | None, address: str | None, old: set[
     for i in range(n - 2, -1, -1):
         follows[i] = bs[i + 1] if bs[i + 1].kind != "gap" else follows[i + 1]
     # the largest overlap after and before each block
-    below, above = np.zeros(n + 1, np.float32), np.zeros(n + 1, np.float32)
+    below, above = [0.0] * (n + 1), [0.0] * (n + 1)
     if old:
-        below[:n] = np.maximum.accumulate(share[::-1])[::-1]
-        above[1:] = np.maximum.accumulate(share)
+        for i in range(n):
+            above[i + 1] = max(above[i], share[i])
+            below[n - 1 - i] = max(below[n - i], share[n - 1 - i])
     for i, b in enumerate(bs):
         if b.kind == "gap":
             if signature:
@@ -280,14 +292,13 @@ def features(bs: list[Block], sender: str | None, address: str | None, old: set[
         if freq:
             for h, _ in all_units[i]:
                 uses = max(uses, freq.get(h, 0))
-        row = (
+        x[i] = [
             min(b.prefix, 3), min(depth_run, 9), intro, min(since, 20), share[i], ancestors, contacts, named, uses, b.kind == "legal",
             b.kind == "foot", b.kind == "device", b.kind == "rule", opens, b.kind == "attr", b.kind == "head", b.kind == "split", b.kind == "salute", b.kind == "close", closings,
             signature and b.kind == "text", signed, b.lines[0] / max(1, bs[-1].lines[-1] if bs[-1].lines else n), digits, line_length,
             bool(b.prefix and re.match(r"\d", text)), nxt.prefix if nxt is not None else 0, bs[i - 1].prefix if i else 0, salutes,
             below[i + 1], above[i], count, by_name, foots, top, fresh, 0, 0,
-        )
-        x[i] = row
+        ]
         since += 1
         if b.kind in ("attr", "head", "split") and not b.prefix:
             top = top or not any(c.kind not in ("gap", "rule", "attr", "head", "split") for c in bs[:i])
@@ -305,17 +316,15 @@ def features(bs: list[Block], sender: str | None, address: str | None, old: set[
         foots += b.kind == "foot"
         if b.kind not in ("text", "rule") and signature:
             signature = 0
-    kept = [i for i in range(n) if bs[i].kind != "gap"]
-    x = np.array([x[i] for i in kept], np.float32).reshape(len(kept), len(FEATURES))
     left, tail = 0, 1
-    for at, i in zip(range(len(kept) - 1, -1, -1), reversed(kept)):
-        x[at, -2:] = left, tail
-        left += bs[i].kind == "close" and not bs[i].prefix
-        tail = tail and bs[i].kind in ("gap", "legal", "foot", "device", "rule")
-    return x
+    for row, b in zip(reversed(x), reversed(bs)):
+        if row is not None:
+            row[-2:] = left, tail
+            left += b.kind == "close" and not b.prefix
+            tail = tail and b.kind in ("legal", "foot", "device", "rule")
+    return [row for row in x if row is not None]
 
 
-_NOTHING = (0.0,) * len(FEATURES)
 _AT = {name: i for i, name in enumerate(FEATURES)}
 
 
@@ -399,7 +408,7 @@ def evidence(rows: DataFrame) -> DataFrame:
                 found.append(list(seen))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64())), pa.array(plain, pa.int32()), pa.array(whole, pa.int32())], names=["id", "hs", "plain", "whole"])
 
-    hashed = cut(rows.select("id", "body", "quoted").mapInArrow(run, "id bigint, hs array<bigint>, plain int, whole int"))
+    hashed = cut(rows.select("id", "body", "quoted").mapInArrow(uncollected(run), "id bigint, hs array<bigint>, plain int, whole int"))
     keys = rows.select("id", "mail", F.xxhash64("thread_id").alias("t"), F.col("thread_id").isNotNull().alias("threaded"), "date", "own", "answers", F.xxhash64("sender").alias("s"), F.col("sender").isNotNull().alias("sent"))
     # what stands behind quote marks proves other text old, but needs no proof and is no use by the sender
     every_unit = keys.join(hashed.hint("shuffle_hash"), "id").select("*", F.posexplode("hs").alias("at", "h")).withColumn("marked", F.expr("at >= plain")).drop("hs", "at", "plain")
@@ -451,13 +460,13 @@ def sample_blocks(joined: DataFrame, n: int, bound: int = SAMPLE_MAILS) -> tuple
                 for k, block in enumerate(bs):
                     y = beyond_doubt(block, x[k])
                     if y is not None:
-                        xs.append(x[k].tolist())
+                        xs.append([float(v) for v in x[k]])
                         ys.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float32())), pa.array(ys, pa.int32())], names=["x", "y"])
 
     share = min(1.0, 1.1 * bound / max(1, n))
     some = joined.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(bound)
-    got = some.mapInArrow(run, "x array<float>, y int").toArrow()
+    got = some.mapInArrow(uncollected(run), "x array<float>, y int").toArrow()
     if not got.num_rows:
         return np.zeros((0, len(FEATURES)), np.float32), np.zeros(0)
     return np.array(got.column("x").to_pylist(), np.float32), got.column("y").to_numpy().astype(float)
@@ -486,7 +495,7 @@ def _classified(messages: DataFrame, misplaced: bool) -> DataFrame:
         trees = _load(model)
         for b in batches:
             mails = list(_read(b))
-            scores = trees.score(np.concatenate([m[2] for m in mails])).tolist() if mails else []
+            scores = trees.score(np.array([row for m in mails for row in m[2]], np.float32).reshape(-1, len(FEATURES))).tolist()
             ids, places, bodies, texts, new = [], [], [], [], []
             at = 0
             for key, bs, x, lines, first in mails:
@@ -508,7 +517,7 @@ def _classified(messages: DataFrame, misplaced: bool) -> DataFrame:
             columns += [] if misplaced else [pa.array(texts, pa.string()), pa.array(new, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=["message_id", "in_body", "line_no", "line", "new"][: len(columns)])
 
-    out = joined.mapInArrow(run, "message_id bigint, in_body boolean, line_no int" + ("" if misplaced else ", line string, new boolean"))
+    out = joined.mapInArrow(uncollected(run), "message_id bigint, in_body boolean, line_no int" + ("" if misplaced else ", line string, new boolean"))
     return out.select("message_id", F.when(F.col("in_body"), "body").otherwise("quoted").alias("field_name"), "line_no", *([] if misplaced else ["line", "new"]))
 
 

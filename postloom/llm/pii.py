@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postloom.llm.arrow import uncollected
 from postloom.llm.pii_model import Tagger
 
 STRETCH, OVERLAP, PAIR = 320, 100, 110
@@ -248,7 +249,7 @@ def spans(df: DataFrame, key: str, text: str) -> DataFrame:
                     names=["row_id", "start_pos", "end_pos", "kind"],
                 )
 
-    return df.filter(F.col(text).isNotNull()).select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(run, "row_id bigint, start_pos int, end_pos int, kind string")
+    return df.filter(F.col(text).isNotNull()).select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(uncollected(run), "row_id bigint, start_pos int, end_pos int, kind string")
 
 
 def redact(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -265,7 +266,7 @@ def redact(df: DataFrame, key: str, text: str) -> DataFrame:
                 out.append(None if t is None else "".join(parts) + t[at:])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["row_id", "text"])
 
-    return df.select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(run, "row_id bigint, text string")
+    return df.select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(uncollected(run), "row_id bigint, text string")
 
 
 def found(messages: DataFrame, attachments: DataFrame) -> DataFrame:

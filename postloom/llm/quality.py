@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postloom.llm.arrow import uncollected
+
 TYPES = ("prose", "list", "table", "junk")
 
 # Frequent function words of German, English and French.
@@ -191,7 +193,7 @@ def votes(documents: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pattern_of(t) for t in b.column(1).to_pylist()], pa.int32())], names=["doc_id", "pattern"])
 
-    return source.mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, pattern int")
+    return source.mapInArrow(uncollected(run), f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, pattern int")
 
 
 class Model:
