@@ -129,9 +129,12 @@ def _line(x: str) -> tuple[int, str, str]:
     return 0, bare, _kind(bare) if bare else "blank"
 
 
+_BLANK = (0, "", "blank")
+
+
 def blocks(lines: list[str]) -> list[Block]:
     """The blocks of a mail given as its lines; blank lines belong to none, a run of quoted lines is one."""
-    read = [_line(x) for x in lines]
+    read = [_line(x) if x else _BLANK for x in lines]
     depth, bare, kinds = [r[0] for r in read], [r[1] for r in read], [r[2] for r in read]
     # introductions over two lines
     for j in [j for j, b in enumerate(bare) if b[-1:] == ":" and j]:
@@ -233,7 +236,7 @@ def features(bs: list[Block], sender: str | None, address: str | None, old: set[
     depth_run = 0
     signed = False
     share = [0.0] * n
-    all_units = [units(b.text) if not b.prefix and b.kind not in _FORMULAE else () for b in bs]
+    all_units = [units(b.text) if not b.prefix and b.kind not in _FORMULAE else () for b in bs] if old or freq else [()] * n
     for i, us in enumerate(all_units):
         if us and old:
             share[i] = sum(k for h, k in us if h in old) / sum(k for _, k in us)
