@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,7 +25,6 @@ SILENT = frozenset("script style head title noscript template object iframe svg
 
 _TOKEN = re.compile(r"<!--(?P<comment>.*?)(?:-->|\Z)|<!(?P<decl>[^>]*)>|<\?[^>]*>|<(?P<close>/)?(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)", re.S)
 _ATTR = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?")
-_RULES = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _SENTENCES = re.compile(r"[^\W\d_]{2,}")
 
 
@@ -52,34 +52,89 @@ def _colour(value: str | None) -> tuple[int, ...] | None:
     return {"white": (255, 255, 255), "black": (0, 0, 0)}.get(v)
 
 
-def hides(style: dict[str, str], ground: tuple[int, ...] | None = None) -> bool:
-    """Whether these declarations make an element invisible."""
+def removed(style: dict[str, str]) -> bool:
+    """Whether these declarations take an element and all inside of it out of sight; nothing inside can undo it."""
     small = lambda k, most: (n := _length(style.get(k))) is not None and n <= most
-    if style.get("display") == "none" or style.get("visibility") in ("hidden", "collapse") or style.get("mso-hide") == "all":
-        return True
-    if small("font-size", 2) or small("opacity", 0.049) or small("text-indent", -500) or style.get("color") == "transparent":
+    if style.get("display") == "none" or style.get("mso-hide") == "all" or small("opacity", 0.049) or small("text-indent", -500):
         return True
     clipped = "hidden" in style.get("overflow", "") or "hidden" in style.get("overflow-y", "")
     if clipped and (small("max-height", 1) or small("height", 1) or small("width", 1) or small("max-width", 1)):
         return True
-    if style.get("position") in ("absolute", "fixed") and (small("left", -500) or small("top", -500) or "rect(0" in style.get("clip", "")):
-        return True
-    shown, behind = _colour(style.get("color")), _colour(style.get("background-color") or style.get("background")) or ground
-    return bool(shown and behind and max(abs(a - b) for a, b in zip(shown, behind)) <= 8)
+    return style.get("position") in ("absolute", "fixed") and (small("left", -500) or small("top", -500) or "rect(0" in style.get("clip", ""))
+
+
+@dataclass(frozen=True)
+class Look:
+    """What text inherits from the elements around it, and what an element inside may set anew."""
+
+    ground: tuple[int, ...] | None = (255, 255, 255)
+    colour: tuple[int, ...] | None = None
+    clear: bool = False
+    tiny: bool = False
+    unseen: bool = False
+
+    def inside(self, style: dict[str, str]) -> Look:
+        if not style:
+            return self
+        size, colour, seen = _length(style.get("font-size")), style.get("color"), style.get("visibility")
+        return Look(
+            _colour(style.get("background-color") or style.get("background")) or self.ground, _colour(colour) if colour else self.colour,
+            colour == "transparent" or bool(re.search(r"rgba\([^)]*[,/]\s*0?\.?0+%?\s*\)", colour)) if colour else self.clear,
+            size <= 2 if size is not None else self.tiny, seen in ("hidden", "collapse") if seen else self.unseen,
+        )
+
+    @property
+    def invisible(self) -> bool:
+        same = self.colour and self.ground and max(abs(a - b) for a, b in zip(self.colour, self.ground)) <= 8
+        return self.tiny or self.unseen or self.clear or bool(same)
+
+
+def hides(style: dict[str, str], ground: tuple[int, ...] | None = None) -> bool:
+    """Whether text right inside an element with these declarations is invisible."""
+    return removed(style) or Look(ground).inside(style).invisible
+
+
+_ALWAYS = re.compile(r"@media\s*(?:(?:only\s+)?(?:all|screen)(?:\s*,\s*(?:all|screen))*)?$", re.I)
+
+
+def style_rules(page: str, longest: int = 512 * 1024) -> dict[str, dict[str, str]]:
+    """Declarations of .class, #id and tag from the style sheets of a page.
+
+    Of a selector the classes and ids of its last part count; a tag counts where it stands alone.  Rules that hold under
+    conditions only (widths, print, states, attributes) are left out.
+    """
+    rules: dict[str, dict[str, str]] = {}
+    for sheet in re.findall(r"<style\b[^>]*>(.*?)(?:</style|\Z)", page, re.S | re.I):
+        sheet, longest = re.sub(r"/\*.*?(?:\*/|\Z)", " ", sheet[: max(0, longest)], flags=re.S), longest - len(sheet)
+        depth = conditional = 0
+        head = ""
+        for part, mark in re.findall(r"([^{}]*)([{}])", sheet):
+            if mark == "{":
+                depth, head = depth + 1, part.rsplit(";", 1)[-1].strip()
+                if head.startswith("@") and not _ALWAYS.match(head) and not conditional:
+                    conditional = depth
+                continue
+            if head and not head.startswith("@") and not conditional and (found := declarations(part)):
+                for selector in head.split(","):
+                    last = (re.split(r"[\s>+~]+", selector.strip()) or [""])[-1]
+                    if not re.search(r"[:\[*]", last):
+                        names = [m[0].lower() for m in re.finditer(r"[.#][\w-]{1,100}", last)]
+                        if re.fullmatch(r"[A-Za-z][A-Za-z0-9-]*", selector.strip()) and last.lower() not in ("html", "body"):
+                            names.append(last.lower())
+                        for name in names:
+                            rules.setdefault(name, {}).update(found)
+            conditional = 0 if conditional == depth else conditional
+            depth, head = max(0, depth - 1), ""
+    return rules
 
 
 def to_text(page: str | None) -> tuple[str, bool]:
     """(text, whether something hidden was left out)."""
     page = (page or "")[:LONGEST_IN]
-    classes: dict[str, dict[str, str]] = {}
-    for sheet in re.findall(r"<style\b[^>]*>(.*?)</style", page, re.S | re.I):
-        for names, body in _RULES.findall(re.sub(r"/\*.*?\*/|@media[^{]*\{", "", sheet, flags=re.S)):
-            for name in names.split(","):
-                if re.fullmatch(r"\s*[\w-]*[.#][\w-]+\s*", name):
-                    classes.setdefault(name.strip().lower().lstrip("abcdefghijklmnopqrstuvwxyz0123456789"), {}).update(declarations(body))
+    rules = style_rules(page)
     out: list[str] = []
     size, hidden_removed = 0, False
-    stack: list[tuple[str, bool, tuple | None, str]] = []  # tag, hidden, ground, link
+    stack: list[tuple[str, bool, Look, str]] = []  # tag, removed, look, link
     silent = quote = pre = 0
     lists: list[int] = []
 
@@ -118,17 +173,17 @@ def to_text(page: str | None) -> tuple[str, bool]:
                     line()
                 continue
             attrs = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTR.findall(m["attrs"] or "")}
-            style: dict[str, str] = {}
+            style: dict[str, str] = dict(rules.get(tag, ()))
             for name in [f".{c}" for c in attrs.get("class", "").lower().split()] + ([f"#{attrs['id'].lower()}"] if attrs.get("id") else []):
-                style.update(classes.get(name, {}))
+                style.update(rules.get(name, {}))
             if attrs.get("bgcolor"):
                 style.setdefault("background-color", attrs["bgcolor"].lower())
             if attrs.get("color"):
                 style.setdefault("color", attrs["color"].lower())
             style.update(declarations(attrs.get("style", "")))
-            parent = stack[-1] if stack else ("", False, (255, 255, 255), "")
-            hidden = parent[1] or "hidden" in attrs or hides(style, parent[2])
-            ground = _colour(style.get("background-color") or style.get("background")) or parent[2]
+            parent = stack[-1] if stack else ("", False, Look(), "")
+            hidden = parent[1] or "hidden" in attrs or removed(style)
+            look = parent[2].inside(style)
             if tag in BLOCKS and not silent and not hidden:
                 line()
             if tag == "br" and not silent and not hidden:
@@ -147,7 +202,7 @@ def to_text(page: str | None) -> tuple[str, bool]:
             if tag in VOID or (m["attrs"] or "").rstrip().endswith("/") or len(stack) >= DEEPEST:
                 continue
             href = attrs.get("href", "")
-            stack.append((tag, hidden, ground, href[:200] if tag == "a" and re.match(r"https?:|mailto:", href, re.I) else ""))
+            stack.append((tag, hidden, look, href[:200] if tag == "a" and re.match(r"https?:|mailto:", href, re.I) else ""))
             silent += tag in SILENT
             pre += tag == "pre"
             if tag == "blockquote" and not silent:
@@ -159,7 +214,7 @@ def to_text(page: str | None) -> tuple[str, bool]:
             continue
         if kind == "text" and not silent:
             text = html.unescape(m["text"])
-            if stack and stack[-1][1]:
+            if stack and (stack[-1][1] or stack[-1][2].invisible):
                 hidden_removed |= bool(text.strip())
             else:
                 emit(text if pre else re.sub(r"[ \t\r\n\f]+", " ", text))

@@ -64,10 +64,11 @@ class VersionedTable:
         return gone
 
 
-def index_headers(spark: SparkSession, source: str, target: str, checkpoint: str, schema, max_files: int = 100, keep: int = 2) -> StreamingQuery:
+def index_headers(spark: SparkSession, source: str, target: str, checkpoint: str, schema, max_files: int = 100, keep: int = 2, every: str | None = None) -> StreamingQuery:
     """A streaming query that keeps the newest version of every (folder, mail) of the listings under ``source``.
 
-    It takes what is there and ends; started again it goes on where it stopped.  A batch reads and writes the buckets
+    It takes what is there and ends, or looks again ``every`` so often (such as 5 minutes); started again it goes on
+    where it stopped.  A batch reads and writes the buckets
     of its own mails only, and versions that nobody needs any more are removed.
     """
     table = VersionedTable(spark, target, ["folder_id", "mail"])
@@ -82,7 +83,7 @@ def index_headers(spark: SparkSession, source: str, target: str, checkpoint: str
         table.write(best.select("folder_id", "mail", "v.feed_id", "v.seen_at", "v.size", "v.read", "v.flagged"), number)
         table.vacuum(keep)
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
 
 
 def windowed_counts(events: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:

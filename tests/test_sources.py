@@ -27,7 +27,8 @@ def test_structure():
         "<div style='display:none'>{}</div>", "<span style='font-size:0'>{}</span>", "<p style='color:#fff;background:#ffffff'>{}</p>", "<p style='opacity:0'>{}</p>", "<div hidden>{}</div>",
         "<div style='max-height:0;overflow:hidden'>{}</div>", "<div style='position:absolute;left:-9999px'>{}</div>", "<div style='VISIBILITY : hidden !important'>{}</div>", "<font color='white'>{}</font>",
         "<style>.h{{display:none}}</style><div class='a h'>{}</div>", "<div style='text-indent:-999px'>{}</div>", "<td bgcolor='#000000'><span style='color:black'>{}</span></td>", "<div style='mso-hide:all'><b>{}</b></div>",
-        "<style>#k {{ font-size: 1px }}</style><p id=k>{}</p>",
+        "<style>#k {{ font-size: 1px }}</style><p id=k>{}</p>", "<style>@media screen {{ div .x, p.h {{display:none}} }}</style><p class='h'>{}</p>", "<style>em {{visibility:hidden}}</style><em>{}</em>",
+        "<div style='color:rgba(0,0,0,0)'>{}</div>", "<div style='visibility:hidden'><p>{}</p></div>",
     ],
 )
 def test_hidden(wrap):
@@ -35,7 +36,7 @@ def test_hidden(wrap):
     assert HIDDEN not in text and hidden and "seen" in text and "end" in text
 
 
-@pytest.mark.parametrize("shown", ["<p style='color:#333'>{}</p>", "<p style='font-size:9px'>{}</p>", "<div style='background:#000;color:#fff'>{}</div>", "<p style='display:block'>{}</p>", "<p class='h'>{}</p>"])
+@pytest.mark.parametrize("shown", ["<p style='color:#333'>{}</p>", "<p style='font-size:9px'>{}</p>", "<div style='background:#000;color:#fff'>{}</div>", "<p style='display:block'>{}</p>", "<p class='h'>{}</p>", "<style>@media (max-width:600px) {{ .h {{display:none}} }} .h:hover {{display:none}} b i {{display:none}}</style><i class='h'>{}</i>", "<td style='font-size:0'><span style='font-size:12px'>{}</span></td>", "<div style='visibility:hidden'><p style='visibility:visible'>{}</p></div>"])
 def test_shown(shown):
     assert to_text(shown.format(HIDDEN)) == (HIDDEN, False)
 
