@@ -381,6 +381,27 @@ def _rows(messages: DataFrame) -> DataFrame:
     ).filter("body is not null or quoted is not null")
 
 
+def _hashes(body: str | None, quoted: str | None) -> tuple[list[int], int, int | None]:
+    """Hashes of the units of a mail, those of unmarked text first; how many these are; and their number again if the
+    mail has text before any history."""
+    seen: dict[int, None] = {}
+    behind: list[Block] = []
+    lines = _lines(body, quoted)[0]
+    introduced = opened = False
+    for block in blocks(lines):
+        if block.prefix:
+            behind += unmarked(block, lines)
+        elif block.kind not in _FORMULAE:
+            seen.update((h, None) for h, _ in units(block.text))
+            opened = opened or bool(seen and not introduced)
+        introduced = introduced or block.kind in ("attr", "head", "split")
+    plain = len(seen)
+    for block in behind:
+        if block.kind not in _FORMULAE:
+            seen.update((h, None) for h, _ in units(block.text))
+    return list(seen), plain, plain if opened else None
+
+
 def evidence(rows: DataFrame) -> DataFrame:
     """(id, old, uses, ancestors): units that stand in earlier mails of the thread, and units the sender uses often.
 
@@ -390,25 +411,12 @@ def evidence(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, plain, whole = [], [], []
-            for body, quoted in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                seen: dict[int, None] = {}
-                behind: list[Block] = []
-                lines = _lines(body, quoted)[0]
-                introduced = opened = False
-                for block in blocks(lines):
-                    if block.prefix:
-                        behind += unmarked(block, lines)
-                    elif block.kind not in _FORMULAE:
-                        seen.update((h, None) for h, _ in units(block.text))
-                        opened = opened or bool(seen and not introduced)
-                    introduced = introduced or block.kind in ("attr", "head", "split")
-                plain.append(len(seen))
-                whole.append(len(seen) if opened else None)
-                for block in behind:
-                    if block.kind not in _FORMULAE:
-                        seen.update((h, None) for h, _ in units(block.text))
-                found.append(list(seen))
+            rows, copies = [], {}  # copies of a mail in other folders are read once
+            for key in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if key not in copies:
+                    copies[key] = _hashes(*key)
+                rows.append(copies[key])
+            found, plain, whole = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64())), pa.array(plain, pa.int32()), pa.array(whole, pa.int32())], names=["id", "hs", "plain", "whole"])
 
     hashed = cut(rows.select("id", "body", "quoted").mapInArrow(uncollected(run), "id bigint, hs array<bigint>, plain int, whole int"))
