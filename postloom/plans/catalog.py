@@ -464,8 +464,8 @@ register(
 )
 _NAME_KEY = "array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower({0}), '[^\\p{{L}}]+'), lambda t: t <> ''))), ' ')"
 register(
-    "q_suggest_addresses", lambda s, d: maintenance.suggest_addresses(table(s, d, "messages"), table(s, d, "identities")),
-    f"""WITH own AS (SELECT lower(addr) AS addr, name FROM identities), used AS (SELECT from_name AS name FROM messages WHERE lower(from_addr) IN (SELECT addr FROM own) AND from_name <> '' GROUP BY 1 ORDER BY count(*) DESC, from_name LIMIT 5),
+    "q_suggest_addresses", lambda s, d: maintenance.suggest_addresses(table(s, d, "messages"), table(s, d, "identities").filter("addr not like '%@postfach.example'")),  # as if private addresses were not known
+    f"""WITH own AS (SELECT lower(addr) AS addr, name FROM identities WHERE addr NOT LIKE '%@postfach.example'), used AS (SELECT from_name AS name FROM messages WHERE lower(from_addr) IN (SELECT addr FROM own) AND from_name <> '' GROUP BY 1 ORDER BY count(*) DESC, from_name LIMIT 5),
     k AS (SELECT DISTINCT {_NAME_KEY.format('name')} AS k FROM (SELECT name FROM own WHERE name IS NOT NULL UNION ALL SELECT name FROM used)), r AS (SELECT lower(from_addr) AS addr, from_name AS name, count(DISTINCT mid) AS n, count(*) FILTER (auth_verdict = 'fail') AS failed, min(date) AS first, max(date) AS last
       FROM messages WHERE contains(from_addr, '@') AND from_name IS NOT NULL AND lower(from_addr) NOT IN (SELECT addr FROM own) GROUP BY 1, 2), h AS (SELECT *, {_NAME_KEY.format('name')} IN (SELECT k FROM k WHERE k LIKE '% %') AS hit FROM r),
     o AS (SELECT addr, arg_max(name, (n, name)) FILTER (hit) AS name, sum(n) AS total, coalesce(sum(n) FILTER (hit), 0)::BIGINT AS mails, sum(failed) AS failed, min(first) AS first, max(last) AS last FROM h GROUP BY 1)
