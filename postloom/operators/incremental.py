@@ -44,7 +44,12 @@ def replay(feed: DataFrame, runs: DataFrame) -> DataFrame:
         _keyed(feed).join(w, "folder_id").filter((F.col("arrived_at") <= F.col("upto")) & F.coalesce(F.col("arrived_at") > F.col("after"), F.lit(True)))
         .groupBy("folder_id", "mail", "n", "run_id").agg(F.max(F.struct("seen_at", "feed_id", "size", "read", "flagged")).alias("v"))
     )
-    history = due.groupBy("folder_id", "mail").agg(F.array_sort(F.collect_list(F.struct("n", "run_id", "v"))).alias("h"))
+    return _folded(due)
+
+
+def _folded(due: DataFrame) -> DataFrame:
+    """(run_id, feed_id) of the versions that are taken; due: at most one version v a folder, mail and run n."""
+    versions = due.groupBy("folder_id", "mail").agg(F.array_sort(F.collect_list(F.struct("n", "run_id", "v"))).alias("h"))
     version = "struct<seen_at:bigint,feed_id:bigint,size:bigint,read:int,flagged:int>"
     ledger = F.struct(F.lit(None).cast(version).alias("last"), F.expr("cast(array() as array<struct<run_id:bigint,feed_id:bigint>>)").alias("done"))
 
@@ -55,7 +60,7 @@ def replay(feed: DataFrame, runs: DataFrame) -> DataFrame:
         entry = F.array(F.struct(c["run_id"].cast("bigint").alias("run_id"), v["feed_id"].cast("bigint").alias("feed_id")))
         return F.struct(F.when(takes, v.cast(version)).otherwise(last).alias("last"), F.when(takes, F.concat(acc["done"], entry)).otherwise(acc["done"]).alias("done"))
 
-    return history.select(F.explode(F.aggregate("h", ledger, step, lambda acc: acc["done"])).alias("d")).select("d.run_id", "d.feed_id")
+    return versions.select(F.explode(F.aggregate("h", ledger, step, lambda acc: acc["done"])).alias("d")).select("d.run_id", "d.feed_id")
 
 
 def marks(runs: DataFrame) -> DataFrame:
@@ -95,6 +100,26 @@ def next_batch(feed: DataFrame, ledger: DataFrame, mark: DataFrame) -> DataFrame
     return fresh.join(newest, key).join(last, key, "left").select(*key, "seen_at", F.col("feed_id").cast("bigint"), F.col("size").cast("bigint"), F.col("read").cast("int"), F.col("flagged").cast("int"), takes.alias("taken"))
 
 
+def history(feed: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run_id, feed_id): what every run with outcome ok or open has to process, all runs in one pass.
+
+    Every run rereads from its low mark.  The ledger is what good runs looked at: pairs of key and version with the
+    number of the first run that did; an anti-join removes from each run the pairs that the ledger holds from runs
+    before it.  Of the rest the newest of each mail and run is kept, and these few versions of a mail are folded in the
+    order of the runs, as each counts against the one processed last.
+    """
+    pair = ["folder_id", "mail", "seen_at", "feed_id"]
+    w = marks(runs).join(runs.select("run_id", "outcome"), "run_id")
+    read = _keyed(feed).join(w, "folder_id").filter((F.col("arrived_at") <= F.col("upto")) & F.coalesce(F.col("arrived_at") > F.col("low"), F.lit(True)))
+    read = read.select(*pair, "size", "read", "flagged", "n", "run_id", "outcome")
+    ledger = read.filter(F.col("outcome") == DONE).groupBy(*pair).agg(F.min("n").alias("done")).select(*(F.col(c).alias(f"l_{c}") for c in pair), "done")
+    held = F.lit(True)
+    for c in pair:
+        held = held & (F.col(c) == F.col(f"l_{c}"))
+    fresh = read.join(ledger, held & (F.col("done") < F.col("n")), "left_anti")
+    return _folded(fresh.groupBy("folder_id", "mail", "n", "run_id").agg(F.max(F.struct("seen_at", "feed_id", "size", "read", "flagged")).alias("v")))
+
+
 def run_all(feed: DataFrame, runs: DataFrame, fold_every: int = 6) -> DataFrame:
     """(run_id, feed_id): what every run with outcome ok or open has to process, run after run by ``next_batch``.
 

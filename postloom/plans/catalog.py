@@ -534,7 +534,8 @@ _LEDGER_SQL = """WITH t AS (SELECT folder_id, run_id, started_at AS upto, outcom
     h AS (SELECT folder_id, mail, list_reduce(list(v ORDER BY n), lambda a, x: CASE WHEN x.seen_at > a.seen_at AND (x.size IS DISTINCT FROM a.size OR x.read IS DISTINCT FROM a.read OR x.flagged IS DISTINCT FROM a.flagged)
       THEN {'run_id': x.run_id, 'feed_id': x.feed_id, 'seen_at': x.seen_at, 'size': x.size, 'read': x.read, 'flagged': x.flagged, 'done': list_concat(a.done, x.done)} ELSE a END) AS l FROM v GROUP BY 1, 2),
     d AS (SELECT unnest(l.done) AS d FROM h) SELECT d.run_id AS run_id, d.feed_id AS feed_id FROM d"""
-register("p5_found", lambda s, d: incremental.run_all(table(s, d, "header_feed"), table(s, d, "sync_runs")), _LEDGER_SQL)
+register("p5_found", lambda s, d: incremental.history(table(s, d, "header_feed"), table(s, d, "sync_runs")), _LEDGER_SQL)
+register("q_feed_run_by_run", lambda s, d: incremental.run_all(table(s, d, "header_feed"), table(s, d, "sync_runs")), _LEDGER_SQL)
 register("q_feed_replay", lambda s, d: incremental.replay(table(s, d, "header_feed"), table(s, d, "sync_runs")), _LEDGER_SQL)
 
 # ---- ad-hoc SQL over whole tables, behind the guard

@@ -60,6 +60,7 @@ def test_random_histories(spark):
     tables = spark.createDataFrame(feed, FEED), spark.createDataFrame(runs, RUNS)
     assert rows(incremental.replay(*tables)) == want
     assert rows(incremental.run_all(*tables, fold_every=3)) == want
+    assert rows(incremental.history(*tables)) == want
 
 
 def test_a_run_rereads_from_the_oldest_open_run(spark):
@@ -90,4 +91,4 @@ def test_a_folder_with_many_runs(spark):
 
 def test_empty_and_extra_columns(spark):
     feed, runs = spark.createDataFrame([], FEED + ", started_at int, run_id int, n int"), spark.createDataFrame([], RUNS + ", mid string")
-    assert incremental.replay(feed, runs).count() == 0 == incremental.run_all(feed, runs).count()
+    assert incremental.history(feed, runs).count() == 0 == incremental.replay(feed, runs).count() == incremental.run_all(feed, runs).count()
