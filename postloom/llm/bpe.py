@@ -77,7 +77,7 @@ class Encoder:
             import public_tokenizers
 
             pattern = public_tokenizers.PATTERN
-        except Exception:
+        except ImportError:
             pattern = SPLIT
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(len(self.tokens))
