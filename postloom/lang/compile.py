@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,7 +45,8 @@ class Mailbox:
     addresses: DataFrame
     attachments: DataFrame
     identities: DataFrame
-    events: DataFrame | None = None
+    #: The events, or what gives them when they are first asked for.
+    events: DataFrame | Callable[[], DataFrame] | None = None
     #: The inverted index (postloom.operators.fts.Index) that words are looked up in; without one every text is read.
     index: object | None = None
     now: int = 1_772_323_200_000
@@ -55,9 +57,15 @@ class Mailbox:
         """The mailbox of a directory; its events are those of the calendar files among the attachments."""
         box = Mailbox(*(table(spark, directory, t) for t in ("messages", "folders", "accounts", "addresses", "attachments", "identities")), **extra)
         if box.events is None:
-            box.events = ics.of_mailbox(box.messages, box.attachments, box.now)
+            box.events = lambda: ics.of_mailbox(box.messages, box.attachments, box.now)
         return box
 
+    def calendar(self) -> DataFrame | None:
+        """The events; None for a mailbox without any."""
+        if callable(self.events):
+            self.events = self.events()
+        return self.events
+
     def me(self) -> DataFrame:
         return self.identities.select(F.col("addr").alias("me_addr")).filter("me_addr is not null").distinct()
 
@@ -256,9 +264,10 @@ class Compiler:
             df = df.join(box.me(), F.col("from_addr") == F.col("me_addr"), "left").withColumn("_from_me", F.col("me_addr").isNotNull()).drop("me_addr")
         if "contacts" in self.needs:
             df = df.join(box.contacts().select(F.col("addr").alias("_contact")), F.col("from_addr") == F.col("_contact"), "left").withColumn("_from_contact", F.col("_contact").isNotNull()).drop("_contact")
-        for child, frame in (("addresses", box.addresses), ("attachments", box.attachments), ("events", box.events)):
+        for child, frame in (("addresses", box.addresses), ("attachments", box.attachments), ("events", None)):
             if not self.flags[child]:
                 continue
+            frame = box.calendar() if child == "events" else frame
             if frame is None:
                 raise QueryError(f"The mailbox has no {child}.")
             if child == "addresses" and "address_me" in self.needs:

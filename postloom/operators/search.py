@@ -90,7 +90,7 @@ def _page(box: Mailbox, query: str, sort: str | None, limit: int, offset: int, i
     elif sort == "event":
         if box.events is None:
             raise QueryError("The mailbox has no events to sort by")
-        soon = box.events.filter(F.col("active").cast("boolean")).groupBy(F.col("message_id").alias("id")).agg(F.min(F.coalesce("next_start", "start")).alias("_at"))
+        soon = box.calendar().filter(F.col("active").cast("boolean")).groupBy(F.col("message_id").alias("id")).agg(F.min(F.coalesce("next_start", "start")).alias("_at"))
         df, order = df.join(soon, "id", "left"), (F.col("_at").asc_nulls_last(), *newest)
     else:
         df = df.withColumn("_at", F.lit(None).cast("bigint"))
@@ -130,7 +130,7 @@ def results(box: Mailbox, query: str = "", fields: list[str] | str | None = None
     accounts = box.accounts.select(F.col("id").alias("account_id"), F.col("name").alias("_account"))
     rows = rows.join(folders, "folder_id", "left").join(accounts, "account_id", "left")
     if "event" in names and box.events is not None:
-        rows = rows.join(show.first_events(box.events), F.col("id") == F.col("message_id"), "left")
+        rows = rows.join(show.first_events(box.calendar()), F.col("id") == F.col("message_id"), "left")
     people = lambda c: F.transform(F.from_json(F.col(c), "array<struct<name:string,addr:string>>"), lambda p: format_address(p["name"], p["addr"]))
     encrypted = F.col("encrypted") == 1 if "encrypted" in rows.columns else F.lit(False)
     tb_id = F.when(F.col("tb_epoch") == epoch, F.col("tb_id")) if epoch is not None else F.col("tb_id")

@@ -62,7 +62,7 @@ def show(box: Mailbox, ids: list[int], max_body: int = 8000, quoted: bool = Fals
     accounts = box.accounts.select(F.col("id").alias("account_id"), F.col("name").alias("_account"))
     rows = rows.join(files, "id", "left").join(folders, "folder_id", "left").join(accounts, "account_id", "left")
     if box.events is not None:
-        happenings = box.events.filter(F.col("message_id").isin(*ids)).groupBy(F.col("message_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("start", F.lit(2**62)).alias("s"), event_info().alias("e")))), lambda x: x["e"]).alias("events"))
+        happenings = box.calendar().filter(F.col("message_id").isin(*ids)).groupBy(F.col("message_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("start", F.lit(2**62)).alias("s"), event_info().alias("e")))), lambda x: x["e"]).alias("events"))
         rows = rows.join(happenings, "id", "left")
     people = lambda c: F.transform(F.from_json(F.col(c), "array<struct<name:string,addr:string>>"), lambda p: format_address(p["name"], p["addr"]))
     body = truncate(F.col("body"), max_body)

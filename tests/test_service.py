@@ -164,7 +164,7 @@ def test_guarded_execution(spark, tiny):
     with pytest.raises(sqlguard.SqlStopped):
         sqlguard.execute(spark, "SELECT max(hash(id)) AS n FROM t", {"t": spark.range(10**13)}, seconds=2)
     box = Mailbox.read(spark, tiny)
-    tables = {n: getattr(box, n) for n in ("messages", "addresses", "attachments", "folders", "accounts", "identities")} | {"contacts": box.contacts(), "events": box.events, "refs": spark.read.parquet(f"{tiny}/refs.parquet")}
+    tables = {n: getattr(box, n) for n in ("messages", "addresses", "attachments", "folders", "accounts", "identities")} | {"contacts": box.contacts(), "events": box.calendar(), "refs": spark.read.parquet(f"{tiny}/refs.parquet")}
     assert set(tables) == set(sqlguard.COLUMNS) and len(sqlguard.RECIPES) == 6
     for sql in sqlguard.RECIPES.values():
         assert sqlguard.execute(spark, sql, tables, seconds=60)["columns"] and sql in sqlguard.schema_text()
