@@ -208,11 +208,12 @@ def check(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | None:
 
 
 def find(texts: list[str | None], memo: dict[str, list] | None = None) -> list[list[tuple[int, int, str]]]:
-    """Spans (start, end, kind) in code points from 0 of each text; equal windows are read once.
+    """Spans (start, end, kind) in code points from 0 of each text; equal texts and equal windows are read once.
 
     memo: windows read before, for calls over many batches; it is emptied when it holds MEMO of them.
     """
-    marked, texts = texts, [_ZERO.sub("", t) if t and not t.isascii() else t for t in texts]
+    asked, marked = texts, list(dict.fromkeys(texts))
+    texts = [_ZERO.sub("", t) if t and not t.isascii() else t for t in marked]
     places: list[list[Window]] = [windows(t) if t else [] for t in texts]
     known = {} if memo is None or len(memo) > MEMO else memo
     fresh = list({w: None for ws in places for w, _ in ws if w not in known})
@@ -232,7 +233,8 @@ def find(texts: list[str | None], memo: dict[str, list] | None = None) -> list[l
         if t and out[i] and len(t) != len(texts[i]):  # back to the places in the text with its invisible characters
             place = [k for k, c in enumerate(t) if not _ZERO.match(c)]
             out[i] = [(place[x], place[y - 1] + 1, k) for x, y, k in out[i]]
-    return out
+    of = dict(zip(marked, out))
+    return [of[t] for t in asked]
 
 
 def spans(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -202,6 +202,50 @@ def test_tagger_gradients():
         assert abs((up - down) / (2 * eps) - grad[name][at]) < 2e-3, name
 
 
+def best_path(t, text):
+    """Spans of the best path over all of a text, one tag after the other."""
+    em = t.emissions(pii_model.encode(text)[None], np.array([len(text)]))[0][:, 0].astype(float)
+    score, back = em[0] + t.w["s"], []
+    for e in em[1:]:
+        step = score[:, None] + t.w["A"]
+        back.append(step.argmax(0))
+        score = step.max(0) + e
+    tags = [int(score.argmax())]
+    for b in reversed(back):
+        tags.append(int(b[tags[-1]]))
+    return pii_model.spans(np.array(tags[::-1]))
+
+
+def test_tagger_finds_the_best_path(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(pii_model, "PIECE", 700)
+    monkeypatch.setattr(pii_model, "BLOCK", 8)
+    texts = ["", "a", *("".join(rng.choice(list("ab@ .1"), n)) for n in rng.integers(1, 60, 120))]
+    some = 0
+    for seed in range(12):
+        t = pii_model.Tagger.fresh(hidden=4, embed=4, seed=seed)
+        k = len(t.w["s"])
+        t.w |= {"A": rng.normal(0, 2, (k, k)).astype(np.float32), "s": rng.normal(0, 2, k).astype(np.float32), "bo": (rng.normal(0, 1, k) + np.eye(k)[0] * seed / 2).astype(np.float32), "Wo": t.w["Wo"] * 20}
+        got = t.decode(texts)
+        assert got == [best_path(t, x) if x else [] for x in texts]
+        some += sum(map(len, got))
+    assert some > 500
+
+
+def test_tagger_reads_shared_text_once(monkeypatch):
+    """p6_found: beginnings and ends that texts share are read once, and paths are searched where spans could be."""
+    t, searched = pii.tagger(), []
+    paths = t._paths
+    monkeypatch.setattr(t, "_paths", lambda em, lengths, *more: searched.append(int(lengths.sum())) or paths(em, lengths, *more))
+    plain = ["Wir haben die Rechnung im Lager gefunden und melden uns wegen der Lieferung.", "Die Lieferung fehlt an der Rampe, das sollten wir in den kommenden Tagen klären.", "Could you send me the parts list over the coming days?", "Der Prüfbericht kommt erst nach der Mittagspause, wir warten noch auf die Antwort."]
+    lines = [*LETTER.split("\n")[:2], *plain]
+    texts = [a + "\n" + b for a in lines for b in lines]
+    assert t.decode(texts) == [best_path(t, x) for x in texts]
+    assert 0 < sum(searched) < sum(map(len, texts)) * 2 / 3
+    forth, _, back, *_ = t._scores(texts)
+    assert len(forth) == len({x[:i] for x in texts for i in range(1, len(x) + 1)}) and len(back) == len({x[i:] for x in texts for i in range(len(x))})
+
+
 LETTER = "Hallo Susanne,\nmeine Mail ist p.muster@firma.example, mobil 0171 3920018.\nRuf bitte Gerhard Boltullow an (030/23125-724).\nDie neue Adresse lautet Torfstecherweg 12, 00012 Bad Wiesgrund, bitte dorthin liefern.\nDer Auftrag 2083-5145205118 bleibt offen."
 
 
